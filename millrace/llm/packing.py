@@ -12,7 +12,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -25,8 +24,8 @@ from millrace.llm.scratch import Scratch
 LENGTH, OPEN_BINS, BATCH = 2048, 4096, 4096
 #: Pieces that one task packs, about; so many tasks are made that this holds at any size of the input.
 PIECES_PER_BUCKET = 16_384
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids a task remembers, and texts and words that are encoded together.
+CACHE_WORDS, TEXTS, WORDS = 600_000, 64, 500
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -49,28 +48,43 @@ class _WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers import pre_tokenizers as pre
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         letters, numbers = _class("L"), _class("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
-        self.other = re.compile("[\x1c-\x1fɐ-\U0010ffff]|<\\|").search
+        self.other = re.compile("[\x1c-\x1f\u0250-\U0010ffff]|<\\|").search
         self.known: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if self.other(text):
-            return self.whole([text])[0]
-        words = self.split(text.lower())
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self.whole(new), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+    def learn(self, words: list[str]) -> None:
+        """Remembers words that were not known: they are encoded many to a text, and cut where a word's last token stands."""
+        for e, at in zip(self.plain.encode_batch_fast([" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)], add_special_tokens=False), range(0, len(words), WORDS), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(words[at : at + WORDS], (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [None if self.other(t) else self.split(t.lower()) for t in texts]
+        seen = set().union(*filter(None, split))
+        new = [w for w in seen if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = list(seen)
+        self.learn(new)
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(b"".join(map(self.known.__getitem__, words)))
+        return out
 
 
 _loaded: dict[str, _WordTokenizer] = {}
@@ -82,8 +96,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterat
     encode = _loaded[path].ids
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py() or "") + b"\0\0\0\0"
+        texts = batch.column(1)
+        encoded = (ids for at in range(0, len(texts), TEXTS) for ids in encode([t or "" for t in texts.slice(at, TEXTS).to_pylist()]))
+        for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+            ids += b"\0\0\0\0"
             for k, at in enumerate(range(0, len(ids), 4 * length)):
                 part = ids[at : at + 4 * length]
                 for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
