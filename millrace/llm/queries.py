@@ -1,7 +1,14 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
 from millrace.llm.decontaminate import op2_decontaminate
+from millrace.llm.lm_score import op6_lm_score
 from millrace.llm.packing import op8_packing
+from millrace.llm.toxicity import op10_toxicity
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_packing": op8_packing}
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op6_lm_score": op6_lm_score,
+    "op8_packing": op8_packing,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLE_SQL: dict[str, str] = {}
