@@ -1,14 +1,18 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
 from millrace.llm.decontaminate import op2_decontaminate
+from millrace.llm.fingerprint import op3_fingerprints
 from millrace.llm.lm_score import op6_lm_score
 from millrace.llm.packing import op8_packing
+from millrace.llm.pii import op9_pii
 from millrace.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_fingerprints": op3_fingerprints,
     "op6_lm_score": op6_lm_score,
     "op8_packing": op8_packing,
+    "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
