@@ -6,11 +6,13 @@ from millrace.llm.lm_score import op6_lm_score
 from millrace.llm.packing import op8_packing
 from millrace.llm.pii import op9_pii
 from millrace.llm.toxicity import op10_toxicity
+from millrace.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprints": op3_fingerprints,
     "op6_lm_score": op6_lm_score,
+    "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
