@@ -6,12 +6,14 @@ from millrace.llm.lm_score import op6_lm_score
 from millrace.llm.packing import op8_packing
 from millrace.llm.pii import op9_pii
 from millrace.llm.substring_dedup import op5_substring_dedup
+from millrace.llm.suffix_dedup import op4_suffix_dedup
 from millrace.llm.toxicity import op10_toxicity
 from millrace.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprints": op3_fingerprints,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_url_filter": op7_url_filter,
