@@ -150,6 +150,14 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items, or where they are over block_bytes their parts of about that size."""
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    return [items] if blocks == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit (words inside any occurrence of an item's window), spans (runs of hit
     words), items (sorted ids of the items that occur).
@@ -160,16 +168,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     broadcast whole, beyond that it is taken in blocks of that size, each against all documents.
     """
     spark: SparkSession = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
     schema = "doc_id long, n_words long, n_hit long, spans array<array<long>>, items array<string>"
     parts = []
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+    for block in _blocks(benchmark, block_bytes):
         index = spark.sparkContext.broadcast(_index([(r[0], r[1]) for r in block.toLocalIterator()], window, gram))
         parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it, index=index: _scan(it, index, window, gram), schema))
-    if blocks == 1:
+    if len(parts) == 1:
         return parts[0]
     both = parts[0]
     for p in parts[1:]:
@@ -185,6 +189,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     return both.mapInPandas(merged, schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item's window occurs."""
+    spark = docs.sparkSession
+
+    def passed(index):
+        def run(batches):
+            for batch in batches:
+                own = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")], ["doc_id", "text"])
+                hits = [x.column(2).to_numpy() for x in _scan(iter([own]), index, window, gram)]
+                yield batch.filter(pa.array(np.concatenate(hits) == 0)) if hits else batch
+
+        return run
+
+    for block in _blocks(benchmark, block_bytes):
+        index = spark.sparkContext.broadcast(_index([(r[0], r[1]) for r in block.toLocalIterator()], window, gram))
+        docs = docs.mapInArrow(passed(index), docs.schema)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of documents."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

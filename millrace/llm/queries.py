@@ -3,6 +3,7 @@
 from millrace.llm.decontaminate import op2_decontaminate
 from millrace.llm.fingerprint import op3_fingerprints
 from millrace.llm.lm_score import op6_lm_score
+from millrace.llm.ngram_jaccard import op1_ngram_jaccard
 from millrace.llm.packing import op8_packing
 from millrace.llm.pii import op9_pii
 from millrace.llm.substring_dedup import op5_substring_dedup
@@ -11,6 +12,7 @@ from millrace.llm.toxicity import op10_toxicity
 from millrace.llm.url_filter import op7_url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprints": op3_fingerprints,
     "op4_suffix_dedup": op4_suffix_dedup,
