@@ -12,7 +12,6 @@ late to reach the overlap they need. The remaining pairs are compared in full, s
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,8 +300,7 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     def swept(df: DataFrame, name: str) -> DataFrame:
         out = scratch.save(df, name)
-        gc.collect()  # lets Spark's cleaner drop the shuffle files of the job that is done
-        spark.sparkContext._jvm.System.gc()
+        scratch.swept()
         return out
 
     counts = gather(rows.select("text").mapInArrow(lambda it: _count_cells(it, shingle), COUNTS), [1 << CELL_BITS])[0]

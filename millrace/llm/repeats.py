@@ -15,7 +15,6 @@ settled in the shard that its hash names:
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,29 +74,29 @@ def _several(doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
 
 
-def _by_row(rk: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+def _by_row(doc: np.ndarray, th: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
     """One row of packed runs for each row key."""
-    order = np.argsort(rk, kind="stable")
-    rk, runs = rk[order], runs[order]
-    begin = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1]]))
-    offsets = (np.append(begin, len(rk)) * RUN.itemsize).astype(np.int32)
+    order = np.lexsort((th, doc))
+    doc, th, runs = doc[order], th[order], runs[order]
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
+    offsets = (np.append(begin, len(doc)) * RUN.itemsize).astype(np.int32)
     packed = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(runs.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(rk[begin]), packed], ["rk", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(th[begin]), packed], ["doc_id", "th", "runs"])
 
 
-ANCHORS = "bucket int, rows binary, docs binary, anchors binary, at binary, starts binary, counts binary"
-_NAMES = ["bucket", "rows", "docs", "anchors", "at", "starts", "counts"]
+ANCHORS = "bucket int, docs binary, ths binary, anchors binary, at binary, starts binary, counts binary"
+_NAMES = ["bucket", "docs", "ths", "anchors", "at", "starts", "counts"]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(rk, doc_id, text) -> packed entries by bucket. An anchor of several documents of a task goes out once, without a
+    """(doc_id, th, text) -> packed entries by bucket. An anchor of several documents of a task goes out once, without a
     place (starts of -1); the places of its runs follow in rows of negative buckets, which ask nothing."""
     held: list[tuple] = []
     size = turn = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal turn
-        anchor, rk, doc, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, doc, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
         order, begin, group = _grouped(anchor)
         several = _several(doc[order], begin)
         known = several[group]
@@ -105,23 +104,23 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gr
         mine = order[known]
         if len(mine):
             turn += 1
-            yield _packed(np.full(len(mine), -turn), anchor[mine], rk[mine], doc[mine], start[mine], count[mine])
+            yield _packed(np.full(len(mine), -turn), anchor[mine], doc[mine], th[mine], start[mine], count[mine])
         rest = np.concatenate([order[~known], flag])
         start = start.copy()
         start[flag] = -1
         if len(rest):
             bucket = (anchor[rest] >> np.uint64(40)).astype(np.int64) % buckets
-            yield _packed(bucket, anchor[rest], rk[rest], doc[rest], start[rest], count[rest])
+            yield _packed(bucket, anchor[rest], doc[rest], th[rest], start[rest], count[rest])
         held.clear()
 
     for batch in batches:
-        keys, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        docs, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for a, b, data, offsets in tb.chunks(batch.column(2)):
             values, first = units(data, offsets)
             if len(values) < window or (found := _runs(values, first, window, gram)) is None:
                 continue
             anchor, row, start, count = found
-            held.append((anchor, keys[a:b][row], docs[a:b][row], start.astype(np.int32), count.astype(np.uint16)))
+            held.append((anchor, docs[a:b][row], ths[a:b][row], start.astype(np.int32), count.astype(np.uint16)))
             size += len(anchor)
             if size >= FLUSH:
                 yield from flush()
@@ -130,26 +129,27 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gr
         yield from flush()
 
 
-def _packed(bucket, anchor, rk, doc, start, count) -> pa.RecordBatch:
-    """Entries as one row for each bucket; each document of a bucket is named once."""
-    order = np.lexsort((start, rk, bucket))
-    bucket, anchor, rk, doc, start, count = (x[order] for x in (bucket, anchor, rk, doc, start, count))
+def _packed(bucket, anchor, doc, th, start, count) -> pa.RecordBatch:
+    """Entries as one row for each bucket. Each document of a bucket is named once, as the step from the one before."""
+    order = np.lexsort((start, th, doc, bucket))
+    bucket, anchor, doc, th, start, count = (x[order] for x in (bucket, anchor, doc, th, start, count))
     columns: list[list] = [[] for _ in _NAMES]
     edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+    six = np.ascontiguousarray(anchor).view(np.uint8).reshape(-1, 8)[:, 2:]
     for s, e in zip(edges[:-1], edges[1:], strict=True):
-        new = np.concatenate([[True], rk[s + 1 : e] != rk[s : e - 1]])
+        new = np.concatenate([[True], (doc[s + 1 : e] != doc[s : e - 1]) | (th[s + 1 : e] != th[s : e - 1])])
         heads = np.flatnonzero(new) + s
-        six = np.ascontiguousarray(anchor[s:e]).view(np.uint8).reshape(-1, 8)[:, 2:]
-        for c, v in zip(columns, (int(bucket[s]), rk[heads].tobytes(), doc[heads].tobytes(), six.tobytes(), (np.cumsum(new) - 1).astype(np.uint32).tobytes(), start[s:e].tobytes(), count[s:e].tobytes()), strict=True):
+        steps = np.diff(doc[heads], prepend=0)
+        for c, v in zip(columns, (int(bucket[s]), steps.tobytes(), th[heads].tobytes(), six[s:e].tobytes(), new.tobytes(), start[s:e].tobytes(), count[s:e].astype(np.uint16).tobytes()), strict=True):
             c.append(v)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], _NAMES)
 
 
 def _unpacked(row: dict):
-    at = np.frombuffer(row["at"], np.uint32)
+    at = np.cumsum(np.frombuffer(row["at"], bool)) - 1
     wide = np.zeros((len(at), 8), np.uint8)
     wide[:, 2:] = np.frombuffer(row["anchors"], np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel(), np.frombuffer(row["rows"], np.int64)[at], np.frombuffer(row["docs"], np.int64)[at], np.frombuffer(row["starts"], np.int32), np.frombuffer(row["counts"], np.uint16)
+    return wide.view(np.uint64).ravel(), np.cumsum(np.frombuffer(row["docs"], np.int64))[at], np.frombuffer(row["ths"], np.int32)[at], np.frombuffer(row["starts"], np.int32), np.frombuffer(row["counts"], np.uint16)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,21 +165,21 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             entry = _unpacked(row)
             if row["bucket"] < 0:
-                yield _by_row(entry[1], runs(entry[0], entry[3], entry[4]))
+                yield _by_row(entry[1], entry[2], runs(entry[0], entry[3], entry[4]))
             else:
                 held.append(entry)
     if held:
-        anchor, rk, doc, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, doc, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order, begin, group = _grouped(anchor)
         flagged = np.minimum.reduceat(start[order], begin) < 0
         keep = order[(_several(doc[order], begin) | flagged)[group]]
         keep = keep[start[keep] >= 0]
         if len(keep):
-            yield _by_row(rk[keep], runs(anchor[keep], start[keep], count[keep]))
+            yield _by_row(doc[keep], th[keep], runs(anchor[keep], start[keep], count[keep]))
 
 
-SEGMENTS = "kind byte, bucket int, segments binary, contents binary, seg long, rk long, doc_id long, start int"
+SEGMENTS = "kind byte, bucket int, segments binary, contents binary, seg long, th int, doc_id long, start int"
 
 
 def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -189,10 +189,10 @@ def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
 
 
 def _segments(batches: Iterator[pa.RecordBatch], units: Callable, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(rk, doc_id, text, runs) -> kind 0: the distinct segments by bucket; kind 1: every occurrence."""
+    """(doc_id, th, text, runs) -> kind 0: the distinct segments by bucket; kind 1: every occurrence."""
     none = lambda n, t: pa.nulls(n, t)
     for batch in batches:
-        keys, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        docs, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         packed = batch.column(3)
         held, texts = [], []
         base = 0
@@ -203,17 +203,17 @@ def _segments(batches: Iterator[pa.RecordBatch], units: Callable, window: int, b
             runs = np.concatenate(runs)
             start, size = first[row] + runs["start"], runs["n"].astype(np.int64) + window - 1
             seg = tb.span_hashes(values, start, start + size)
-            held.append((runs["anchor"], seg, docs[a:b][row], keys[a:b][row], runs["start"], runs["n"], start + base))
+            held.append((runs["anchor"], seg, docs[a:b][row], ths[a:b][row], runs["start"], runs["n"], start + base))
             texts.append(values)
             base += len(values)
         if not held:
             continue
         values = np.concatenate(texts)
-        anchor, seg, doc, rk, start, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, seg, doc, th, start, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
         m = len(seg)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(m, np.int8)), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary()), pa.array(seg.view(np.int64)), pa.array(rk), pa.array(doc), pa.array(start)],
-            ["kind", "bucket", "segments", "contents", "seg", "rk", "doc_id", "start"],
+            [pa.array(np.ones(m, np.int8)), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary()), pa.array(seg.view(np.int64)), pa.array(th), pa.array(doc), pa.array(start)],
+            ["kind", "bucket", "segments", "contents", "seg", "th", "doc_id", "start"],
         )
         order, begin, _ = _grouped(seg)
         one = np.empty(len(begin), SEGMENT)
@@ -227,8 +227,8 @@ def _segments(batches: Iterator[pa.RecordBatch], units: Callable, window: int, b
         rows = [(int(bucket[s]), one[s:e].tobytes(), _gathered(values, at[head[s:e]], one["n"][s:e].astype(np.int64) + window - 1).tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
         m = len(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(m, np.int8)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), *(none(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
-            ["kind", "bucket", "segments", "contents", "seg", "rk", "doc_id", "start"],
+            [pa.array(np.zeros(m, np.int8)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), *(none(m, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32()))],
+            ["kind", "bucket", "segments", "contents", "seg", "th", "doc_id", "start"],
         )
 
 
@@ -271,43 +271,37 @@ def _answers(batches: Iterator[pa.RecordBatch], index: Callable, dtype, window:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(rk, doc_id, text): a row's key is a hash of its doc_id and text; a null doc_id stands before all others."""
+    """(doc_id, th, text): a row's key is its doc_id and 32 bits of its text's hash; a null doc_id stands before all others."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-
-
-def _swept(scratch: Scratch) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs, which would else count until the session ends."""
-    gc.collect()
-    scratch.spark.sparkContext._jvm.System.gc()
+    return rows.select("doc_id", F.shiftright(F.xxhash64("text"), 32).cast("int").alias("th"), "text")
 
 
 def removed_ranges(docs: DataFrame, units: Callable, dtype, index: Callable, window: int, gram: int, block: int, name: str) -> DataFrame:
-    """(rk, doc_id, text, ranges) of every row of docs: ranges of units under windows that also start in a document of
+    """(doc_id, text, ranges) of every row of docs: ranges of units under windows that also start in a document of
     a smaller doc_id, as array<struct<s, e>> in no order, null where there are none."""
     scratch = Scratch(docs.sparkSession, name)
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs)
     entries = rows.mapInArrow(lambda it: _anchors(it, units, window, gram, buckets), ANCHORS)
-    runs = scratch.save(entries.repartition("bucket").mapInArrow(_repeated, "rk long, runs binary"), "runs")
-    _swept(scratch)
-    by_row = runs.groupBy("rk").agg(F.collect_list("runs").alias("runs"))
+    runs = scratch.save(entries.repartition("bucket").mapInArrow(_repeated, "doc_id long, th int, runs binary"), "runs")
+    scratch.swept()
+    by_row = runs.groupBy("doc_id", "th").agg(F.collect_list("runs").alias("runs"))
     # equal rows share a key and give equal segments
-    wanted = rows.join(by_row, "rk").select("rk", "doc_id", "text", "runs")
+    wanted = rows.join(by_row, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
     found = scratch.save(wanted.mapInArrow(lambda it: _segments(it, units, window, buckets), SEGMENTS), "segments")
-    _swept(scratch)
+    scratch.swept()
     scratch.drop("runs")
     shards = found.where("kind = 0").select("bucket", "segments", "contents").repartition("bucket")
     answers = scratch.save(shards.mapInArrow(lambda it: _answers(it, index, dtype, window, block), "seg long, off int, cnt int, low long"), "answers")
-    _swept(scratch)
-    uses = found.where("kind = 1").select("seg", "rk", "doc_id", "start")
+    scratch.swept()
+    uses = found.where("kind = 1").select("seg", "th", "doc_id", "start")
     hit = uses.join(answers, "seg").where("low < doc_id")
     begin = F.col("start") + F.col("off")
-    ranges = hit.select("rk", F.struct(begin.alias("s"), (begin + F.col("cnt") + (window - 1)).alias("e")).alias("x")).groupBy("rk").agg(F.collect_list("x").alias("ranges"))
+    ranges = hit.select("doc_id", "th", F.struct(begin.alias("s"), (begin + F.col("cnt") + (window - 1)).alias("e")).alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("ranges"))
     ranges = scratch.save(ranges, "ranges")
-    _swept(scratch)
+    scratch.swept()
     scratch.drop("segments")
-    return rows.join(ranges, "rk", "left").select("doc_id", "text", "ranges")
+    return rows.join(ranges, ["doc_id", "th"], "left").select("doc_id", "text", "ranges")
 
 
 def removed_units(ranges: pa.Array, first: np.ndarray) -> np.ndarray:
