@@ -7,7 +7,8 @@ common ones last), so a token's index list holds all candidates for it. Lists ar
 Answers come from highly similar sets first: each set is compared with the one leader that it meets in most lists, and
 verified links join them. What a leader's component already answers is skipped afterwards: only pairs of different
 components are left, and of these a list, sorted by size and place, skips whole blocks that are too long or stand too
-late to reach the overlap they need. The remaining pairs are compared in full, so no link between components is lost.
+late to reach the overlap they need. Pairs that meet in too few lists are ruled out by the count (see _meets_needed),
+and the remaining ones are compared in full, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -172,6 +173,13 @@ def _needed(n1, n2, percent: int):
     return -(-percent * (n1 + n2) // (100 + percent))
 
 
+def _meets_needed(n1, n2, percent: int):
+    """In how many lists a linked pair meets at least. All tokens they share up to the end of the prefix that ends first
+    are lists they meet in, and the set whose prefix that is has only ceil(percent * n / 100) - 1 tokens after it."""
+    after = (percent * np.maximum(n1, n2) + 99) // 100 - 1
+    return np.maximum(_needed(n1, n2, percent) - after, 1)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """(sig, n, at, comp) of each list; its rows come sorted by token, and one list is held at a time."""
     held: list[tuple] = []
@@ -189,46 +197,47 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (a, b, need) as distinct ones and how often each occurs."""
+    rows = np.concatenate(found, axis=0)
+    found.clear()
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    begin = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
+    columns = [np.ascontiguousarray(rows[begin, k]) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.diff(np.append(begin, len(rows))))], ["a", "b", "need", "meets"])
+
+
 def _leaders(batches: Iterator[pa.RecordBatch], salt: int, percent: int) -> Iterator[pa.RecordBatch]:
     """For each list, each set's way to the list's leader (the set of the smallest salted hash in its largest
-    component), where their components differ and their sizes allow a link: (a, b, meets) with the lists they meet in."""
+    component), where their components differ and their sizes allow a link: (a, b, need, meets) with the lists in which
+    they meet so, and those a link needs."""
     found: list[np.ndarray] = []
     size = 0
-
-    def flush() -> pa.RecordBatch:
-        pairs, meets = np.unique(np.concatenate(found, axis=0), axis=0, return_counts=True)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(meets)], ["a", "b", "meets"])
-
     for sig, n, _, comp in _lists(batches):
         kinds, counts = np.unique(comp, return_counts=True)
         if len(kinds) < 2:
             continue
         mine = np.flatnonzero(comp == kinds[counts.argmax()])
         lead = mine[tb.mix(sig[mine].view(np.uint64) + np.uint64(salt)).argmin()]
+        n = n.astype(np.int64)
         other = (comp != comp[lead]) & _can(n, n[lead], percent)
         if other.any():
-            found.append(np.stack([sig[other], np.full(int(other.sum()), sig[lead])], 1))
+            found.append(np.stack([sig[other], np.full(int(other.sum()), sig[lead]), _meets_needed(n[other], n[lead], percent)], 1))
             size += len(found[-1])
         if size >= FLUSH:
-            yield flush()
+            yield _counted(found)
             size = 0
     if found:
-        yield flush()
+        yield _counted(found)
 
 
 def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of a list that lie in different components and may reach the overlap they need. A list is sorted by size:
-    from each set on, the block of sets that are not too large for it is taken whole, and of that only places from which
-    enough tokens follow; what both skip is never looked at one by one."""
+    from each set on, the block of sets that are not too large for it is taken whole, and of that only places before and
+    after which enough tokens can be shared; what both skip is never looked at one by one."""
     found: list[np.ndarray] = []
     size = 0
-
-    def flush() -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(found, axis=0), axis=0)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
-
     for sig, n, at, comp in _lists(batches):
         if (comp == comp[0]).all():
             continue
@@ -237,17 +246,17 @@ def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         end = np.searchsorted(n, 100 * n // percent, "right")
         for i in range(len(sig) - 1):
             j = slice(i + 1, int(end[i]))
-            rest = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)
-            ok = np.flatnonzero((comp[j] != comp[i]) & (rest >= _needed(n[i], n[j], percent)))
+            most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)
+            ok = np.flatnonzero((comp[j] != comp[i]) & (most >= _needed(n[i], n[j], percent)))
             if len(ok):
                 b = sig[j][ok]
-                found.append(np.stack([np.minimum(sig[i], b), np.maximum(sig[i], b)], 1))
+                found.append(np.stack([np.minimum(sig[i], b), np.maximum(sig[i], b), _meets_needed(n[i], n[j][ok], percent)], 1))
                 size += len(ok)
             if size >= FLUSH:
-                yield flush()
+                yield _counted(found)
                 size = 0
     if found:
-        yield flush()
+        yield _counted(found)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -310,9 +319,23 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     prefixes = rows.select("text").mapInArrow(lambda it: _prefixes(it, levels, shingle, percent, buckets), LISTS)
     lists = swept(prefixes.repartition("bucket").mapInArrow(_several, "token long, sig long, n int, at int"), "lists")
-    wanted = lists.select("sig").distinct().join(classes, "sig").select("sig", "rk")
-    texts = rows.select("rk", "text").join(wanted, "rk").dropDuplicates(["sig"]).select("sig", "text")
-    tokens = swept(texts.mapInArrow(lambda it: _tokens(it, shingle), "sig long, tokens binary"), "tokens")
+    tokens: list[DataFrame] = []
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs. Sets that no earlier call has read are made from their texts first."""
+        need = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        for t in tokens:
+            need = need.join(t.select("sig"), "sig", "left_anti")
+        wanted = swept(need.join(classes, "sig").select("sig", "rk"), f"{name}-wanted")
+        if wanted.head(1):
+            texts = rows.select("rk", "text").join(wanted, "rk").dropDuplicates(["sig"]).select("sig", "text")
+            tokens.append(swept(texts.mapInArrow(lambda it: _tokens(it, shingle), "sig long, tokens binary"), f"{name}-tokens"))
+        if not tokens:
+            return pairs.select("a", "b").where("false")
+        every = tokens[0]
+        for t in tokens[1:]:
+            every = every.unionByName(t)
+        return swept(_links(pairs, every, percent), f"{name}-links")
 
     def by_list(lists: DataFrame) -> DataFrame:
         return lists.repartition("token").sortWithinPartitions("token").select("token", "sig", "n", "at", "comp")
@@ -326,14 +349,17 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     left = lists.withColumn("comp", F.col("sig"))
     links = None
+    met_in = "a long, b long, need long, meets long"
     for k in range(leader_rounds):
-        met = by_list(left).mapInArrow(lambda it, k=k: _leaders(it, 977 * k + 1, percent), "a long, b long, meets long")
-        best = met.groupBy("a", "b").agg(F.sum("meets").alias("meets")).groupBy("a").agg(F.max_by("b", F.struct("meets", "b")).alias("b"))
-        new = swept(_links(best, tokens, percent), f"links{k}")
+        met = by_list(left).mapInArrow(lambda it, k=k: _leaders(it, 977 * k + 1, percent), met_in)
+        met = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("meets").alias("meets")).where("2 * meets >= need")
+        best = swept(met.groupBy("a").agg(F.max_by("b", F.struct("meets", "b")).alias("b")), f"leaders{k}")
+        new = compared(best, f"round{k}")
         links = new if links is None else links.unionByName(new)
         _, left = rooted(lists if k == 0 else left.drop("comp"), links, f"round{k}")
-    pairs = swept(by_list(left).mapInArrow(lambda it: _crossing(it, percent), "a long, b long").distinct(), "pairs")
-    new = swept(_links(pairs, tokens, percent), "links-rest")
+    met = by_list(left).mapInArrow(lambda it: _crossing(it, percent), met_in)
+    pairs = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("meets").alias("meets")).where("meets >= need").select("a", "b")
+    new = compared(swept(pairs, "pairs"), "rest")
     links = new if links is None else links.unionByName(new)
     roots = components(links, scratch, "all")
 
