@@ -1 +1,173 @@
+"""Queries of text scalars and extractors."""
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from millrace.functions import text as X
+from millrace.functions.stem import stem
+from millrace.registry import query, table
+
+
+@query("X2 X35 X18", "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower('Width 1 in ' || p_size || ', load ' || p_size || '  KG – at ' || p_partkey || ' km/h  “max”'), '[–—]', '-', 'g'), '[“”]', '\"', 'g'), '\\s+', ' ', 'g')) AS before, length(p_name) AS n FROM part")
+def squashed_text(spark, d):
+    t = F.concat(F.lit("Width 1 in "), "p_size", F.lit(", load "), "p_size", F.lit("  KG – at "), "p_partkey", F.lit(" km/h  “max”"))
+    return table(spark, d, "part").select("p_partkey", F.trim(F.regexp_replace(F.translate(F.lower(t), "–—“”", '--""'), r"\s+", " ")).alias("before"), F.length("p_name").alias("n"))
+
+
+@query("X2")
+def normalized_units(spark, d):
+    """One spelling for ratios, weights and speeds: 1 in 12 and 1:12 become 1in12, 60 kg becomes 60kg, km/h becomes kmph."""
+    t = F.concat(F.lit("1 in "), "p_size", F.lit(" or 1:"), "p_size", F.lit(" at 60 kg and "), "p_partkey", F.lit(" km/h"))
+    return table(spark, d, "part").select("p_partkey", X.normalize(t).alias("text"))
+
+
+@query("X3 X41", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::INTEGER AS n_tokens, sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ')) AS distinct_tokens FROM documents")
+def token_sets(spark, d):
+    t = X.raw_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.sha2(F.array_join(F.array_sort(F.array_distinct(t)), " "), 256).alias("distinct_tokens"))
+
+
+@query("X3", "WITH x AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' a/b ' || p_size || '.' || p_partkey || ' c.d'), '[a-z0-9]+(?:[./][a-z0-9]+)*') AS t FROM part) SELECT p_partkey, array_to_string(flatten(list_transform(t, lambda w: CASE WHEN regexp_matches(w, '[./]') AND NOT regexp_matches(w, '^[0-9]+\\.[0-9]+$') THEN list_concat([w], regexp_split_to_array(w, '[./]')) ELSE [w] END)), ' ') AS tokens FROM x")
+def compound_tokens(spark, d):
+    t = F.concat("p_name", F.lit(" a/b "), "p_size", F.lit("."), "p_partkey", F.lit(" c.d"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.compound_tokens(t), " ").alias("tokens"))
+
+
+@query("X1")
+def stemmed_terms(spark, d):
+    """Distinct terms of the documents and their stems: each term is stemmed once, however often it occurs."""
+    t = table(spark, d, "documents").select(F.explode(X.terms(F.col("text"))).alias("term")).distinct()
+    return t.select("term", F.pandas_udf(lambda s: s.map(stem), StringType())("term").alias("stem"))
+
+
+@query("X5", "WITH x AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|' || chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS s FROM documents) SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM x GROUP BY doc_id")
+def sentence_counts(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    return x.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("s")).cast("long").alias("longest"))
+
+
+@query("X8 X42", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'at most ' || printf('%.2f', l_quantity) || ' kg' WHEN 1 THEN 'at least ' || printf('%.2f', l_tax) || ' kg' WHEN 2 THEN printf('%.2f', l_tax) || ' to ' || printf('%.2f', l_quantity) || ' kg' ELSE printf('%.2f', l_tax) || ' kg' END AS said FROM lineitem WHERE l_orderkey < 500")
+def value_in_words(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("max", "min", "range", "value"))), F.col("l_linenumber") % 4 + 1)
+    return table(spark, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", X.value_text(kind, F.col("l_tax"), F.col("l_quantity"), F.lit("kg")).alias("said"))
+
+
+@query("X9 X10 F11", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^(hello|hi|thanks)') THEN 'meta' WHEN regexp_matches(lower(text), '(why|how) ') THEN 'explain' WHEN regexp_matches(lower(text), '[?]$') THEN 'question' WHEN length(text) < 40 THEN 'short' ELSE 'statement' END AS intent, CASE WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END AS numeric FROM conversations")
+def intents(spark, d):
+    t = F.lower("text")
+    intent = F.when(t.rlike("^(hello|hi|thanks)"), "meta").when(t.rlike("(why|how) "), "explain").when(t.rlike("[?]$"), "question").when(F.length("text") < 40, "short").otherwise("statement")
+    return table(spark, d, "conversations").select("conv_id", "turn", intent.alias("intent"), F.col("text").rlike("[0-9]").cast("int").alias("numeric"))
+
+
+@query("X12 X11 J3 F22", "WITH x AS (SELECT p_partkey, unnest(regexp_extract_all('see Para ' || p_size || ' and Para ' || (p_size + 7) || ' of Annex ' || (p_partkey % 9), '(Para|Annex) [0-9]+')) AS raw FROM part) SELECT p_partkey, raw, n_name FROM x LEFT JOIN nation ON n_nationkey = regexp_extract(raw, '[0-9]+')::INTEGER AND starts_with(raw, 'Para')")
+def references(spark, d):
+    t = F.concat(F.lit("see Para "), "p_size", F.lit(" and Para "), F.col("p_size") + 7, F.lit(" of Annex "), F.col("p_partkey") % 9)
+    x = table(spark, d, "part").select("p_partkey", F.explode(F.regexp_extract_all(t, F.lit("(?:Para|Annex) [0-9]+"), F.lit(0))).alias("raw"))
+    x = x.withColumn("n_nationkey", F.when(F.col("raw").startswith("Para"), F.regexp_extract("raw", "[0-9]+", 0).cast("int")))
+    return x.join(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", "left").select("p_partkey", "raw", "n_name")
+
+
+@query("X13 X14 X15 F15", "WITH u(spelling, unit) AS (VALUES ('mm', 'mm'), ('millimetre', 'mm'), ('kg', 'kg'), ('kgs', 'kg')), x AS (SELECT p_partkey, unnest(regexp_extract_all('length ' || p_size || ' millimetre, mass ' || (p_size * 2) || ' kgs in 1998', '[0-9]+ [a-z]+')) AS raw FROM part) SELECT p_partkey, raw, split_part(raw, ' ', 1)::DOUBLE AS value, unit FROM x JOIN u ON spelling = split_part(raw, ' ', 2)")
+def measurements(spark, d):
+    """Numbers with a unit, in one spelling of the unit; a number without a known unit (a year) is none."""
+    u = spark.createDataFrame([("mm", "mm"), ("millimetre", "mm"), ("kg", "kg"), ("kgs", "kg")], "spelling string, unit string")
+    t = F.concat(F.lit("length "), "p_size", F.lit(" millimetre, mass "), F.col("p_size") * 2, F.lit(" kgs in 1998"))
+    x = table(spark, d, "part").select("p_partkey", F.explode(F.regexp_extract_all(t, F.lit("[0-9]+ [a-z]+"), F.lit(0))).alias("raw"))
+    x = x.withColumn("spelling", F.split_part("raw", F.lit(" "), F.lit(2)))
+    return x.join(F.broadcast(u), "spelling").select("p_partkey", "raw", F.split_part("raw", F.lit(" "), F.lit(1)).cast("double").alias("value"), "unit")
+
+
+@query("X19 X39", "SELECT p_partkey, 'A part of size _____ by ' || p_brand AS front, substr(p_name, greatest(1, strpos(p_name, ' ') - 3), 7) AS around FROM part")
+def cloze(spark, d):
+    sentence = F.concat(F.lit("A part of size "), "p_size", F.lit(" by "), "p_brand")
+    size = F.length(F.col("p_size").cast("string"))
+    front = F.overlay(sentence, F.lit("_____"), F.lit(16), size)
+    return table(spark, d, "part").select("p_partkey", front.alias("front"), F.substring("p_name", F.greatest(F.lit(1), F.instr("p_name", " ") - 3), F.lit(7)).alias("around"))
+
+
+@query("X20 W17", "SELECT o_orderkey, try_cast(substr(s, 7, 4) || '-' || substr(s, 4, 2) || '-' || substr(s, 1, 2) AS DATE) AS day FROM (SELECT o_orderkey, lpad((o_orderkey % 40)::VARCHAR, 2, '0') || '.' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '.2021' AS s FROM orders)")
+def checked_dates(spark, d):
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    s = F.concat(two(F.col("o_orderkey") % 40), F.lit("."), two(F.col("o_orderkey") % 14), F.lit(".2021"))
+    return table(spark, d, "orders").select("o_orderkey", F.try_to_date(s, "dd.MM.yyyy").alias("day"))
+
+
+@query("X23 X24 X22 S4 A22", "WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS head FROM pages) SELECT page_id, head, length(head) AS n, regexp_matches(head, '^[A-Z]') AS upper FROM x")
+def headings(spark, d):
+    x = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))).alias("head"))
+    return x.select("page_id", "head", F.length("head").cast("long").alias("n"), F.col("head").rlike("^[A-Z]").alias("upper"))
+
+
+@query("S6 X28 X17", "WITH x AS (SELECT page_id, regexp_extract_all(html, '<li>.*?</li>') AS cells FROM pages) SELECT page_id, len(cells)::INTEGER AS n, array_to_string(list_transform(cells, lambda c: regexp_replace(c, '<[^>]*>', '', 'g')), '|') AS menu FROM x")
+def menu_cells(spark, d):
+    cells = F.regexp_extract_all("html", F.lit("<li>.*?</li>"), F.lit(0))
+    return table(spark, d, "pages").select("page_id", F.size(cells).alias("n"), F.array_join(F.transform(cells, lambda c: F.regexp_replace(c, "<[^>]*>", "")), "|").alias("menu"))
+
+
+@query("S4 X23")
+def page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", X.unhtml(F.col("html")).alias("text"))
+
+
+@query("X25", "WITH x AS (SELECT item_id, text, strpos(text, '.') AS a FROM benchmark) SELECT item_id, trim(CASE WHEN a > 0 THEN substr(text, 1, a) ELSE text END) AS first_block, a > 0 AS found FROM x")
+def labelled_block(spark, d):
+    a = F.instr("text", ".")
+    return table(spark, d, "benchmark").select("item_id", F.trim(F.when(a > 0, F.substring("text", F.lit(1), a)).otherwise(F.col("text"))).alias("first_block"), (a > 0).alias("found"))
+
+
+@query("X26 X31", "SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(p_name || ' ' || p_type, '[a-z]{4,}'))), ',') AS facts FROM part")
+def part_facts(spark, d):
+    t = F.regexp_extract_all(F.concat_ws(" ", "p_name", "p_type"), F.lit("[a-z]{4,}"), F.lit(0))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(t)), ",").alias("facts"))
+
+
+@query("X32 A5", "WITH w(word) AS (VALUES ('the'), ('that'), ('than'), ('with')), x AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS word FROM documents) SELECT word, count(*) AS documents FROM x JOIN w USING (word) GROUP BY word")
+def lexicon_mentions(spark, d):
+    w = spark.createDataFrame([("the",), ("that",), ("than",), ("with",)], "word string")
+    x = table(spark, d, "documents").select(F.explode(F.array_distinct(X.raw_tokens(F.col("text")))).alias("word"))
+    return x.join(F.broadcast(w), "word").groupBy("word").agg(F.count("*").alias("documents"))
+
+
+@query("X34", "SELECT doc_id, sha256(text) AS sha, substr(sha1(source || ':' || doc_id), 1, 10) AS short_id FROM documents")
+def hash_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.substring(F.sha1(F.concat("source", F.lit(":"), "doc_id")), 1, 10).alias("short_id"))
+
+
+@query("X37 R20", "SELECT l_orderkey, l_linenumber, contains('qty ' || l_quantity::INTEGER || ' of ' || l_partkey, (l_quantity::INTEGER + l_linenumber % 2)::VARCHAR || ' of') AS grounded FROM lineitem WHERE l_orderkey < 1000")
+def grounded_numbers(spark, d):
+    q = F.col("l_quantity").cast("int")
+    cited = F.concat(F.lit("qty "), q, F.lit(" of "), "l_partkey")
+    return table(spark, d, "lineitem").where("l_orderkey < 1000").select("l_orderkey", "l_linenumber", cited.contains(F.concat(q + F.col("l_linenumber") % 2, F.lit(" of"))).alias("grounded"))
+
+
+@query("X43 X46 F12 F13", "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'consumer' WHEN contains(p_type, 'A') THEN 'with_a' ELSE 'other' END AS class, (length(p_name) - length(regexp_replace(p_name, '[aeiou]', '', 'g')))::DOUBLE / length(p_name) >= 0.3 AS vowels FROM part")
+def classes(spark, d):
+    c = F.when(F.col("p_type").isin("ECONOMY", "PROMO"), "consumer").when(F.col("p_type").contains("A"), "with_a").otherwise("other")
+    n = F.length("p_name")
+    return table(spark, d, "part").select("p_partkey", c.alias("class"), ((n - F.length(F.regexp_replace("p_name", "[aeiou]", ""))) / n >= 0.3).alias("vowels"))
+
+
+@query("X45", "WITH b AS (SELECT p_partkey, p_brand, list_distinct([substr(p_name, i, 2) FOR i IN range(1, length(p_name))]) AS g FROM part WHERE p_partkey <= 300) SELECT x.p_partkey AS a, y.p_partkey AS b, CASE WHEN s >= 0.9 THEN 'same' WHEN s >= 0.6 THEN 'near' ELSE 'apart' END AS bucket FROM (SELECT x.p_partkey, y.p_partkey AS other, len(list_intersect(x.g, y.g)) / len(x.g)::DOUBLE AS s FROM b x JOIN b y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey) z JOIN b x ON x.p_partkey = z.p_partkey JOIN b y ON y.p_partkey = z.other")
+def bigram_containment(spark, d):
+    from millrace.operators.joins import pairs_within
+
+    name = F.col("p_name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2))))
+    p = table(spark, d, "part").where("p_partkey <= 300").select("p_partkey", "p_brand", grams.alias("g"))
+    x = pairs_within(p, ["p_brand"], "p_partkey", ["g"])
+    s = F.size(F.array_intersect("g_a", "g_b")) / F.size("g_a")
+    return x.select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"), F.when(s >= 0.9, "same").when(s >= 0.6, "near").otherwise("apart").alias("bucket"))
+
+
+@query("A23 A22 A24", "WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g') AS line FROM l WHERE trim(line) <> '') SELECT line, count(DISTINCT doc_id) AS documents FROM m GROUP BY line HAVING count(DISTINCT doc_id) >= 8")
+def running_lines(spark, d):
+    """Boilerplate: lines, digits masked, that stand in eight documents or more."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    masked = lines.select("doc_id", F.regexp_replace(F.lower(F.trim("line")), "[0-9]+", "#").alias("line")).where("line <> ''")
+    return masked.distinct().groupBy("line").agg(F.count("*").alias("documents")).where("documents >= 8")
+
+
+@query("F16 F19", "SELECT doc_id, CASE WHEN len(list_filter(w, lambda t: regexp_matches(t, '^[a-zA-Z,.]+$'))) * 2 >= len(w) THEN 'prose' ELSE 'fragment' END AS quality FROM (SELECT doc_id, str_split(text, ' ') AS w FROM documents)")
+def context_quality(spark, d):
+    w = F.split("text", " ")
+    return table(spark, d, "documents").select("doc_id", F.when(F.size(F.filter(w, lambda t: t.rlike(r"^[a-zA-Z,.]+$"))) * 2 >= F.size(w), "prose").otherwise("fragment").alias("quality"))
