@@ -29,6 +29,8 @@ from millrace.llm.scratch import Scratch
 _PLACE = 28
 RUN = np.dtype([("anchor", "<u8"), ("start", "<i4"), ("n", "<u2")])
 SEGMENT = np.dtype([("anchor", "<u8"), ("seg", "<u8"), ("low", "<i8"), ("high", "<i8"), ("n", "<u2")])
+#: A prime above any number of blocks: documents of any regular numbering spread over all blocks.
+_SPREAD = 1_000_003
 #: Entries that a map task gathers before it sends them.
 FLUSH = 1 << 21
 
@@ -74,14 +76,17 @@ def _several(doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
 
 
-def _by_row(doc: np.ndarray, th: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
-    """One row of packed runs for each row key."""
-    order = np.lexsort((th, doc))
-    doc, th, runs = doc[order], th[order], runs[order]
-    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
-    offsets = (np.append(begin, len(doc)) * RUN.itemsize).astype(np.int32)
-    packed = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(runs.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(th[begin]), packed], ["doc_id", "th", "runs"])
+BY_DOCUMENT = "block int, docs binary, ths binary, runs binary"
+
+
+def _by_block(doc: np.ndarray, th: np.ndarray, runs: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """One row of packed runs for each block of documents, with each run's document."""
+    block = doc % _SPREAD % blocks
+    order = np.argsort(block, kind="stable")
+    block, doc, th, runs = block[order], doc[order], th[order], runs[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
+    rows = [(int(block[s]), doc[s:e].tobytes(), th[s:e].tobytes(), runs[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(4)], ["block", "docs", "ths", "runs"])
 
 
 ANCHORS = "bucket int, docs binary, ths binary, anchors binary, at binary, starts binary, counts binary"
@@ -152,8 +157,8 @@ def _unpacked(row: dict):
     return wide.view(np.uint64).ravel(), np.cumsum(np.frombuffer(row["docs"], np.int64))[at], np.frombuffer(row["ths"], np.int32)[at], np.frombuffer(row["starts"], np.int32), np.frombuffer(row["counts"], np.uint16)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's entries -> packed runs by row of the anchors that several documents hold."""
+def _repeated(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """A shard's entries -> packed runs, by block of documents, of the anchors that several documents hold."""
 
     def runs(anchor, start, count) -> np.ndarray:
         out = np.empty(len(anchor), RUN)
@@ -165,7 +170,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             entry = _unpacked(row)
             if row["bucket"] < 0:
-                yield _by_row(entry[1], entry[2], runs(entry[0], entry[3], entry[4]))
+                yield _by_block(entry[1], entry[2], runs(entry[0], entry[3], entry[4]), blocks)
             else:
                 held.append(entry)
     if held:
@@ -176,7 +181,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = order[(_several(doc[order], begin) | flagged)[group]]
         keep = keep[start[keep] >= 0]
         if len(keep):
-            yield _by_row(doc[keep], th[keep], runs(anchor[keep], start[keep], count[keep]))
+            yield _by_block(doc[keep], th[keep], runs(anchor[keep], start[keep], count[keep]), blocks)
 
 
 SEGMENTS = "kind byte, bucket int, segments binary, contents binary, seg long, th int, doc_id long, start int"
@@ -189,21 +194,40 @@ def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
 
 
 def _segments(batches: Iterator[pa.RecordBatch], units: Callable, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, runs) -> kind 0: the distinct segments by bucket; kind 1: every occurrence."""
+    """Blocks of documents -> kind 0: the distinct segments by bucket; kind 1: every occurrence. Rows come with the packed
+    runs of a task's blocks before its documents (doc_id, th, text)."""
     none = lambda n, t: pa.nulls(n, t)
+    known: list[tuple] = []
+    sorted_ = None
     for batch in batches:
-        docs, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        packed = batch.column(3)
+        row = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        packed = np.flatnonzero(row["kind"].to_numpy() == 0)
+        for i in packed.tolist():
+            known.append(tuple(np.frombuffer(row[c][i].as_buffer(), t) for c, t in (("docs", np.int64), ("ths", np.int32), ("runs", RUN))))
+        if len(packed) == batch.num_rows or not known and sorted_ is None:
+            continue
+        if sorted_ is None:
+            sorted_ = tuple(np.concatenate(x) for x in zip(*known, strict=True))
+            order = np.argsort(sorted_[0], kind="stable")
+            sorted_ = tuple(x[order] for x in sorted_)
+            known.clear()
+        batch = batch.slice(len(packed))
+        docs, ths, column = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4)
         held, texts = [], []
         base = 0
-        for a, b, data, offsets in tb.chunks(batch.column(2)):
+        low, high = np.searchsorted(sorted_[0], docs, "left"), np.searchsorted(sorted_[0], docs, "right")
+        for a, b, data, offsets in tb.chunks(column):
+            count = high[a:b] - low[a:b]
+            if not count.any():
+                continue
             values, first = units(data, offsets)
-            runs = [np.frombuffer(b"".join(x), RUN) for x in packed.slice(a, b - a).to_pylist()]
-            row = np.repeat(np.arange(b - a), [len(r) for r in runs])
-            runs = np.concatenate(runs)
-            start, size = first[row] + runs["start"], runs["n"].astype(np.int64) + window - 1
+            at = _gathered(np.arange(len(sorted_[0])), low[a:b], count)
+            line = np.repeat(np.arange(b - a), count)
+            own = sorted_[1][at] == ths[a:b][line]
+            runs, line = sorted_[2][at[own]], line[own]
+            start, size = first[line] + runs["start"], runs["n"].astype(np.int64) + window - 1
             seg = tb.span_hashes(values, start, start + size)
-            held.append((runs["anchor"], seg, docs[a:b][row], ths[a:b][row], runs["start"], runs["n"], start + base))
+            held.append((runs["anchor"], seg, docs[a:b][line], ths[a:b][line], runs["start"], runs["n"], start + base))
             texts.append(values)
             base += len(values)
         if not held:
@@ -281,14 +305,16 @@ def removed_ranges(docs: DataFrame, units: Callable, dtype, index: Callable, win
     a smaller doc_id, as array<struct<s, e>> in no order, null where there are none."""
     scratch = Scratch(docs.sparkSession, name)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = 4 * buckets
     rows = keyed(docs)
     entries = rows.mapInArrow(lambda it: _anchors(it, units, window, gram, buckets), ANCHORS)
-    runs = scratch.save(entries.repartition("bucket").mapInArrow(_repeated, "doc_id long, th int, runs binary"), "runs")
+    runs = scratch.save(entries.repartition("bucket").mapInArrow(lambda it: _repeated(it, blocks), BY_DOCUMENT), "runs")
     scratch.swept()
-    by_row = runs.groupBy("doc_id", "th").agg(F.collect_list("runs").alias("runs"))
-    # equal rows share a key and give equal segments
-    wanted = rows.join(by_row, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
-    found = scratch.save(wanted.mapInArrow(lambda it: _segments(it, units, window, buckets), SEGMENTS), "segments")
+    packed = runs.select(F.lit(0).alias("kind"), "block", "docs", "ths", "runs")
+    texts = rows.select(F.lit(1).alias("kind"), F.pmod(F.pmod("doc_id", F.lit(_SPREAD)), F.lit(blocks)).cast("int").alias("block"), "doc_id", "th", "text")
+    both = packed.unionByName(texts, allowMissingColumns=True).select("kind", "block", "doc_id", "th", "text", "docs", "ths", "runs")
+    dealt = both.repartition("block").sortWithinPartitions("kind")
+    found = scratch.save(dealt.mapInArrow(lambda it: _segments(it, units, window, buckets), SEGMENTS), "segments")
     scratch.swept()
     scratch.drop("runs")
     shards = found.where("kind = 0").select("bucket", "segments", "contents").repartition("bucket")
