@@ -10,6 +10,29 @@ from pyspark.sql import DataFrame
 
 #: Cells of a table that are sent in one row.
 SLICE = 1 << 16
+#: Cells that a counter gathers before it adds them.
+HELD = 1 << 21
+
+
+class Counter:
+    """Counts of cells, added in large batches."""
+
+    def __init__(self, cells: int):
+        self.counts, self.held, self.size = np.zeros(cells, np.int64), [], 0
+
+    def add(self, cells: np.ndarray) -> None:
+        self.held.append(cells)
+        self.size += len(cells)
+        if self.size >= HELD:
+            self.done()
+
+    def done(self) -> np.ndarray:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
+            self.held, self.size = [], 0
+        return self.counts
+
+
 COUNTS = "slice int, cells binary, counts binary, large binary"
 
 

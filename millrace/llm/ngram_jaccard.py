@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textbuf as tb
 from millrace.llm.components import components
-from millrace.llm.counting import COUNTS, gather, sliced
+from millrace.llm.counting import COUNTS, Counter, gather, sliced
 from millrace.llm.scratch import Scratch
 
 SHINGLE, PERCENT = 5, 80
 #: log2 of the cells in which shingles are counted for their order.
-CELL_BITS = 21
+CELL_BITS = 22
 #: Rounds in which sets are compared with a leader only.
 LEADER_ROUNDS = 2
 FLUSH = 1 << 20
@@ -75,11 +75,11 @@ def _signatures(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts = Counter(1 << CELL_BITS)
     for batch in batches:
-        for _, _, data, offsets in tb.chunks(batch.column(0), 4 << 20):
-            counts += np.bincount((_shingles(data, offsets, k)[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
-    yield from sliced([counts])
+        for _, _, data, offsets in tb.chunks(batch.column(0)):
+            counts.add((_shingles(data, offsets, k)[0] >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
+    yield from sliced([counts.done()])
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -180,23 +180,31 @@ def _meets_needed(n1, n2, percent: int):
     return np.maximum(_needed(n1, n2, percent) - after, 1)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(sig, n, at, comp) of each list; its rows come sorted by token, and one list is held at a time."""
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(token, sig, n, at, comp) of some whole lists at a time; rows come sorted by token."""
     held: list[tuple] = []
-    token = None
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]])) if len(columns[0]) else [], len(columns[0])).astype(np.int64)
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            if held and columns[0][s] != token:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held = []
-            token = columns[0][s]
-            held.append(tuple(c[s:e] for c in columns[1:]))
+        columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(columns[0]):
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+        if held and held[0][0][0] != columns[0][-1] or last:
+            yield tuple(np.concatenate(x) for x in zip(*held, tuple(c[:last] for c in columns), strict=True))
+            held = []
+        held.append(tuple(c[last:] for c in columns))
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """First place of each run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
     """Rows (a, b, need) as distinct ones and how often each occurs."""
     rows = np.concatenate(found, axis=0)
@@ -214,17 +222,23 @@ def _leaders(batches: Iterator[pa.RecordBatch], salt: int, percent: int) -> Iter
     they meet so, and those a link needs."""
     found: list[np.ndarray] = []
     size = 0
-    for sig, n, _, comp in _lists(batches):
-        kinds, counts = np.unique(comp, return_counts=True)
-        if len(kinds) < 2:
-            continue
-        mine = np.flatnonzero(comp == kinds[counts.argmax()])
-        lead = mine[tb.mix(sig[mine].view(np.uint64) + np.uint64(salt)).argmin()]
-        n = n.astype(np.int64)
-        other = (comp != comp[lead]) & _can(n, n[lead], percent)
-        if other.any():
-            found.append(np.stack([sig[other], np.full(int(other.sum()), sig[lead]), _meets_needed(n[other], n[lead], percent)], 1))
-            size += len(found[-1])
+    for token, sig, n, _, comp in _whole_lists(batches):
+        order = np.lexsort((comp, token))
+        token, sig, n, comp = token[order], sig[order], n[order].astype(np.int64), comp[order]
+        part = _begins(token, comp)
+        count = np.diff(np.append(part, len(token)))
+        best = np.lexsort((-count, token[part]))
+        best = best[_begins(token[part][best])]  # the largest component of each list
+        main = np.zeros(len(part), bool)
+        main[best] = True
+        rows = np.flatnonzero(np.repeat(main, count))
+        lead = rows[np.lexsort((tb.mix(sig[rows].view(np.uint64) + np.uint64(salt)), token[rows]))]
+        lead = np.repeat(lead[_begins(token[lead])], np.diff(np.append(_begins(token), len(token))))
+        other = np.flatnonzero((comp != comp[lead]) & _can(n, n[lead], percent))
+        if len(other):
+            lead = lead[other]
+            found.append(np.stack([sig[other], sig[lead], _meets_needed(n[other], n[lead], percent)], 1))
+            size += len(other)
         if size >= FLUSH:
             yield _counted(found)
             size = 0
@@ -238,23 +252,36 @@ def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     after which enough tokens can be shared; what both skip is never looked at one by one."""
     found: list[np.ndarray] = []
     size = 0
-    for sig, n, at, comp in _lists(batches):
-        if (comp == comp[0]).all():
-            continue
-        order = np.lexsort((sig, n))
-        sig, n, at, comp = sig[order], n[order].astype(np.int64), at[order].astype(np.int64), comp[order]
-        end = np.searchsorted(n, 100 * n // percent, "right")
-        for i in range(len(sig) - 1):
-            j = slice(i + 1, int(end[i]))
-            most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)
-            ok = np.flatnonzero((comp[j] != comp[i]) & (most >= _needed(n[i], n[j], percent)))
-            if len(ok):
-                b = sig[j][ok]
-                found.append(np.stack([np.minimum(sig[i], b), np.maximum(sig[i], b), _meets_needed(n[i], n[j][ok], percent)], 1))
-                size += len(ok)
-            if size >= FLUSH:
-                yield _counted(found)
-                size = 0
+
+    def add(sig, n, at, comp, i, j) -> int:
+        """Of pairs of places i and j, those that may be links."""
+        short, late = np.minimum(n[i] - at[i], n[j] - at[j]), np.minimum(at[i], at[j])
+        need = _meets_needed(n[i], n[j], percent)
+        prefix = [n[x] - (percent * n[x] + 99) // 100 + 1 - at[x] for x in (i, j)]
+        ok = (comp[i] != comp[j]) & _can(n[i], n[j], percent) & (late + short >= _needed(n[i], n[j], percent)) & (late + np.minimum(*prefix) >= need)
+        if ok.any():
+            a, b = np.broadcast_to(sig[i], ok.shape)[ok], np.broadcast_to(sig[j], ok.shape)[ok]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.broadcast_to(need, ok.shape)[ok]], 1))
+        return int(ok.sum())
+
+    for token, sig, n, at, comp in _whole_lists(batches):
+        order = np.lexsort((sig, n, token))
+        token, sig, n, at, comp = token[order], sig[order], n[order].astype(np.int64), at[order].astype(np.int64), comp[order]
+        begin = _begins(token)
+        count = np.diff(np.append(begin, len(token)))
+        two = begin[count == 2]
+        size += add(sig, n, at, comp, two, two + 1)
+        for s, c in zip(begin[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            end = s + np.searchsorted(n[s : s + c], 100 * n[s : s + c] // percent, "right")
+            for i in range(s, s + c - 1):
+                if end[i - s] > i + 1:
+                    size += add(sig, n, at, comp, i, np.arange(i + 1, end[i - s]))
+                if size >= FLUSH:
+                    yield _counted(found)
+                    size = 0
+        if size >= FLUSH:
+            yield _counted(found)
+            size = 0
     if found:
         yield _counted(found)
 
@@ -282,8 +309,8 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 def _links(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; each set is read by a join on its signature."""
-    one = pairs.join(tokens.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
-    both = one.join(tokens.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
+    one = pairs.hint("merge").join(tokens.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
+    both = one.hint("merge").join(tokens.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
 
 
@@ -328,7 +355,7 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
             need = need.join(t.select("sig"), "sig", "left_anti")
         wanted = swept(need.join(classes, "sig").select("sig", "rk"), f"{name}-wanted")
         if wanted.head(1):
-            texts = rows.select("rk", "text").join(wanted, "rk").dropDuplicates(["sig"]).select("sig", "text")
+            texts = rows.select("rk", "text").join(wanted.hint("merge"), "rk").dropDuplicates(["sig"]).select("sig", "text")
             tokens.append(swept(texts.mapInArrow(lambda it: _tokens(it, shingle), "sig long, tokens binary"), f"{name}-tokens"))
         if not tokens:
             return pairs.select("a", "b").where("false")
