@@ -1 +1,64 @@
+"""Constraint queries: each gives the rows that break a rule, named by the rule and the row's key."""
 
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from millrace.operators import quality as Q
+from millrace.registry import query, table
+
+
+@query("C1 C18", "SELECT 'c_mktsegment not in list' AS rule, c_custkey AS key FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE') UNION ALL SELECT 'c_acctbal out of range', c_custkey FROM customer WHERE c_acctbal NOT BETWEEN 0 AND 9000 UNION ALL SELECT 'c_name has no match', c_custkey FROM customer WHERE NOT regexp_matches(c_name, '[0-4]$')")
+def schema_violations(spark, d):
+    rules = {"c_mktsegment not in list": ~F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "c_acctbal out of range": ~F.col("c_acctbal").between(0, 9000), "c_name has no match": ~F.col("c_name").rlike("[0-4]$")}
+    return Q.violations(table(spark, d, "customer"), "c_custkey", rules)
+
+
+@query("C2 C3 C4 C16", "SELECT 'duplicate key' AS rule, k AS key FROM (SELECT c_custkey % 900 AS k FROM customer) GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'dangling', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def graph_violations(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    twice = Q.duplicates(c.select((F.col("c_custkey") % 900).alias("key")), "key")
+    return twice.unionByName(Q.dangling(o, "o_orderkey", "o_custkey", c.where("c_acctbal > 0"), "c_custkey"))
+
+
+@query("C5 C14 S7", "SELECT 'missing' AS rule, p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20) UNION ALL SELECT 'unexpected', l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49) WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)")
+def coverage_violations(spark, d):
+    p, line = table(spark, d, "part"), table(spark, d, "lineitem")
+    have = line.where("l_quantity > 20").select(F.col("l_partkey").alias("p_partkey"))
+    missing = p.join(have, "p_partkey", "left_anti").select(F.lit("missing").alias("rule"), F.col("p_partkey").alias("key"))
+    extra = line.where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct().join(p.where("p_size < 40").select("p_partkey"), "p_partkey", "left_anti")
+    return missing.unionByName(extra.select(F.lit("unexpected").alias("rule"), F.col("p_partkey").alias("key")))
+
+
+@query("C7 C8 C9 W14", "WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders) SELECT 'order dates go back' AS rule, o_orderkey AS key FROM s WHERE after < o_orderdate")
+def order_violations(spark, d):
+    return Q.backward(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_orderdate", "order dates go back")
+
+
+@query("C10 C11 C15", "SELECT CASE WHEN l_tax > l_discount THEN 'bounds reversed' END AS rule, l_orderkey * 10 + l_linenumber AS key FROM lineitem WHERE l_tax > l_discount UNION ALL SELECT 'not in unit list', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')")
+def measurement_violations(spark, d):
+    line = table(spark, d, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return Q.violations(line, "key", {"bounds reversed": F.col("l_tax") > F.col("l_discount"), "not in unit list": ~F.col("l_returnflag").isin("A", "N")})
+
+
+@query("C12 C13", "WITH r AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT 'row count' AS rule, l_orderkey AS key FROM r WHERE n > 6")
+def table_violations(spark, d):
+    r = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("cells"))
+    return Q.violations(r, "l_orderkey", {"row count": F.size("cells") > 6})
+
+
+@query("C19", "SELECT 'edge leaves its region' AS rule, o_orderkey AS key FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY o_orderkey")
+def isolation_violations(spark, d):
+    n = table(spark, d, "nation")
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == n.n_nationkey).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("ra"))
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("rb"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(c, "o_custkey")
+    x = o.join(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey").join(s, "l_suppkey").where("ra <> rb")
+    return x.select(F.lit("edge leaves its region").alias("rule"), F.col("l_orderkey").alias("key")).distinct()
+
+
+@query("C17 A34", "WITH v AS (SELECT 'segment' AS gate, count(*) AS n FROM customer WHERE c_mktsegment IS NULL UNION ALL SELECT 'price', count(*) FROM part WHERE p_retailprice <= 0 UNION ALL SELECT 'long', count(*) FROM documents WHERE n_chars > 5000) SELECT gate, n, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v")
+def gate_report(spark, d):
+    gates = {"segment": table(spark, d, "customer").where("c_mktsegment IS NULL"), "price": table(spark, d, "part").where("p_retailprice <= 0"), "long": table(spark, d, "documents").where("n_chars > 5000")}
+    rows = [df.agg(F.lit(name).alias("gate"), F.count("*").alias("n")) for name, df in gates.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows).withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise("FAIL"))
