@@ -4,6 +4,7 @@ from millrace.llm.decontaminate import op2_decontaminate
 from millrace.llm.fingerprint import op3_fingerprints
 from millrace.llm.lm_score import op6_lm_score
 from millrace.llm.ngram_jaccard import op1_ngram_jaccard
+from millrace.llm.oracles import ORACLE_SQL
 from millrace.llm.packing import op8_packing
 from millrace.llm.pii import op9_pii
 from millrace.llm.substring_dedup import op5_substring_dedup
@@ -23,4 +24,5 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

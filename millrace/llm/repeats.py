@@ -6,7 +6,9 @@ settled in the shard that its hash names:
 
 1. ``_anchors``: each document's windows, gathered into runs that share an anchor; a shard keeps the runs of anchors
    that stand in two documents or more. A task sends a shard each anchor once, however many of its documents hold it.
-2. ``_segments``: the text under those runs; a task sends each distinct one once, with the smallest doc_id that has it.
+   Where all runs of an anchor have equal text, its smallest doc_id already is the answer for each of their windows, as
+   an index over that one text would say.
+2. ``_segments``: the text under the other runs; a task sends each distinct one once, with the smallest doc_id that has it.
 3. the caller's index over a shard's distinct segments says, for each of their windows, the smallest doc_id of any
    segment that holds it.
 4. a join of all occurrences with that answer, on the segment's hash, gives the ranges to remove. Spark splits its
@@ -32,7 +34,7 @@ SEGMENT = np.dtype([("anchor", "<u8"), ("seg", "<u8"), ("low", "<i8"), ("high",
 #: A prime above any number of blocks: documents of any regular numbering spread over all blocks.
 _SPREAD = 1_000_003
 #: Entries that a map task gathers before it sends them.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +48,7 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _runs(values: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """(anchor hash, row, first window in the row, number of windows) of the runs of windows that share an anchor."""
+    """(anchor hash, hash of the text, row, first window in the row, number of windows) of the runs that share an anchor."""
     n = len(values)
     at = np.arange(n - gram + 1)
     hashes = tb.span_hashes(values, at, at + gram)
@@ -60,7 +62,7 @@ def _runs(values: np.ndarray, first: np.ndarray, window: int, gram: int):
     begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     start, count = valid[begin], np.diff(np.append(begin, len(valid)))
     row = np.searchsorted(first, start, "right") - 1
-    return hashes[place[begin]], row, start - first[row], count
+    return hashes[place[begin]], tb.span_hashes(values, start, start + count + window - 1), row, start - first[row], count
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,21 +78,23 @@ def _several(doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
 
 
-BY_DOCUMENT = "block int, docs binary, ths binary, runs binary"
+BY_DOCUMENT = "kind int, block int, docs binary, ths binary, runs binary"
 
 
-def _by_block(doc: np.ndarray, th: np.ndarray, runs: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """One row of packed runs for each block of documents, with each run's document."""
+def _by_block(kind: int, doc: np.ndarray, th: np.ndarray, runs: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """One row of packed runs for each block of documents, with each run's document. kind 0: runs whose text is to be
+    compared; 1: runs that are settled, all their windows being in a smaller document."""
     block = doc % _SPREAD % blocks
     order = np.argsort(block, kind="stable")
     block, doc, th, runs = block[order], doc[order], th[order], runs[order]
     edges = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
     rows = [(int(block[s]), doc[s:e].tobytes(), th[s:e].tobytes(), runs[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(4)], ["block", "docs", "ths", "runs"])
+    columns = [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(4)]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *columns], ["kind", "block", "docs", "ths", "runs"])
 
 
-ANCHORS = "bucket int, docs binary, ths binary, anchors binary, at binary, starts binary, counts binary"
-_NAMES = ["bucket", "docs", "ths", "anchors", "at", "starts", "counts"]
+ANCHORS = "bucket int, docs binary, ths binary, anchors binary, segs binary, at binary, starts binary, counts binary"
+_NAMES = ["bucket", "docs", "ths", "anchors", "segs", "at", "starts", "counts"]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -101,7 +105,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gr
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal turn
-        anchor, doc, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, seg, doc, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
         order, begin, group = _grouped(anchor)
         several = _several(doc[order], begin)
         known = several[group]
@@ -109,13 +113,13 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gr
         mine = order[known]
         if len(mine):
             turn += 1
-            yield _packed(np.full(len(mine), -turn), anchor[mine], doc[mine], th[mine], start[mine], count[mine])
+            yield _packed(np.full(len(mine), -turn), anchor[mine], seg[mine], doc[mine], th[mine], start[mine], count[mine])
         rest = np.concatenate([order[~known], flag])
         start = start.copy()
         start[flag] = -1
         if len(rest):
             bucket = (anchor[rest] >> np.uint64(40)).astype(np.int64) % buckets
-            yield _packed(bucket, anchor[rest], doc[rest], th[rest], start[rest], count[rest])
+            yield _packed(bucket, anchor[rest], seg[rest], doc[rest], th[rest], start[rest], count[rest])
         held.clear()
 
     for batch in batches:
@@ -124,8 +128,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gr
             values, first = units(data, offsets)
             if len(values) < window or (found := _runs(values, first, window, gram)) is None:
                 continue
-            anchor, row, start, count = found
-            held.append((anchor, docs[a:b][row], ths[a:b][row], start.astype(np.int32), count.astype(np.uint16)))
+            anchor, seg, row, start, count = found
+            held.append((anchor, seg, docs[a:b][row], ths[a:b][row], start.astype(np.int32), count.astype(np.uint16)))
             size += len(anchor)
             if size >= FLUSH:
                 yield from flush()
@@ -134,27 +138,29 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gr
         yield from flush()
 
 
-def _packed(bucket, anchor, doc, th, start, count) -> pa.RecordBatch:
+def _packed(bucket, anchor, seg, doc, th, start, count) -> pa.RecordBatch:
     """Entries as one row for each bucket. Each document of a bucket is named once, as the step from the one before."""
     order = np.lexsort((start, th, doc, bucket))
-    bucket, anchor, doc, th, start, count = (x[order] for x in (bucket, anchor, doc, th, start, count))
+    bucket, anchor, seg, doc, th, start, count = (x[order] for x in (bucket, anchor, seg, doc, th, start, count))
     columns: list[list] = [[] for _ in _NAMES]
     edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-    six = np.ascontiguousarray(anchor).view(np.uint8).reshape(-1, 8)[:, 2:]
+    six, text = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:] for x in (anchor, seg))
     for s, e in zip(edges[:-1], edges[1:], strict=True):
         new = np.concatenate([[True], (doc[s + 1 : e] != doc[s : e - 1]) | (th[s + 1 : e] != th[s : e - 1])])
         heads = np.flatnonzero(new) + s
         steps = np.diff(doc[heads], prepend=0)
-        for c, v in zip(columns, (int(bucket[s]), steps.tobytes(), th[heads].tobytes(), six[s:e].tobytes(), new.tobytes(), start[s:e].tobytes(), count[s:e].astype(np.uint16).tobytes()), strict=True):
+        for c, v in zip(columns, (int(bucket[s]), steps.tobytes(), th[heads].tobytes(), six[s:e].tobytes(), text[s:e].tobytes(), new.tobytes(), start[s:e].tobytes(), count[s:e].astype(np.uint16).tobytes()), strict=True):
             c.append(v)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], _NAMES)
 
 
 def _unpacked(row: dict):
     at = np.cumsum(np.frombuffer(row["at"], bool)) - 1
-    wide = np.zeros((len(at), 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(row["anchors"], np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel(), np.cumsum(np.frombuffer(row["docs"], np.int64))[at], np.frombuffer(row["ths"], np.int32)[at], np.frombuffer(row["starts"], np.int32), np.frombuffer(row["counts"], np.uint16)
+    wide = np.zeros((2, len(at), 8), np.uint8)
+    for k, c in enumerate(("anchors", "segs")):
+        wide[k, :, 2:] = np.frombuffer(row[c], np.uint8).reshape(-1, 6)
+    anchor, seg = wide.view(np.uint64)[:, :, 0]
+    return anchor, seg, np.cumsum(np.frombuffer(row["docs"], np.int64))[at], np.frombuffer(row["ths"], np.int32)[at], np.frombuffer(row["starts"], np.int32), np.frombuffer(row["counts"], np.uint16)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
@@ -170,18 +176,24 @@ def _repeated(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.Rec
         for row in batch.to_pylist():
             entry = _unpacked(row)
             if row["bucket"] < 0:
-                yield _by_block(entry[1], entry[2], runs(entry[0], entry[3], entry[4]), blocks)
+                yield _by_block(0, entry[2], entry[3], runs(entry[0], entry[4], entry[5]), blocks)
             else:
                 held.append(entry)
     if held:
-        anchor, doc, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, seg, doc, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order, begin, group = _grouped(anchor)
         flagged = np.minimum.reduceat(start[order], begin) < 0
-        keep = order[(_several(doc[order], begin) | flagged)[group]]
+        alike = (np.minimum.reduceat(seg[order], begin) == np.maximum.reduceat(seg[order], begin)) & ~flagged
+        low = np.minimum.reduceat(doc[order], begin)
+        several = _several(doc[order], begin) | flagged
+        settled = order[(alike & several)[group] & (doc[order] > low[group])]
+        if len(settled):
+            yield _by_block(1, doc[settled], th[settled], runs(anchor[settled], start[settled], count[settled]), blocks)
+        keep = order[(several & ~alike)[group]]
         keep = keep[start[keep] >= 0]
         if len(keep):
-            yield _by_block(doc[keep], th[keep], runs(anchor[keep], start[keep], count[keep]), blocks)
+            yield _by_block(0, doc[keep], th[keep], runs(anchor[keep], start[keep], count[keep]), blocks)
 
 
 SEGMENTS = "kind byte, bucket int, segments binary, contents binary, seg long, th int, doc_id long, start int"
@@ -301,8 +313,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def removed_ranges(docs: DataFrame, units: Callable, dtype, index: Callable, window: int, gram: int, block: int, name: str) -> DataFrame:
-    """(doc_id, text, ranges) of every row of docs: ranges of units under windows that also start in a document of
-    a smaller doc_id, as array<struct<s, e>> in no order, null where there are none."""
+    """Every row of docs with the ranges of its units under windows that also start in a document of a smaller doc_id, laid
+    out for with_ranges: blocks of documents, ranges before texts."""
     scratch = Scratch(docs.sparkSession, name)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = 4 * buckets
@@ -310,34 +322,62 @@ def removed_ranges(docs: DataFrame, units: Callable, dtype, index: Callable, win
     entries = rows.mapInArrow(lambda it: _anchors(it, units, window, gram, buckets), ANCHORS)
     runs = scratch.save(entries.repartition("bucket").mapInArrow(lambda it: _repeated(it, blocks), BY_DOCUMENT), "runs")
     scratch.swept()
-    packed = runs.select(F.lit(0).alias("kind"), "block", "docs", "ths", "runs")
-    texts = rows.select(F.lit(1).alias("kind"), F.pmod(F.pmod("doc_id", F.lit(_SPREAD)), F.lit(blocks)).cast("int").alias("block"), "doc_id", "th", "text")
+    packed = runs.where("kind = 0")
+    own = F.pmod(F.pmod("doc_id", F.lit(_SPREAD)), F.lit(blocks)).cast("int").alias("block")
+    texts = rows.select(F.lit(2).alias("kind"), own, "doc_id", "th", "text")
     both = packed.unionByName(texts, allowMissingColumns=True).select("kind", "block", "doc_id", "th", "text", "docs", "ths", "runs")
     dealt = both.repartition("block").sortWithinPartitions("kind")
     found = scratch.save(dealt.mapInArrow(lambda it: _segments(it, units, window, buckets), SEGMENTS), "segments")
     scratch.swept()
-    scratch.drop("runs")
     shards = found.where("kind = 0").select("bucket", "segments", "contents").repartition("bucket")
     answers = scratch.save(shards.mapInArrow(lambda it: _answers(it, index, dtype, window, block), "seg long, off int, cnt int, low long"), "answers")
     scratch.swept()
     uses = found.where("kind = 1").select("seg", "th", "doc_id", "start")
     hit = uses.join(answers, "seg").where("low < doc_id")
-    begin = F.col("start") + F.col("off")
-    ranges = hit.select("doc_id", "th", F.struct(begin.alias("s"), (begin + F.col("cnt") + (window - 1)).alias("e")).alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("ranges"))
+    ranges = hit.select(F.lit(0).alias("kind"), own, "doc_id", "th", (F.col("start") + F.col("off")).alias("start"), (F.col("cnt") + (window - 1)).alias("size"))
     ranges = scratch.save(ranges, "ranges")
     scratch.swept()
     scratch.drop("segments")
-    return rows.join(ranges, ["doc_id", "th"], "left").select("doc_id", "text", "ranges")
-
-
-def removed_units(ranges: pa.Array, first: np.ndarray) -> np.ndarray:
-    """Whether each unit of a chunk's rows lies in one of its row's ranges."""
-    change = np.zeros(int(first[-1]) + 1, np.int64)
-    ranges = ranges.fill_null([]) if ranges.null_count else ranges
-    flat = ranges.flatten()
-    row = np.repeat(np.arange(len(ranges)), np.diff(ranges.offsets.to_numpy()))
-    if len(row):
-        s, e = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        np.add.at(change, first[row] + s, 1)
-        np.add.at(change, first[row] + e, -1)
-    return np.cumsum(change[:-1]) > 0
+    settled = runs.where("kind = 1").select(F.lit(1).alias("kind"), "block", "docs", "ths", "runs")
+    both = ranges.unionByName(settled, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
+    both = both.select("kind", "block", "doc_id", "th", "text", "start", "size", "docs", "ths", "runs")
+    return both.repartition("block").sortWithinPartitions("kind")
+
+
+def with_ranges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.Array, pa.Array, Callable]]:
+    """The rows of removed_ranges as (doc_id, text, marks) of some documents at a time, where marks(a, b, first) says which
+    units of rows a to b, beginning at first, are removed."""
+    known: list[tuple] = []
+    ready = None
+    for batch in batches:
+        row = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        kind = row["kind"].to_numpy()
+        n0, n1 = int(np.searchsorted(kind, 1)), int(np.searchsorted(kind, 2))
+        if n0:
+            known.append(tuple(row[c].slice(0, n0).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "start", "size")))
+        for i in range(n0, n1):
+            runs = np.frombuffer(row["runs"][i].as_buffer(), RUN)
+            known.append((np.frombuffer(row["docs"][i].as_buffer(), np.int64), np.frombuffer(row["ths"][i].as_buffer(), np.int32), runs["start"], runs["n"].astype(np.int32) + (window - 1)))
+        if n1 == batch.num_rows:
+            continue
+        if ready is None:
+            parts = known or [(np.zeros(0, np.int64), *(np.zeros(0, np.int32),) * 3)]
+            ready = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(ready[0], kind="stable")
+            ready = tuple(x[order] for x in ready)
+            known.clear()
+        batch = batch.slice(n1)
+        docs, ths = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+        low, high = np.searchsorted(ready[0], docs, "left"), np.searchsorted(ready[0], docs, "right")
+
+        def marks(a: int, b: int, first: np.ndarray, low=low, high=high, ths=ths) -> np.ndarray:
+            change = np.zeros(int(first[-1]) + 1, np.int64)
+            at = _gathered(np.arange(len(ready[0])), low[a:b], high[a:b] - low[a:b])
+            line = np.repeat(np.arange(b - a), high[a:b] - low[a:b])
+            own = ready[1][at] == ths[a:b][line]
+            start = first[line[own]] + ready[2][at[own]]
+            np.add.at(change, start, 1)
+            np.add.at(change, start + ready[3][at[own]], -1)
+            return np.cumsum(change[:-1]) > 0
+
+        yield batch.column(2), batch.column(4), marks

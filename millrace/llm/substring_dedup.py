@@ -136,12 +136,12 @@ def smallest_documents(text: np.ndarray, size: np.ndarray, n: np.ndarray, low: n
     return out
 
 
-def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _finished(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for docs, texts, marks in repeats.with_ranges(batches, window):
         out: list[list] = [[], [], []]
-        for a, b, data, offsets in tb.chunks(batch.column(1)):
+        for a, b, data, offsets in tb.chunks(texts):
             _, _, first = tb.words(data, offsets, tb.NOT_SPACE)
-            gone = repeats.removed_units(batch.column(2).slice(a, b - a), first)
+            gone = marks(a, b, first)
             raw = data.tobytes()
             for k in range(b - a):
                 words = raw[offsets[k] : offsets[k + 1]].split()
@@ -150,7 +150,7 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[0].append(len(words))
                 out[1].append(m)
                 out[2].append(b" ".join(compress(words, ~cut) if m else words))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([docs, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -166,7 +166,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block:
         return smallest_documents(text, size, n, low, window)
 
     found = repeats.removed_ranges(docs, repeats.word_units, np.uint32, index, window, gram, block, "words")
-    out = found.mapInArrow(_finished, "doc_id long, n_words long, n_removed long, kept string")
+    out = found.mapInArrow(lambda it: _finished(it, window), "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
 

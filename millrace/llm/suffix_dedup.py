@@ -22,7 +22,7 @@ from millrace.llm import textbuf as tb
 
 WINDOW, GRAM = 50, 20
 #: Bytes of segments that one family of indexes covers, and windows of one batch, about.
-BLOCK, BATCH = 1 << 22, 1 << 17
+BLOCK, BATCH = 1 << 20, 1 << 16
 
 
 @dataclass
@@ -81,11 +81,11 @@ def smallest_documents(text: np.ndarray, size: np.ndarray, n: np.ndarray, low: n
     return out
 
 
-def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _finished(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for docs, texts, marks in repeats.with_ranges(batches, window):
         out: list[list] = [[], [], [], [], []]
-        for a, b, data, offsets in tb.chunks(batch.column(1)):
-            gone = repeats.removed_units(batch.column(2).slice(a, b - a), offsets)
+        for a, b, data, offsets in tb.chunks(texts):
+            gone = marks(a, b, offsets)
             edge = gone.copy()
             if len(gone):
                 edge[1:] &= ~gone[:-1]
@@ -98,7 +98,7 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = row[~gone[offsets[k] : offsets[k + 1]]] if cut[k] else row
                 for c, v in zip(out, (len(row), int(cut[k]), int(spans[k]), hashlib.sha256(kept.tobytes()).hexdigest(), kept.tobytes()), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
@@ -115,7 +115,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block:
         return smallest_documents(text, size, n, low, window, batch)
 
     found = repeats.removed_ranges(docs, repeats.byte_units, np.uint8, index, window, gram, block, "bytes")
-    out = found.mapInArrow(_finished, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = found.mapInArrow(lambda it: _finished(it, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
 
