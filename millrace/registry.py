@@ -32,4 +32,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["bm25_topk"](spark, sf_dir)
 
 
-from millrace.plans import evaluation, graphs, quality, relational, retrieval, sequences, texts  # noqa: E402, F401
+from millrace.plans import answering, evaluation, graphs, quality, relational, retrieval, sequences, texts  # noqa: E402, F401
