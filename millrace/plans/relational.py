@@ -115,15 +115,15 @@ def counts_with_default(spark, d):
     return table(spark, d, "part").groupBy(brand, "p_type").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("large"))
 
 
-@query("A2 A26", "SELECT lang, count(*) AS total, count(*) FILTER (n_chars < 100) AS short, count(DISTINCT source) AS sources, round(avg(n_chars), 4) AS mean FROM documents GROUP BY lang")
+@query("A2 A26", "SELECT lang, count(*) AS total, count(*) FILTER (n_chars < 100) AS short, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 def text_measures(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") < 100).alias("short"), F.countDistinct("source").alias("sources"), F.round(F.avg("n_chars"), 4).alias("mean"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") < 100).alias("short"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"))
 
 
-@query("A3", "SELECT CASE WHEN grouping(p_type) = 1 THEN 'ALL' ELSE p_type END AS category, p_brand, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY GROUPING SETS ((p_brand, p_type), (p_brand))")
+@query("A3", "SELECT CASE WHEN grouping(p_type) = 1 THEN 'ALL' ELSE p_type END AS category, p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part GROUP BY GROUPING SETS ((p_brand, p_type), (p_brand))")
 def grouping_sets(spark, d):
     p = table(spark, d, "part").groupingSets([["p_brand", "p_type"], ["p_brand"]], "p_brand", "p_type")
-    out = p.agg(F.grouping("p_type").alias("g"), F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+    out = p.agg(F.grouping("p_type").alias("g"), F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("price"))
     return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("p_type")).alias("category"), "p_brand", "n", "price")
 
 
