@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import textbuf as tb
@@ -28,8 +28,8 @@ from millrace.llm.scratch import Scratch
 SHINGLE, PERCENT = 5, 80
 #: log2 of the cells in which shingles are counted for their order.
 CELL_BITS = 22
-#: Rounds in which sets are compared with a leader only.
-LEADER_ROUNDS = 2
+#: Rounds in which sets are compared with leaders only, and how many each set is compared with in the later ones.
+LEADER_ROUNDS, LEADERS = 2, 4
 FLUSH = 1 << 20
 ENTRY = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
@@ -216,8 +216,8 @@ def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.diff(np.append(begin, len(rows))))], ["a", "b", "need", "meets"])
 
 
-def _leaders(batches: Iterator[pa.RecordBatch], salt: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """For each list, each set's way to the list's leader (the set of the smallest salted hash in its largest
+def _leaders(batches: Iterator[pa.RecordBatch], salt: int, percent: int, leaders: int) -> Iterator[pa.RecordBatch]:
+    """For each list, each set's way to the list's leaders (the sets of the smallest salted hashes in its largest
     component), where their components differ and their sizes allow a link: (a, b, need, meets) with the lists in which
     they meet so, and those a link needs."""
     found: list[np.ndarray] = []
@@ -232,13 +232,17 @@ def _leaders(batches: Iterator[pa.RecordBatch], salt: int, percent: int) -> Iter
         main = np.zeros(len(part), bool)
         main[best] = True
         rows = np.flatnonzero(np.repeat(main, count))
-        lead = rows[np.lexsort((tb.mix(sig[rows].view(np.uint64) + np.uint64(salt)), token[rows]))]
-        lead = np.repeat(lead[_begins(token[lead])], np.diff(np.append(_begins(token), len(token))))
-        other = np.flatnonzero((comp != comp[lead]) & _can(n, n[lead], percent))
-        if len(other):
-            lead = lead[other]
-            found.append(np.stack([sig[other], sig[lead], _meets_needed(n[other], n[lead], percent)], 1))
-            size += len(other)
+        rows = rows[np.lexsort((tb.mix(sig[rows].view(np.uint64) + np.uint64(salt)), token[rows]))]
+        first = _begins(token[rows])
+        held_by = np.diff(np.append(first, len(rows)))
+        length = np.diff(np.append(_begins(token), len(token)))
+        for r in range(leaders):
+            lead = np.repeat(rows[np.minimum(first + r, len(rows) - 1)], length)
+            other = np.flatnonzero(np.repeat(held_by > r, length) & (comp != comp[lead]) & _can(n, n[lead], percent))
+            if len(other):
+                lead = lead[other]
+                found.append(np.stack([sig[other], sig[lead], _meets_needed(n[other], n[lead], percent)], 1))
+                size += len(other)
         if size >= FLUSH:
             yield _counted(found)
             size = 0
@@ -378,9 +382,11 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     links = None
     met_in = "a long, b long, need long, meets long"
     for k in range(leader_rounds):
-        met = by_list(left).mapInArrow(lambda it, k=k: _leaders(it, 977 * k + 1, percent), met_in)
+        many = LEADERS if k else 1
+        met = by_list(left).mapInArrow(lambda it, k=k, many=many: _leaders(it, 977 * k + 1, percent, many), met_in)
         met = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("meets").alias("meets")).where("2 * meets >= need")
-        best = swept(met.groupBy("a").agg(F.max_by("b", F.struct("meets", "b")).alias("b")), f"leaders{k}")
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("meets"), "b"))
+        best = swept(met.withColumn("place", place).where(F.col("place") <= many).select("a", "b"), f"leaders{k}")
         new = compared(best, f"round{k}")
         links = new if links is None else links.unionByName(new)
         _, left = rooted(lists if k == 0 else left.drop("comp"), links, f"round{k}")
