@@ -33,9 +33,7 @@ SELECT k, round((tpr + tnr) / 2, 6) AS balanced FROM b ORDER BY balanced DESC, k
 def threshold_scan(spark, d):
     """The threshold, of 51, with the best balanced accuracy. Scores are counted in cells first, so nothing is crossed."""
     s = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    x = F.least(F.lit(1.0), F.col("n_chars") / 4000.0)
-    cell = F.floor(x * 50 + 1e-12).cast("int")
-    cell = F.when((F.col("n_chars") * 50) % 4000 == 0, F.least((F.col("n_chars") * 50 / 4000).cast("int"), F.lit(50))).otherwise(cell)
+    cell = F.expr("CAST(least(n_chars div 80, 50) AS INT)")  # the last threshold k / 50 that n_chars / 4000 reaches
     c = s.groupBy(cell.alias("cell")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
     both = c.unionByName(spark.range(51).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("bad"))).groupBy("cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     w = Window.orderBy("cell")
