@@ -60,3 +60,20 @@ def test_small_table(spark):
     # a few words share a cell of the hashed tables
     off = sorted(abs(g[4] - w[4]) for g, w in zip(got, want))
     assert off[len(off) // 2] < 0.05 and off[int(len(off) * 0.95)] < 0.5, off[-9:]
+
+
+def test_counts_stay_exact_with_many_words(spark):
+    import random
+
+    deal = random.Random(7)
+    rare = [" ".join(f"w{deal.randrange(1 << 40)}" for _ in range(500)) for _ in range(300)]
+    docs = [(i, f"{t} common {deal.choice('abcdefgh')} {t.split()[0]}") for i, t in enumerate(rare)] + [(None, "common a b"), (None, "common a b"), (7, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(i, 1) for i in range(0, 300, 3)], "doc_id long, quality int")
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 6)))
+    want = order(brute(docs, set(range(0, 300, 3))))
+    for options in ({}, {"block_bytes": 20_000, "bucket_entries": 500}):
+        got = order(map(tuple, score_documents(d, lab, **options).collect()))
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        for g, w in zip(got, want):
+            assert g[2:] == pytest.approx(w[2:], abs=1e-6)
