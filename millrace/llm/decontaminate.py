@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textbuf as tb
+from millrace.llm.scratch import Scratch
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text held by one task at a time; a larger benchmark is taken in several blocks.
@@ -150,12 +151,17 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The items, or where they are over block_bytes their parts of about that size."""
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    return [items] if blocks == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)]
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in turn, block_bytes of text at a time; an item of more is a block of its own."""
+    held, size = [], 0
+    for item, text in benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        n = len((text or "").encode())
+        if held and size + n > block_bytes:
+            yield held
+            held, size = [], 0
+        held.append((item, text))
+        size += n
+    yield held
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -163,22 +169,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     words), items (sorted ids of the items that occur).
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. A null or empty text has no words
-    and hits nothing; a null item id is dropped; repeated rows give a row each (in the many-block path rows are told
-    apart by doc_id, which must then be unique). The benchmark's size is measured first: up to ``block_bytes`` it is
-    broadcast whole, beyond that it is taken in blocks of that size, each against all documents.
+    and hits nothing; a null item id is dropped; repeated rows give a row each. A benchmark of up to
+    ``block_bytes`` is broadcast whole; a larger one is taken in blocks of that size, one after the other and each
+    against all documents, whose rows are told apart by a key written with them.
     """
     spark: SparkSession = docs.sparkSession
     schema = "doc_id long, n_words long, n_hit long, spans array<array<long>>, items array<string>"
-    parts = []
-    for block in _blocks(benchmark, block_bytes):
-        index = spark.sparkContext.broadcast(_index([(r[0], r[1]) for r in block.toLocalIterator()], window, gram))
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it, index=index: _scan(it, index, window, gram), schema))
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    both = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    blocks = _blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+
+    def scanned(rows: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
+        index = spark.sparkContext.broadcast(_index(block, window, gram))
+        return rows.mapInArrow(lambda it: _scan(it, index, window, gram), schema)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if following is None:
+        return scanned(docs, block)
+    scratch = Scratch(spark, "decontaminate")
+    docs = scratch.save(docs.withColumn("key", F.monotonically_increasing_id()), "docs")
+    both = docs.selectExpr("key", "doc_id", "0L AS n_words", "CAST(array() AS array<array<long>>) AS spans", "CAST(array() AS array<string>) AS items")
+    k = 0
+    while block is not None:
+        part = scanned(docs.select("key", "text"), block).selectExpr("doc_id AS key", "CAST(NULL AS long) AS doc_id", "n_words", "spans", "items")
+        part = part if k == 0 else part.where(F.size("spans") > 0)
+        both = both.unionByName(scratch.save(part, f"hits{k}"))
+        block, following, k = following, next(blocks, None), k + 1
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    both = both.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), items.alias("items")).drop("key")
 
     def merged(frames):
         for f in frames:
@@ -203,7 +220,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
         return run
 
     for block in _blocks(benchmark, block_bytes):
-        index = spark.sparkContext.broadcast(_index([(r[0], r[1]) for r in block.toLocalIterator()], window, gram))
+        index = spark.sparkContext.broadcast(_index(block, window, gram))
         docs = docs.mapInArrow(passed(index), docs.schema)
     return docs
 

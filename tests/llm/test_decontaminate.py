@@ -79,3 +79,19 @@ def test_small_table(spark):
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet").select(k, "text").collect() for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     want = sorted((i, n, h, len(x), hashlib.sha256(",".join(x).encode()).hexdigest(), h > 0) for i, n, h, x in brute(docs, items))
     assert sorted(map(tuple, op2_decontaminate(spark, d).collect())) == want
+
+
+def test_blocks_keep_every_row(spark):
+    from millrace.llm.decontaminate import _blocks
+
+    docs, items = cases()
+    docs = docs + [docs[0], (1, "no hit"), (1, docs[1][1]), (None, docs[0][1]), (None, "none"), (None, None)]
+    items = items + [(1, f"more text{k} of the first item") for k in range(20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **o: sorted((str(r.doc_id), r.n_words, r.n_hit, str(r.spans), str(r["items"])) for r in decontaminate(d, b, **o).collect())
+    whole = rows()
+    assert len(whole) == len(docs)
+    assert rows(block_bytes=300) == whole
+    sizes = [sum(len((t or "").encode()) for _, t in block) for block in _blocks(b, 300)]
+    assert len(sizes) > 2 and max(sizes) <= 300
