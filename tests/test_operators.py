@@ -57,3 +57,11 @@ def test_passages_lose_nothing(spark):
     assert "".join(one).replace("\n", "") == text.replace("\n", "")
     assert all(len(t) <= 1100 + 200 + 1 for t in one)
     assert [x.text for x in rows if x.doc_id == 4] == ["short"]
+
+
+def test_row_clusters_reads_every_order(spark):
+    from millrace.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    got = {r[0] for r in QUERIES["row_clusters"](spark, d).select("l_orderkey").distinct().collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey").distinct().collect()}
