@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 #: Cells of a table that are sent in one row.
 SLICE = 1 << 16
@@ -54,8 +53,8 @@ def _bases(sizes: list[int]) -> list[int]:
     return [sum(-(-n // SLICE) for n in sizes[:k]) for k in range(len(sizes))]
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each slice; holds each slice once, however many rows there are."""
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each slice that a task has and its counts; holds each slice once, however many rows there are."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for row in batch.to_pylist():
@@ -64,14 +63,4 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["slice"] not in sums:
                 sums[row["slice"]] = np.zeros(SLICE, np.int64)
             sums[row["slice"]][np.frombuffer(row["cells"], np.uint16)] += n
-    for k, v in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slice", "counts"])
-
-
-def gather(counted: DataFrame, sizes: list[int]) -> list[np.ndarray]:
-    """The summed tables; their sizes are fixed, so they fit the driver at any size of the corpus."""
-    bases = _bases([*sizes, 0])
-    flat = np.zeros(bases[-1] * SLICE, np.int64)
-    for r in counted.repartition("slice").mapInArrow(_summed, "slice int, counts binary").toLocalIterator():
-        flat[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
-    return [flat[b * SLICE : b * SLICE + n] for b, n in zip(bases, sizes, strict=False)]
+    yield from sums.items()

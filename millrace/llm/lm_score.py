@@ -252,7 +252,6 @@ def score_documents(
     sums = [int(x or 0) for x in limited.agg(*(F.sum(c) for c in ("tokens", "good_tokens", "texts", "good_texts"))).first()]
     scratch.drop("blocks")
     scratch.drop("words")
-    scratch.swept()
     asked = limited.select("block", "data").mapInArrow(lambda it: _pair_questions(it, bits), ROW)
     totals = asked.groupBy("at").applyInArrow(lambda t: _answers(t, 1), ROW + ", entries long").select(*columns)
     both = limited.select(*columns).unionByName(totals)

@@ -4,11 +4,17 @@ Documents with equal shingle sets form a class, and everything below handles cla
 ``PERCENT`` or more share a token of their prefixes (the first n - ceil(0.8 n) + 1 tokens in an order of all shingles,
 common ones last), so a token's index list holds all candidates for it. Lists are dealt to shards by the token's hash.
 
-Answers come from highly similar sets first: each set is compared with the one leader that it meets in most lists, and
-verified links join them. What a leader's component already answers is skipped afterwards: only pairs of different
-components are left, and of these a list, sorted by size and place, skips whole blocks that are too long or stand too
-late to reach the overlap they need. Pairs that meet in too few lists are ruled out by the count (see _meets_needed),
-and the remaining ones are compared in full, so no link between components is lost.
+1. Hubs. Each index list names one leader, and each set takes the leader that most sets meet. Where set and leader share
+   half of the larger one, the leader is the set's hub and the set is kept as its difference from the hub: the places of
+   the hub's tokens that it lacks, and the tokens that it has beyond them.
+2. Answers from the hub's. The overlap of two sets Y and Z of hub X follows from X's overlaps with each, corrected by
+   what the differences share: |X| - |X-Y| - |X-Z| + |(X-Y) & (X-Z)| + |(Y-X) & (Z-X)|. Members are sorted by the
+   size of their difference; where the first three terms alone decide for two runs of members, all their pairs are
+   settled at once, and only for the others are the shared differences counted. A member's row carries its number of
+   links, so what leaves a group grows with its members, not with their pairs. Large groups are cut into blocks.
+3. Other pairs. Sets of different hubs that meet in lists are found by position: a list is cut into blocks of one size,
+   sorted by place, and a set visits only the stretch of a block whose places leave room for the overlap it needs.
+   Pairs that meet in too few lists are ruled out by the count, and the rest are compared in full. No link is lost.
 """
 
 from __future__ import annotations
@@ -17,19 +23,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textbuf as tb
 from millrace.llm.components import components
-from millrace.llm.counting import COUNTS, Counter, gather, sliced
-from millrace.llm.scratch import Scratch
+from millrace.llm.counting import COUNTS, SLICE, Counter, sliced, summed
+from millrace.llm.scratch import Scratch, unused
 
 SHINGLE, PERCENT = 5, 80
 #: log2 of the cells in which shingles are counted for their order.
 CELL_BITS = 22
-#: Rounds in which sets are compared with leaders only, and how many each set is compared with in the later ones.
-LEADER_ROUNDS, LEADERS = 2, 4
+#: Share of the larger set, in percent, that a set and its hub have in common.
+HUB_PERCENT = 50
+#: Slots of a set's sketch, and the share of them that a set and its hub must have alike.
+SLOTS, ALIKE = 64, 0.2
+#: Members and bytes of differences of a hub that one task compares with as many others.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+#: Members whose pairs are settled together where the sizes of their differences decide.
+TILE = 64
+#: Differences counted in one product.
+FEATURES = 4096
+#: Members of one hub from which a list keeps them in blocks of their own.
+CROWD = 16
+#: Bytes of index entries in one shard.
+SHARD_BYTES = 32 << 20
 FLUSH = 1 << 20
 ENTRY = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
@@ -82,26 +100,52 @@ def _count_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
     yield from sliced([counts.done()])
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """How far above the usual a cell's count is, in powers of two: shingles are ordered by level, then hash. Any order
-    gives the same links; this one keeps common shingles out of the prefixes."""
-    usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 4
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual) * 2) + 1, 0, 63).astype(np.uint8)
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of counts -> their cells above the usual count, by how far in powers of two, and all that was counted.
+    Shingles are ordered by level, then hash: any order gives the same links, this one keeps common ones out of prefixes."""
+    for k, counts in summed(batches):
+        usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 4
+        level = np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual) * 2) + 1, 0, 63).astype(np.uint8)
+        at = np.flatnonzero(level)
+        row = ([k], [at.astype(np.uint16).tobytes()], [level[at].tobytes()], [int(counts.sum())])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["slice", "cells", "levels", "total"])
+
+
+def _sketches(token: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """For each row SLOTS bytes: of the tokens of a slot a byte of the smallest, 0 in an empty slot."""
+    rows = len(begin) - 1
+    key = np.repeat(np.arange(rows), np.diff(begin)) * SLOTS + (token % np.uint64(SLOTS)).astype(np.int64)
+    out = np.zeros(rows * SLOTS, np.uint8)
+    out[key[::-1]] = np.maximum(token >> np.uint64(40) & np.uint64(0xFF), np.uint64(1)).astype(np.uint8)[::-1]  # the first of a slot is written last
+    raw = out.tobytes()
+    return [raw[k * SLOTS : (k + 1) * SLOTS] for k in range(rows)]
 
 
 def _about(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, rk, text) -> doc_id, rk, size of the set, its signature."""
+    """(doc_id, rk, text) -> doc_id, rk, size of the set, its signature, its sketch."""
     for batch in batches:
-        n, sig = [], []
+        n, sig, sketch = [], [], []
         for _, _, data, offsets in tb.chunks(batch.column(2)):
             token, begin = _sets(data, offsets, k)
             n.append(np.diff(begin))
             sig.append(_signatures(token, begin))
+            sketch += _sketches(token, begin)
         if n:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n)), pa.array(np.concatenate(sig))], ["doc_id", "rk", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n)), pa.array(np.concatenate(sig)), pa.array(sketch, pa.binary())], ["doc_id", "rk", "n", "sig", "sketch"])
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, hub, rank) of those whose sketches agree in ALIKE of the slots that either fills. A pair left out here is found
+    in the lists, so this only saves reading the sets of unlike pairs."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (3, 4))
+        keep = ((x == y) & (x > 0)).sum(1) >= ALIKE * ((x > 0) | (y > 0)).sum(1)
+        yield pa.RecordBatch.from_arrays(batch.columns[:3], ["sig", "hub", "rank"]).filter(pa.array(keep))
 
 
-LISTS = "bucket int, entries binary"
+LISTS, MET = "bucket int, entries binary", "a long, b long, need long, meets long"
+#: Stands for a null doc_id.
+LOWEST = -(1 << 63)
 
 
 def _dealt(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -163,11 +207,6 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(part[c])) for c in ("sig", "n", "at"))], ["token", "sig", "n", "at"])
 
 
-def _can(n1, n2, percent: int):
-    """Whether the smaller size is large enough for a link."""
-    return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-
-
 def _needed(n1, n2, percent: int):
     """Smallest overlap of a link: 100 * overlap >= percent * (n1 + n2 - overlap)."""
     return -(-percent * (n1 + n2) // (100 + percent))
@@ -181,7 +220,7 @@ def _meets_needed(n1, n2, percent: int):
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(token, sig, n, at, comp) of some whole lists at a time; rows come sorted by token."""
+    """The columns of some whole lists at a time, the token first; rows come sorted by token."""
     held: list[tuple] = []
     for batch in batches:
         columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -211,38 +250,24 @@ def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
     found.clear()
     order = np.lexsort((rows[:, 1], rows[:, 0]))
     rows = rows[order]
-    begin = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
+    begin = _begins(rows[:, 0], rows[:, 1])
     columns = [np.ascontiguousarray(rows[begin, k]) for k in range(3)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.diff(np.append(begin, len(rows))))], ["a", "b", "need", "meets"])
 
 
-def _leaders(batches: Iterator[pa.RecordBatch], salt: int, percent: int, leaders: int) -> Iterator[pa.RecordBatch]:
-    """For each list, each set's way to the list's leaders (the sets of the smallest salted hashes in its largest
-    component), where their components differ and their sizes allow a link: (a, b, need, meets) with the lists in which
-    they meet so, and those a link needs."""
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set of a list with the list's leader, the set of the smallest mixed signature, where sizes allow a hub."""
     found: list[np.ndarray] = []
     size = 0
-    for token, sig, n, _, comp in _whole_lists(batches):
-        order = np.lexsort((comp, token))
-        token, sig, n, comp = token[order], sig[order], n[order].astype(np.int64), comp[order]
-        part = _begins(token, comp)
-        count = np.diff(np.append(part, len(token)))
-        best = np.lexsort((-count, token[part]))
-        best = best[_begins(token[part][best])]  # the largest component of each list
-        main = np.zeros(len(part), bool)
-        main[best] = True
-        rows = np.flatnonzero(np.repeat(main, count))
-        rows = rows[np.lexsort((tb.mix(sig[rows].view(np.uint64) + np.uint64(salt)), token[rows]))]
-        first = _begins(token[rows])
-        held_by = np.diff(np.append(first, len(rows)))
-        length = np.diff(np.append(_begins(token), len(token)))
-        for r in range(leaders):
-            lead = np.repeat(rows[np.minimum(first + r, len(rows) - 1)], length)
-            other = np.flatnonzero(np.repeat(held_by > r, length) & (comp != comp[lead]) & _can(n, n[lead], percent))
-            if len(other):
-                lead = lead[other]
-                found.append(np.stack([sig[other], sig[lead], _meets_needed(n[other], n[lead], percent)], 1))
-                size += len(other)
+    for token, sig, n, _ in _whole_lists(batches):
+        order = np.lexsort((tb.mix(sig.view(np.uint64) + np.uint64(977)), token))
+        token, sig, n = token[order], sig[order], n[order].astype(np.int64)
+        first = _begins(token)
+        lead = np.repeat(first, np.diff(np.append(first, len(token))))
+        other = np.flatnonzero((lead != np.arange(len(lead))) & (100 * np.minimum(n, n[lead]) >= HUB_PERCENT * np.maximum(n, n[lead])))
+        if len(other):
+            found.append(np.stack([sig[other], sig[lead[other]], np.zeros(len(other), np.int64)], 1))
+            size += len(other)
         if size >= FLUSH:
             yield _counted(found)
             size = 0
@@ -250,46 +275,192 @@ def _leaders(batches: Iterator[pa.RecordBatch], salt: int, percent: int, leaders
         yield _counted(found)
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, hub, rank, tokens of the set, tokens of the hub) -> sig, hub, rank, size of the hub, places of the hub's tokens
+    that the set lacks, tokens that it has beyond; only where they share enough."""
+    for batch in batches:
+        ok, size, lacks, more = [], [], [], []
+        for x, y in zip(batch.column(3), batch.column(4), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            shared = y[at] == x
+            ok.append(100 * int(shared.sum()) >= HUB_PERCENT * max(len(x), len(y)))
+            if ok[-1]:
+                gone = np.ones(len(y), bool)
+                gone[at[shared]] = False
+                size.append(len(y))
+                lacks.append(np.flatnonzero(gone).astype(np.int32).tobytes())
+                more.append(x[~shared].tobytes())
+        keep = pa.RecordBatch.from_arrays(batch.columns[:3], ["sig", "hub", "rank"]).filter(pa.array(ok, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(size, pa.int32()), pa.array(lacks, pa.binary()), pa.array(more, pa.binary())], ["sig", "hub", "rank", "hub_n", "lacks", "more"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The rows of each (hub, lo, hi); rows come sorted by these."""
+    held, key = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if held:
+                    yield held
+                held, key = [], row[:3]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _incidence(parts: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(member, number of the value among those that several members have) for all values of all parts."""
+    values = np.frombuffer(b"".join(parts), kind)
+    member = np.repeat(np.arange(len(parts)), [len(p) // kind.itemsize for p in parts])
+    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    several = count > 1
+    number = np.cumsum(several) - 1
+    keep = several[inverse]
+    return member[keep], number[inverse[keep]]
+
+
+def _linked(size: int, lacks: list[bytes], more: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of sets that differ from one hub of ``size`` tokens by what they lack and have more are linked."""
+    r, a = np.array([len(x) // 4 for x in lacks], np.int32), np.array([len(x) // 8 for x in more], np.int32)
+    m, n = len(r), size - r + a
+    most = size - np.maximum(r[:, None], r) + np.minimum(a[:, None], a)
+    least = size - r[:, None] - r
+    total = n[:, None] + n
+    whole, part = np.int64(100 + percent), np.int64(percent)
+    link = whole * least >= part * total  # settled by the hub's answers alone
+    open_ = ~link & (whole * most >= part * total)
+    if not open_.any():
+        return link
+    tiles = np.add.reduceat(np.add.reduceat(open_, np.arange(0, m, TILE), axis=0, dtype=np.int64), np.arange(0, m, TILE), axis=1) > 0
+    common = np.zeros((m, m), np.float32)
+    for member, number in (_incidence(lacks, np.dtype(np.int32)), _incidence(more, np.dtype(np.uint64))):
+        order = np.argsort(number, kind="stable")
+        member, number = member[order], number[order]
+        for f in range(0, int(number[-1]) + 1 if len(number) else 0, FEATURES):
+            s, e = np.searchsorted(number, (f, f + FEATURES))
+            has = np.zeros((m, min(FEATURES, int(number[e - 1]) - f + 1)), np.float32)
+            has[member[s:e], number[s:e] - f] = 1
+            for i in range(len(tiles)):
+                columns = np.flatnonzero(tiles[i])
+                if len(columns):
+                    lo, hi = columns[0] * TILE, (columns[-1] + 1) * TILE
+                    common[i * TILE : (i + 1) * TILE, lo:hi] += has[i * TILE : (i + 1) * TILE] @ has[lo:hi].T
+    exact = least + common.astype(np.int32)
+    return link | (open_ & (whole * exact >= part * total))
+
+
+def _solved(batches: Iterator[pa.RecordBatch], percent: int, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Members of hubs by block, as (hub, lo, hi, block, sig, copies, hub_n, lacks, more), sorted by the first three. Gives
+    (a, b, links): with ``pairs`` each link of two members; else each member, one that it is connected with here, and how many
+    documents it links to here."""
+    out: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    names, kinds = ["a", "b", "links"], [pa.int64()] * 3
+
+    def flushed() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        out.clear()
+        return batch
+
+    for rows in _groups(batches):
+        rows.sort(key=lambda x: len(x[7]) + len(x[8]))
+        _, lo, hi, block, sig, copies, hub_n, lacks, more = zip(*rows, strict=True)
+        link = _linked(hub_n[0], lacks, more, percent)
+        np.fill_diagonal(link, False)
+        if lo[0] != hi[0]:  # pairs inside a block are settled with the block itself
+            block = np.array(block)
+            link &= block[:, None] != block
+        sig = np.array(sig)
+        if pairs:
+            i, j = np.nonzero(np.triu(link))
+            out.append((sig[i], sig[j], np.ones(len(i), np.int64)))
+        else:
+            first = np.arange(len(sig))
+            for k in range(len(sig)):
+                if first[k] == k and link[k].any():
+                    seen = front = np.zeros(len(sig), bool)
+                    front = front.copy()
+                    front[k] = True
+                    while front.any():
+                        seen = seen | front
+                        front = link[front].any(0) & ~seen
+                    first[seen] = k
+            copies = np.array(copies, np.int64)
+            out.append((sig, sig[first], np.array([copies[x].sum() for x in link], np.int64)))
+        size += len(out[-1][0])
+        if size >= FLUSH:
+            yield flushed()
+            size = 0
+    if out:
+        yield flushed()
+
+
 def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list that lie in different components and may reach the overlap they need. A list is sorted by size:
-    from each set on, the block of sets that are not too large for it is taken whole, and of that only places before and
-    after which enough tokens can be shared; what both skip is never looked at one by one."""
+    """Pairs of a list that have different hubs and may reach the overlap they need. A list is cut into blocks of one size
+    (and one hub, where many have it), sorted by place. Each set goes through the blocks from its own on, up to those too
+    large for it, and takes of each only the places at which enough tokens can still be shared; blocks of its hub are
+    passed over."""
     found: list[np.ndarray] = []
     size = 0
-
-    def add(sig, n, at, comp, i, j) -> int:
-        """Of pairs of places i and j, those that may be links."""
-        short, late = np.minimum(n[i] - at[i], n[j] - at[j]), np.minimum(at[i], at[j])
-        need = _meets_needed(n[i], n[j], percent)
-        prefix = [n[x] - (percent * n[x] + 99) // 100 + 1 - at[x] for x in (i, j)]
-        ok = (comp[i] != comp[j]) & _can(n[i], n[j], percent) & (late + short >= _needed(n[i], n[j], percent)) & (late + np.minimum(*prefix) >= need)
-        if ok.any():
-            a, b = np.broadcast_to(sig[i], ok.shape)[ok], np.broadcast_to(sig[j], ok.shape)[ok]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.broadcast_to(need, ok.shape)[ok]], 1))
-        return int(ok.sum())
-
-    for token, sig, n, at, comp in _whole_lists(batches):
-        order = np.lexsort((sig, n, token))
-        token, sig, n, at, comp = token[order], sig[order], n[order].astype(np.int64), at[order].astype(np.int64), comp[order]
-        begin = _begins(token)
-        count = np.diff(np.append(begin, len(token)))
-        two = begin[count == 2]
-        size += add(sig, n, at, comp, two, two + 1)
-        for s, c in zip(begin[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-            end = s + np.searchsorted(n[s : s + c], 100 * n[s : s + c] // percent, "right")
-            for i in range(s, s + c - 1):
-                if end[i - s] > i + 1:
-                    size += add(sig, n, at, comp, i, np.arange(i + 1, end[i - s]))
+    for token, sig, n, at, hub in _whole_lists(batches):
+        order = np.lexsort((hub, token))
+        run = _begins(token[order], hub[order])
+        count = np.repeat(np.diff(np.append(run, len(token))), np.diff(np.append(run, len(token))))
+        crowd = np.zeros(len(token), np.int64)
+        crowd[order] = np.where(count >= CROWD, hub[order], 0)
+        order = np.lexsort((sig, at, crowd, n, token))
+        token, sig, n, at, hub, crowd = token[order], sig[order], n[order].astype(np.int64), at[order].astype(np.int64), hub[order], crowd[order]
+        begin = _begins(token, n, crowd)
+        ends = np.append(begin[1:], len(token))
+        block = np.repeat(np.arange(len(begin)), ends - begin)
+        place = (block.astype(np.int64) << 32) + at  # ascending, as entries are sorted by block and place
+        left = np.arange(len(token))
+        step = 0
+        while len(left):
+            to = block[left] + step
+            left, to = left[to < len(begin)], to[to < len(begin)]
+            head = begin[to]
+            keep = (token[head] == token[left]) & (100 * n[left] >= percent * n[head])
+            left, to, head = left[keep], to[keep], head[keep]
+            step += 1
+            if not len(left):
+                break
+            other = np.flatnonzero((crowd[left] == 0) | (crowd[head] != crowd[left]))
+            i, h, t = left[other], head[other], to[other]
+            need = _needed(n[i], n[h], percent)
+            lo = np.searchsorted(place, (t << 32) + np.maximum(at[i] - (n[i] - need), 0), "left")
+            hi = np.searchsorted(place, (t << 32) + np.minimum(at[i] + n[h] - need, (1 << 32) - 1), "right")
+            if step == 1:
+                lo = np.maximum(lo, i + 1)
+            many = np.maximum(hi - lo, 0)
+            for s, e in _portions(many, FLUSH):
+                ii = np.repeat(i[s:e], many[s:e])
+                jj = np.arange(len(ii)) - np.repeat(np.cumsum(many[s:e]) - many[s:e], many[s:e]) + np.repeat(lo[s:e], many[s:e])
+                late = np.minimum(at[ii], at[jj])
+                meets = _meets_needed(n[ii], n[jj], percent)
+                prefix = [n[x] - (percent * n[x] + 99) // 100 + 1 - at[x] for x in (ii, jj)]
+                ok = (hub[ii] != hub[jj]) & (late + np.minimum(*prefix) >= meets)
+                if ok.any():
+                    a, b = sig[ii[ok]], sig[jj[ok]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b), meets[ok]], 1))
+                    size += int(ok.sum())
                 if size >= FLUSH:
                     yield _counted(found)
                     size = 0
-        if size >= FLUSH:
-            yield _counted(found)
-            size = 0
     if found:
         yield _counted(found)
 
 
+def _portions(many: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose numbers sum to the limit at most, or single entries."""
+    total, s = np.concatenate([[0], np.cumsum(many)]), 0
+    while s < len(many):
+        e = max(s + 1, int(np.searchsorted(total, total[s] + limit, "right")) - 1)
+        yield s, e
+        s = e
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(sig, text) -> sig and the packed tokens of the set."""
     for batch in batches:
@@ -311,102 +482,155 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _links(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; each set is read by a join on its signature."""
-    one = pairs.hint("merge").join(tokens.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
-    both = one.hint("merge").join(tokens.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
-
-
 def row_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce("text", F.lit("")))
-
-
-def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, set_id, row_key (equal for rows of equal doc_id and text).
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), F.coalesce("text", F.lit("")))
+
+
+class _Join:
+    """One run of the join over docs: classes of equal sets, hubs, and the links found."""
+
+    def __init__(self, docs: DataFrame, shingle: int, percent: int, hubs: bool):
+        self.spark, self.shingle, self.percent = docs.sparkSession, shingle, percent
+        self.scratch = Scratch(self.spark, "jaccard")
+        self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
+        self.about = self.scratch.save(self.rows.mapInArrow(lambda it: _about(it, shingle), "doc_id long, rk long, n long, sig long, sketch binary"), "about")
+        named = self.about.where("n > 0").groupBy("sig")
+        self.classes = self.scratch.save(named.agg(F.min("doc_id").alias("smallest"), F.min_by("rk", F.struct("doc_id", "rk")).alias("rk"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")), "classes")
+        self.lists = self.scratch.save(self._lists(), "lists")
+        self.tokens: list[DataFrame] = []
+        self.members = self._members() if hubs else None
+
+    def _lists(self) -> DataFrame:
+        k, percent = self.shingle, self.percent
+        levels, total = np.zeros(1 << CELL_BITS, np.uint8), 0
+        counted = self.rows.select("text").mapInArrow(lambda it: _count_cells(it, k), COUNTS).repartition("slice")
+        for r in counted.mapInArrow(_levels, "slice int, cells binary, levels binary, total long").toLocalIterator():
+            levels[r["slice"] * SLICE + np.frombuffer(r["cells"], np.uint16).astype(np.int64)] = np.frombuffer(r["levels"], np.uint8)
+            total += r["total"]
+        shared = self.spark.sparkContext.broadcast(levels)
+        entries = total * (100 - percent) // 100 * ENTRY.itemsize
+        buckets = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // SHARD_BYTES))
+        prefixes = self.rows.select("text").mapInArrow(lambda it: _prefixes(it, shared, k, percent, buckets), LISTS)
+        return prefixes.repartition(max(buckets // 4, 1), "bucket").mapInArrow(_several, "token long, sig long, n int, at int")
+
+    def _by_list(self, lists: DataFrame) -> DataFrame:
+        return lists.repartition("token").sortWithinPartitions("token")
+
+    def _read(self, pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        """pairs with the tokens x and y of the sets that a and b name; sets not read before are made from their texts."""
+        need = pairs.select(F.col(a).alias("sig")).union(pairs.select(b)).distinct()
+        for t in self.tokens:
+            need = need.join(t.select("sig"), "sig", "left_anti")
+        wanted = need.join(self.classes, "sig").select("sig", "rk")
+        texts = self.rows.select("rk", "text").join(wanted.hint("merge"), "rk").dropDuplicates(["sig"]).select("sig", "text")
+        k = self.shingle
+        self.tokens.append(self.scratch.save(texts.mapInArrow(lambda it: _tokens(it, k), "sig long, tokens binary"), f"{name}-tokens"))
+        every = self.tokens[0]
+        for t in self.tokens[1:]:
+            every = every.unionByName(t)
+        one = pairs.hint("merge").join(every.select(F.col("sig").alias(a), F.col("tokens").alias("x")), a)
+        return one.hint("merge").join(every.select(F.col("sig").alias(b), F.col("tokens").alias("y")), b)
+
+    def _members(self) -> DataFrame:
+        """(hub, sig, hub_n, lacks, more): every set that has a hub, and the hubs themselves."""
+        met = self._by_list(self.lists).mapInArrow(_leaders, MET).groupBy("a", "b").agg(F.sum("meets").alias("meets"))
+        met = self.scratch.save(met, "met")
+        weight = self.scratch.save(met.groupBy("b").agg(F.count("*").alias("weight")), "weight")
+        rank = F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), F.col("b").alias("sig"))
+        ranked = met.join(weight, "b").select("a", rank.alias("to")).join(weight.select(F.col("b").alias("a"), F.col("weight").alias("own")), "a", "left")
+        higher = ranked.where(F.col("to") > F.struct(F.coalesce("own", F.lit(0)).alias("weight"), F.col("a").alias("sig")))
+        chosen = self.scratch.save(higher.groupBy("a").agg(F.max("to").getField("sig").alias("b")), "chosen")
+        second = chosen.join(chosen.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"), F.lit(2).alias("rank"))
+        tried = chosen.withColumn("rank", F.lit(1)).unionByName(second).select(F.col("a").alias("sig"), F.col("b").alias("hub"), "rank")
+        sketch = self.classes.select("sig", "sketch")
+        tried = tried.join(sketch, "sig").join(sketch.select(F.col("sig").alias("hub"), F.col("sketch").alias("own")), "hub")
+        tried = self.scratch.save(tried.select("sig", "hub", "rank", "sketch", "own").mapInArrow(_promising, "sig long, hub long, rank int"), "tried")
+        read = self._read(tried, "sig", "hub", "hubs").select("sig", "hub", "rank", "x", "y")
+        near = self.scratch.save(read.mapInArrow(_differences, "sig long, hub long, rank int, hub_n int, lacks binary, more binary"), "near")
+        own = near.join(near.select(F.col("sig").alias("hub")).distinct(), "hub", "left_anti")
+        own = own.groupBy("sig").agg(F.max_by(F.struct("hub", "hub_n", "lacks", "more"), "rank").alias("m")).select("sig", "m.*")
+        empty = F.lit(b"")
+        hubs = own.groupBy("hub").agg(F.first("hub_n").alias("hub_n")).select(F.col("hub").alias("sig"), "hub", "hub_n", empty.alias("lacks"), empty.alias("more"))
+        return self.scratch.save(own.unionByName(hubs), "members")
+
+    def _inside(self, pairs: bool) -> DataFrame:
+        """Links among members of one hub (see _solved)."""
+        size = F.sum(F.length("lacks") + F.length("more"))
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+        groups = self.members.groupBy("hub").agg(blocks.alias("blocks"))
+        dealt = self.members.join(groups, "hub").join(self.classes.select("sig", "copies"), "sig")
+        block = F.pmod(F.xxhash64("sig"), "blocks").cast("int")
+        dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        keys = ["hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+        dealt = dealt.select(*keys, "block", "sig", "copies", "hub_n", "lacks", "more")
+        percent = self.percent
+        return dealt.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi").mapInArrow(lambda it: _solved(it, percent, pairs), "a long, b long, links long")
+
+    def _outside(self) -> DataFrame:
+        """The links (a, b) of sets that do not share a hub."""
+        lists = self.lists.withColumn("hub", F.col("sig"))
+        if self.members is not None:
+            named = self.lists.join(self.members.select("sig", "hub"), "sig", "left")
+            lists = named.select("token", "sig", "n", "at", F.coalesce("hub", "sig").alias("hub"))
+        percent = self.percent
+        met = self._by_list(lists).mapInArrow(lambda it: _crossing(it, percent), MET)
+        pairs = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("meets").alias("meets")).where("meets >= need").select("a", "b")
+        read = self._read(self.scratch.save(pairs, "pairs"), "a", "b", "pairs").select("a", "b", "x", "y")
+        return self.scratch.save(read.mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "outside")
+
+    def links(self) -> DataFrame:
+        """All pairs (a, b), a < b, of linked sets."""
+        out = self._outside()
+        if self.members is not None:
+            out = out.unionByName(self._inside(True).select("a", "b"))
+        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def components(self) -> DataFrame:
+        outside = self._outside()
+        both = outside.unionByName(outside.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counts = both.join(self.classes.select(F.col("sig").alias("b"), "copies"), "b").select(F.col("a").alias("sig"), F.col("copies").alias("links"))
+        edges = outside
+        if self.members is not None:
+            inside = self.scratch.save(self._inside(False), "inside")
+            counts = counts.unionByName(inside.select(F.col("a").alias("sig"), "links"))
+            edges = edges.unionByName(inside.select("a", "b"))
+        roots = components(edges, self.scratch, "all")
+        counts = counts.groupBy("sig").agg(F.sum("links").alias("links"))
+        owned = self.classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        least = owned.groupBy("root").agg(F.min("smallest").alias("component_id"))
+        named = owned.join(least, "root").join(counts, "sig", "left")
+        named = named.select("sig", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        named = self.scratch.save(named, "named")
+        self.scratch.drop_others("about", "named")
+        return self.about.join(named, "sig", "left")
+
+
+def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hubs: bool = True) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, n_links, set_id, row_key (equal for rows of equal doc_id and text).
 
     docs has doc_id and text; other columns are ignored. A set: the distinct runs of ``shingle`` words (lower-cased A-Z,
     split at white space), of a text with fewer words its whole run, of a null, empty or blank text nothing. Two documents
     are linked when 100 * intersection >= percent * union; empty sets are linked with nothing, not even each other.
-    component_id is the smallest doc_id reachable by links, itself included; set_id is equal for equal sets (0: empty).
-    Rows that share a doc_id are rows of their own in the links. A null doc_id stands before all others and is the id of
-    its component. Repeated rows get equal results.
+    component_id is the smallest doc_id reachable by links, itself included; n_links is the number of other rows that the
+    row is linked with; set_id is equal for equal sets (0: empty). Rows that share a doc_id are rows of their own in the
+    links. A null doc_id stands before all others and is the id of its component. Repeated rows get equal results. Without
+    ``hubs`` (tests) all pairs come from the lists.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def swept(df: DataFrame, name: str) -> DataFrame:
-        out = scratch.save(df, name)
-        scratch.swept()
-        return out
-
-    counts = gather(rows.select("text").mapInArrow(lambda it: _count_cells(it, shingle), COUNTS), [1 << CELL_BITS])[0]
-    levels = spark.sparkContext.broadcast(_levels(counts))
-    about = swept(rows.mapInArrow(lambda it: _about(it, shingle), "doc_id long, rk long, n long, sig long"), "about")
-    classes = about.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min_by("rk", F.struct("doc_id", "rk")).alias("rk"))
-
-    prefixes = rows.select("text").mapInArrow(lambda it: _prefixes(it, levels, shingle, percent, buckets), LISTS)
-    lists = swept(prefixes.repartition("bucket").mapInArrow(_several, "token long, sig long, n int, at int"), "lists")
-    tokens: list[DataFrame] = []
-
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among pairs. Sets that no earlier call has read are made from their texts first."""
-        need = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        for t in tokens:
-            need = need.join(t.select("sig"), "sig", "left_anti")
-        wanted = swept(need.join(classes, "sig").select("sig", "rk"), f"{name}-wanted")
-        if wanted.head(1):
-            texts = rows.select("rk", "text").join(wanted.hint("merge"), "rk").dropDuplicates(["sig"]).select("sig", "text")
-            tokens.append(swept(texts.mapInArrow(lambda it: _tokens(it, shingle), "sig long, tokens binary"), f"{name}-tokens"))
-        if not tokens:
-            return pairs.select("a", "b").where("false")
-        every = tokens[0]
-        for t in tokens[1:]:
-            every = every.unionByName(t)
-        return swept(_links(pairs, every, percent), f"{name}-links")
-
-    def by_list(lists: DataFrame) -> DataFrame:
-        return lists.repartition("token").sortWithinPartitions("token").select("token", "sig", "n", "at", "comp")
-
-    def rooted(lists: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """(roots so far, lists with the components they make, those of one component only left out)."""
-        roots = components(links, scratch, name)
-        named = lists.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-        mixed = named.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("token")
-        return roots, swept(named.join(mixed, "token"), f"{name}-lists")
-
-    left = lists.withColumn("comp", F.col("sig"))
-    links = None
-    met_in = "a long, b long, need long, meets long"
-    for k in range(leader_rounds):
-        many = LEADERS if k else 1
-        met = by_list(left).mapInArrow(lambda it, k=k, many=many: _leaders(it, 977 * k + 1, percent, many), met_in)
-        met = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("meets").alias("meets")).where("2 * meets >= need")
-        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("meets"), "b"))
-        best = swept(met.withColumn("place", place).where(F.col("place") <= many).select("a", "b"), f"leaders{k}")
-        new = compared(best, f"round{k}")
-        links = new if links is None else links.unionByName(new)
-        _, left = rooted(lists if k == 0 else left.drop("comp"), links, f"round{k}")
-    met = by_list(left).mapInArrow(lambda it: _crossing(it, percent), met_in)
-    pairs = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("meets").alias("meets")).where("meets >= need").select("a", "b")
-    new = compared(swept(pairs, "pairs"), "rest")
-    links = new if links is None else links.unionByName(new)
-    roots = components(links, scratch, "all")
-
-    owned = classes.select("sig", "smallest").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = owned.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = owned.join(least, "root").select("sig", "component_id")
-    out = about.join(named, "sig", "left").select(
-        F.when(F.col("doc_id") != lowest, F.col("doc_id")).alias("doc_id"),
+    found = _Join(docs, shingle, percent, hubs).components()
+    return found.select(
+        F.when(F.col("doc_id") != LOWEST, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.coalesce("component_id", "doc_id") != LOWEST, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("sig").alias("set_id"),
         F.col("rk").alias("row_key"),
     )
-    return out.withColumn("component_id", F.when(F.col("component_id") != lowest, F.col("component_id")))
+
+
+def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(a, b): every pair of different linked sets, by the set_id that similar_components gives their documents. Copies are
+    not expanded. Handles rows as similar_components does."""
+    return _Join(docs, shingle, percent, True).links()
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -417,11 +641,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     filled = F.col("n_shingles") > 0
     group = [filled.alias("filled"), F.col("component_id"), F.when(filled, 0).otherwise(F.col("row_key")).alias("own")]
     first = found.groupBy(*group).agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    stay = first.select(F.col("first.row_key").alias("__row")).distinct()
-    kept = docs.withColumn("__row", row_key()).join(stay, "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+    name = unused(docs, "row_key")
+    stay = first.select(F.col("first.row_key").alias(name)).distinct()
+    kept = docs.withColumn(name, row_key()).join(stay, name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of documents."""
+    """doc_id, n_shingles, component_id and n_links for every row of documents."""
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("set_id", "row_key")

@@ -321,22 +321,18 @@ def removed_ranges(docs: DataFrame, units: Callable, dtype, index: Callable, win
     rows = keyed(docs)
     entries = rows.mapInArrow(lambda it: _anchors(it, units, window, gram, buckets), ANCHORS)
     runs = scratch.save(entries.repartition("bucket").mapInArrow(lambda it: _repeated(it, blocks), BY_DOCUMENT), "runs")
-    scratch.swept()
     packed = runs.where("kind = 0")
     own = F.pmod(F.pmod("doc_id", F.lit(_SPREAD)), F.lit(blocks)).cast("int").alias("block")
     texts = rows.select(F.lit(2).alias("kind"), own, "doc_id", "th", "text")
     both = packed.unionByName(texts, allowMissingColumns=True).select("kind", "block", "doc_id", "th", "text", "docs", "ths", "runs")
     dealt = both.repartition("block").sortWithinPartitions("kind")
     found = scratch.save(dealt.mapInArrow(lambda it: _segments(it, units, window, buckets), SEGMENTS), "segments")
-    scratch.swept()
     shards = found.where("kind = 0").select("bucket", "segments", "contents").repartition("bucket")
     answers = scratch.save(shards.mapInArrow(lambda it: _answers(it, index, dtype, window, block), "seg long, off int, cnt int, low long"), "answers")
-    scratch.swept()
     uses = found.where("kind = 1").select("seg", "th", "doc_id", "start")
     hit = uses.join(answers, "seg").where("low < doc_id")
     ranges = hit.select(F.lit(0).alias("kind"), own, "doc_id", "th", (F.col("start") + F.col("off")).alias("start"), (F.col("cnt") + (window - 1)).alias("size"))
     ranges = scratch.save(ranges, "ranges")
-    scratch.swept()
     scratch.drop("segments")
     settled = runs.where("kind = 1").select(F.lit(1).alias("kind"), "block", "docs", "ths", "runs")
     both = ranges.unionByName(settled, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)

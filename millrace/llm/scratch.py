@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode, else the warehouse."""
@@ -22,24 +23,38 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until it is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """A folder for one call's intermediate tables: written once, so a lost executor costs only rereading them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.names = spark, []
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and reads it again; the shuffle files of the write go with it."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def swept(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished jobs, which it does when their handles are collected."""
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
+    def drop_others(self, *kept: str) -> None:
+        """Drops the tables that are not needed once the kept ones are written."""
+        for name in [n for n in self.names if n not in kept]:
+            self.names.remove(name)
+            self.drop(name)
 
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
