@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import bm25, idf
 from millrace.functions.text import terms
+from millrace.operators.stored import stored
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = None, title_weight: int = 3) -> DataFrame:
@@ -24,13 +27,41 @@ def statistics(index: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int, f
     return index.groupBy("term").agg(F.count("*").cast("double").alias("df")), lengths["n"], lengths["average"] or 1.0
 
 
-def score(questions: DataFrame, index: DataFrame, key: str = "doc_id", question: str = "item_id", text: str = "text") -> DataFrame:
-    """(question, key, score, hits): BM25 over the distinct terms of each question, one row per candidate."""
-    df, n, average = statistics(index, key)
+@dataclass(frozen=True)
+class Index:
+    """(key, term, tf, length) of the terms that questions ask for, the number of documents and their average length."""
+
+    rows: DataFrame
+    key: str
+    documents: int
+    average: float
+
+    def frequencies(self) -> DataFrame:
+        """(term, df)."""
+        return self.rows.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+
+
+def index_for(questions: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """The part of an index that a batch of questions needs, written once: documents are read and split a single time, and only
+    occurrences of asked terms are counted and shuffled. key tells documents apart. The empty term, which every document
+    has, carries the lengths."""
+    asked = questions.select(F.explode(F.concat(F.array(F.lit("")), terms(F.col(text)))).alias("term")).distinct()
+    words = docs.select(key, terms(F.col(text)).alias("words")).where("size(words) > 0")
+    held = words.select(key, F.size("words").cast("double").alias("length"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    rows = held.join(asked, "term").groupBy(key, "term").agg(F.count("*").cast("double").alias("tf"), F.max("length").alias("length"))
+    rows = stored(rows, "index")
+    about = rows.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+    return Index(rows.where("term != ''"), key, about["n"], about["average"] or 1.0)
+
+
+def score(questions: DataFrame, index: Index, within: DataFrame | None = None, question: str = "item_id", text: str = "text") -> DataFrame:
+    """(question, key, score, hits): BM25 over the distinct terms of each question, one row per candidate. within: the keys that
+    may be candidates (None: all); frequencies and lengths are those of all documents."""
     wanted = questions.select(question, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    weighted = wanted.join(df, "term").withColumn("idf", idf(F.lit(float(n)), F.col("df")))
-    part = F.col("idf") * bm25(F.col("tf"), F.col("length"), F.lit(float(average)))
-    return weighted.join(index, "term").groupBy(question, key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hits"))
+    weighted = wanted.join(index.frequencies(), "term").withColumn("idf", idf(F.lit(float(index.documents)), F.col("df")))
+    part = F.col("idf") * bm25(F.col("tf"), F.col("length"), F.lit(float(index.average)))
+    rows = index.rows if within is None else index.rows.join(within.select(index.key), index.key, "left_semi")
+    return weighted.join(rows, "term").groupBy(question, index.key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hits"))
 
 
 def top(scored: DataFrame, k: int, question: str = "item_id", key: str = "doc_id") -> DataFrame:
@@ -39,13 +70,12 @@ def top(scored: DataFrame, k: int, question: str = "item_id", key: str = "doc_id
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def coverage(questions: DataFrame, index: DataFrame, best: DataFrame, key: str = "doc_id", question: str = "item_id", text: str = "text") -> DataFrame:
+def coverage(questions: DataFrame, index: Index, best: DataFrame, question: str = "item_id", text: str = "text") -> DataFrame:
     """(question, coverage, mass): the share, by idf, of each question's terms that its best document has, and their idf.
     A term that no document has counts with the idf of a df of 1."""
-    df, n, _ = statistics(index, key)
     wanted = questions.select(question, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    w = wanted.join(df, "term", "left").withColumn("idf", idf(F.lit(float(n)), F.coalesce("df", F.lit(1.0))))
-    have = best.select(question, key).join(index.select(key, "term"), key).withColumn("has", F.lit(1.0))
+    w = wanted.join(index.frequencies(), "term", "left").withColumn("idf", idf(F.lit(float(index.documents)), F.coalesce("df", F.lit(1.0))))
+    have = best.select(question, index.key).join(index.rows.select(index.key, "term"), index.key).withColumn("has", F.lit(1.0))
     both = w.join(have, [question, "term"], "left")
     mass = F.sum(F.col("idf") * F.coalesce("has", F.lit(0.0)))
     return both.groupBy(question).agg((mass / F.sum("idf")).alias("coverage"), mass.alias("mass"))

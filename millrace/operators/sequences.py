@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.stored import stored
+
 
 def islands(df: DataFrame, by: list[str], order: list[str], new: Column) -> DataFrame:
     """df with island: how many rows up to this one, in order, begin a new run (new is true)."""
@@ -37,6 +39,17 @@ def monotone(df: DataFrame, by: list[str], order: list[str], value: str) -> Data
     return df.withColumn("__top", F.max(value).over(w)).where(F.col("__top").isNull() | (F.col(value) > F.col("__top"))).drop("__top")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the place of each row, from 1, in an order of all rows: rows are dealt by ranges, each range is numbered by itself
+    and starts after all rows of the ranges before it."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    own = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    out = own.join(sizes.select("__range", before.alias("__before")), "__range")
+    return out.withColumn(name, F.col("__before") + F.col("__k")).drop("__range", "__k", "__before")
+
+
 def longest_increasing(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, order, value) of one longest strictly increasing subsequence of each group (the one that patience sorting with
     back-pointers finds). A group is one document's lines, so it fits a task."""
@@ -62,7 +75,8 @@ def longest_increasing(df: DataFrame, by: str, order: str, value: str) -> DataFr
 
 def passages(docs: DataFrame, soft: int = 700, hard: int = 1100, tail: int = 200) -> DataFrame:
     """(doc_id, k, text): lines packed greedily; a passage closes at ``soft`` characters or before it would exceed ``hard``;
-    longer lines are cut at ``hard``; a last passage under ``tail`` joins the one before."""
+    longer lines are cut at ``hard``; a last passage under ``tail`` joins the one before. An empty or null text is one empty
+    passage."""
 
     def pack(text: str) -> list[str]:
         out: list[str] = []
@@ -82,7 +96,7 @@ def passages(docs: DataFrame, soft: int = 700, hard: int = 1100, tail: int = 200
                 out[-1] += "\n" + now
             else:
                 out.append(now)
-        return out
+        return out or [""]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

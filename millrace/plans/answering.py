@@ -4,19 +4,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import answers, search
-from millrace.plans.graphs import _edges
+from millrace.plans.graphs import _EDGES, _edges
 from millrace.plans.retrieval import INDEX_SQL, gold
 from millrace.registry import query, table
 
 
-@query("R4", f"""WITH {INDEX_SQL}, named AS (SELECT item_id, item_id * 3 AS doc_id, item_id % 2 = 0 AS exact FROM benchmark WHERE item_id * 3 < 150),
+@query("R4", f"""WITH {INDEX_SQL}, named AS (SELECT item_id, item_id * 3 AS doc_id, item_id % 2 = 0 AS exact FROM benchmark),
 b AS (SELECT item_id, doc_id, coalesce(score, 0) AS score, exact FROM ranked FULL JOIN named USING (item_id, doc_id)),
 o AS (SELECT *, max(CASE WHEN exact IS NULL THEN score END) OVER (PARTITION BY item_id) AS other FROM b)
 SELECT item_id, doc_id, round(CASE WHEN exact THEN greatest(score, coalesce(other, 0)) + 5 WHEN NOT exact THEN score + 6 ELSE score END, 6) AS score FROM o""")
 def identifier_promotion(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    scored = search.score(items, search.postings(docs)).select("item_id", "doc_id", "score")
-    named = items.where("item_id * 3 < 150").select("item_id", (F.col("item_id") * 3).alias("doc_id"), (F.col("item_id") % 2 == 0).alias("exact"))
+    scored = search.score(items, search.index_for(items, docs)).select("item_id", "doc_id", "score")
+    named = items.select("item_id", (F.col("item_id") * 3).alias("doc_id"), (F.col("item_id") % 2 == 0).alias("exact"))
     return answers.promoted(scored, named).select("item_id", "doc_id", "score")
 
 
@@ -24,7 +24,7 @@ def identifier_promotion(spark, d):
 SELECT item_id, doc_id, rule FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rule, score DESC, doc_id) = 1""")
 def preferred_answer(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = search.top(search.score(items, search.postings(docs)), 10).join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
+    top = search.top(search.score(items, search.index_for(items, docs)), 10).join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
     rules = [(F.col("n_chars") > 500) & (F.col("lang") == "en"), F.col("n_chars") > 200]
     return answers.preferred(top, rules, [F.desc("score"), F.col("doc_id")], ["item_id"]).select("item_id", "doc_id", "rule")
 
@@ -34,10 +34,12 @@ def dialogue_queries(spark, d):
     return answers.dialogue(table(spark, d, "conversations"))
 
 
-@query("R12", """WITH e AS (SELECT DISTINCT (l_partkey % 97) AS src, (l_suppkey * 7 + l_linenumber) % 97 AS dst FROM lineitem WHERE l_quantity > 49 AND (l_partkey % 97) <> (l_suppkey * 7 + l_linenumber) % 97), a AS (SELECT unnest([1, 5, 9, 200]) AS node)
+@query("R12", f"""WITH {_EDGES}, a AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT -1)
 SELECT node, 'out' AS relation, dst AS other FROM a JOIN e ON src = node UNION ALL SELECT node, 'in', src FROM a JOIN e ON dst = node UNION ALL SELECT node, 'none', NULL FROM a WHERE node NOT IN (SELECT src FROM e) AND node NOT IN (SELECT dst FROM e)""")
 def relation_replies(spark, d):
-    e, a = _edges(spark, d), spark.createDataFrame([(1,), (5,), (9,), (200,)], "node long")
+    """What stands on either side of each asked part, or that nothing does (-1 is no part)."""
+    e = _edges(spark, d)
+    a = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node")).union(spark.range(-1, 0))
     out = a.join(e, a.node == e.src).select("node", F.lit("out").alias("relation"), F.col("dst").alias("other"))
     into = a.join(e, a.node == e.dst).select("node", F.lit("in").alias("relation"), F.col("src").alias("other"))
     ends = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -100,11 +102,11 @@ def cited_numbers(spark, d):
     return x.groupBy(kind.alias("kind"), scope.alias("scope")).agg(F.count("*").alias("n"))
 
 
-@query("X29 X30 W9", """WITH c AS (SELECT l_orderkey AS t, l_linenumber AS r, min(CASE WHEN l_linenumber > 2 AND l_quantity > 20 THEN l_quantity::INTEGER::VARCHAR END) AS cell, min(CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag END) AS label FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL),
+@query("X29 X30 W9", """WITH c AS (SELECT l_orderkey AS t, l_linenumber AS r, min(CASE WHEN l_linenumber > 2 AND l_quantity > 20 THEN l_quantity::INTEGER::VARCHAR END) AS cell, min(CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag END) AS label FROM lineitem GROUP BY ALL),
 h AS (SELECT t, coalesce(min(r) FILTER (cell IS NOT NULL) - 1, count(*)) AS header_rows FROM c GROUP BY t), f AS (SELECT t, r, cell, last_value(label IGNORE NULLS) OVER (PARTITION BY t ORDER BY r ROWS UNBOUNDED PRECEDING) AS label FROM c)
 SELECT t, r, header_rows::BIGINT AS header_rows, label, cell FROM f JOIN h USING (t) QUALIFY row_number() OVER (PARTITION BY t ORDER BY cell IS NULL, r) <= 4""")
 def table_view(spark, d):
-    line = table(spark, d, "lineitem").where("l_orderkey < 500")
+    line = table(spark, d, "lineitem")
     cell = F.when((F.col("l_linenumber") > 2) & (F.col("l_quantity") > 20), F.col("l_quantity").cast("int").cast("string"))
     c = line.groupBy(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("r")).agg(F.min(cell).alias("cell"), F.min(F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag"))).alias("label"))
     h = c.groupBy("t").agg(F.coalesce(F.min(F.when(F.col("cell").isNotNull(), F.col("r"))) - 1, F.count("*")).cast("long").alias("header_rows"))

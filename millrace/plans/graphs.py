@@ -1,16 +1,19 @@
-"""Queries over graphs that foreign keys make: parts and suppliers through lineitem, and regions down to customers."""
+"""Queries over graphs in the star tables: parts that follow each other in orders, and regions down to customers."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import graph, joins
 from millrace.registry import query, table
 
-_EDGES = "e AS (SELECT DISTINCT (l_partkey % 97) AS src, (l_suppkey * 7 + l_linenumber) % 97 AS dst FROM lineitem WHERE l_quantity > 49 AND (l_partkey % 97) <> (l_suppkey * 7 + l_linenumber) % 97)"
+_FOLLOWS = "SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem"
+_EDGES = f"e AS (SELECT DISTINCT src, dst FROM ({_FOLLOWS}) WHERE dst IS NOT NULL AND src <> dst)"
 
 
 def _edges(spark, d):
-    line = table(spark, d, "lineitem").where("l_quantity > 49")
-    return line.select((F.col("l_partkey") % 97).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 97).alias("dst")).where("src <> dst").distinct()
+    """(src, dst): each part with the part on the next line of any order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("src <> dst").distinct()
 
 
 @query("G1 G5 G6 G15", f"WITH {_EDGES}, o AS (SELECT src AS node, count(*) AS n_out FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n_in FROM e GROUP BY 1) SELECT node, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM o FULL JOIN i USING (node)")
@@ -18,22 +21,27 @@ def degree(spark, d):
     return graph.degrees(_edges(spark, d))
 
 
-@query("G2 G10 G11", f"""WITH RECURSIVE {_EDGES}, walk(start, node, level) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src < 20 UNION SELECT w.start, e.dst, w.level + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.level < 2)
+@query("G2 G10 G11", f"""WITH RECURSIVE {_EDGES}, walk(start, node, level) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src % 100 = 0 UNION SELECT w.start, e.dst, w.level + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.level < 2)
 SELECT start, node, min(level) AS level FROM walk GROUP BY start, node""")
 def trace_levels(spark, d):
+    """Two steps from every part that is asked for: those whose key is divisible by 100."""
     e = _edges(spark, d)
-    return graph.reached(e.where("src < 20").select(F.col("src").alias("start")).distinct(), e, 2).select("start", "node", "level")
+    return graph.reached(e.where("src % 100 = 0").select(F.col("src").alias("start")).distinct(), e, 2).select("start", "node", "level")
 
 
-@query("G3 G4", f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), walk(start, node, level) AS (SELECT 1, 1, 0 UNION SELECT w.start, u.dst, w.level + 1 FROM walk w JOIN u ON u.src = w.node WHERE w.level < 6)
-SELECT node, min(level) AS hops FROM walk GROUP BY node""")
+_WALK = f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), walk(start, node, level) AS (SELECT 1::BIGINT, 1::BIGINT, 0 UNION SELECT w.start, u.dst, w.level + 1 FROM walk w JOIN u ON u.src = w.node WHERE w.level < 6),
+near AS (SELECT start, node, min(level) AS level FROM walk GROUP BY start, node)"""
+
+
+@query("G3 G4", f"{_WALK} SELECT node, level AS hops FROM near")
 def shortest_path_length(spark, d):
     start = spark.createDataFrame([(1,)], "start long")
     return graph.reached(start, graph.undirected(_edges(spark, d)), 6).select("node", F.col("level").alias("hops"))
 
 
-@query("G3")
+@query("G3", f"{_WALK} SELECT a.start, a.node, a.level, (SELECT min(u.src) FROM u JOIN near b ON b.node = u.src WHERE u.dst = a.node AND b.level = a.level - 1) AS parent FROM near a")
 def shortest_path_parents(spark, d):
+    """Going from parent to parent gives a shortest path, the one of the smallest nodes."""
     start = spark.createDataFrame([(1,)], "start long")
     return graph.reached(start, graph.undirected(_edges(spark, d)), 6)
 
@@ -44,28 +52,30 @@ def hierarchy_paths(spark, d):
     r = table(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
     n = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("node"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
     c = table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("node"), F.concat(F.lit("N"), "c_nationkey").alias("parent"))
-    return graph.hierarchy(spark, r.unionByName(n).unionByName(c))
+    return graph.hierarchy(r.unionByName(n).unionByName(c))
 
 
-@query("G12", f"""WITH RECURSIVE {_EDGES}, walk(origin, place, n) AS (SELECT src, dst, 1 FROM e UNION SELECT w.origin, e.dst, n + 1 FROM walk w JOIN e ON e.src = w.place WHERE n < 4 AND w.origin <> w.place) SELECT DISTINCT origin AS node FROM walk WHERE origin = place""")
+@query("G12", f"WITH RECURSIVE {_EDGES}, walk(origin, place) AS (SELECT src, dst FROM e UNION SELECT w.origin, e.dst FROM walk w JOIN e ON e.src = w.place) SELECT DISTINCT origin AS node FROM walk WHERE origin = place")
 def cycle_nodes(spark, d):
-    return graph.cycles(_edges(spark, d), 4)
+    return graph.cycles(_edges(spark, d))
 
 
-@query("J23 G14", f"WITH {_EDGES}, p AS (SELECT a.n AS a, b.n AS b FROM generate_series(0, 30) a(n), generate_series(0, 30) b(n) WHERE a.n < b.n) SELECT p.a, p.b, CASE WHEN x.src IS NOT NULL OR y.src IS NOT NULL THEN 'SUPPLIES' END AS rel, CASE WHEN x.src IS NOT NULL THEN FALSE WHEN y.src IS NOT NULL THEN TRUE END AS reversed FROM p LEFT JOIN e x ON x.src = p.a AND x.dst = p.b LEFT JOIN e y ON y.src = p.b AND y.dst = p.a")
+@query("J23 G14", f"WITH {_EDGES}, o AS (SELECT l_orderkey, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY 1), p AS (SELECT DISTINCT a, b FROM o WHERE a < b) SELECT p.a, p.b, CASE WHEN x.src IS NOT NULL OR y.src IS NOT NULL THEN 'FOLLOWS' END AS rel, CASE WHEN x.src IS NOT NULL THEN FALSE WHEN y.src IS NOT NULL THEN TRUE END AS reversed FROM p LEFT JOIN e x ON x.src = p.a AND x.dst = p.b LEFT JOIN e y ON y.src = p.b AND y.dst = p.a")
 def explained_pairs(spark, d):
-    r = spark.range(31)
-    p = r.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(30).cast("long"))).alias("b")).where("a < b")
-    return joins.either_direction(p, _edges(spark, d).withColumn("rel", F.lit("SUPPLIES")))
+    """How the first and the last part of each order relate."""
+    p = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"))
+    return joins.either_direction(p.where("a < b").select("a", "b").distinct(), _edges(spark, d).withColumn("rel", F.lit("FOLLOWS")))
 
 
-@query("G18", f"""WITH {_EDGES}, f AS (SELECT src AS node, dst AS feature FROM e WHERE src < 40), s AS (SELECT node, count(*) AS n FROM f GROUP BY 1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-c AS (SELECT x.node AS a, y.node AS b, count(*) AS common FROM f x JOIN f y USING (feature) WHERE x.node <> y.node GROUP BY ALL),
+@query("G18", f"""WITH {_EDGES}, f AS (SELECT src AS node, dst AS feature FROM e), s AS (SELECT node, count(*) AS n FROM f GROUP BY 1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+c AS (SELECT x.node AS a, y.node AS b, count(*) AS common FROM f x JOIN f y USING (feature) WHERE x.node <> y.node AND x.node % 100 = 0 GROUP BY ALL),
 z AS (SELECT a, b, round(least(1.0::DOUBLE, common / (p.n + q.n - common) + CASE WHEN u.src IS NULL THEN 0.0 ELSE 0.3 END)::DOUBLE, 6) AS score FROM c JOIN s p ON p.node = a JOIN s q ON q.node = b LEFT JOIN u ON u.src = a AND u.dst = b)
 SELECT a, b, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM z WHERE score > 0.05) WHERE rank <= 5""")
 def node_neighbours(spark, d):
+    """Neighbours, among all parts, of those whose key is divisible by 100."""
     e = _edges(spark, d)
-    return graph.similar_nodes(e.where("src < 40").select(F.col("src").alias("node"), F.col("dst").alias("feature")), e, 5)
+    asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node"))
+    return graph.similar_nodes(e.select(F.col("src").alias("node"), F.col("dst").alias("feature")), e, 5, asked)
 
 
 @query("G16 G21 S12", """WITH n AS (SELECT c_custkey % 1000 AS id, min(c_custkey) AS seq FROM customer GROUP BY 1), e AS (SELECT o_custkey % 1200 AS src, o_orderkey % 1100 AS dst, o_orderstatus AS rel, min(o_orderkey) AS seq FROM orders GROUP BY ALL)

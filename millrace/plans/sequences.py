@@ -100,14 +100,13 @@ def packed_passages(spark, d):
     return S.passages(table(spark, d, "documents"))
 
 
-@query("T3", "SELECT p_partkey, row_number() OVER (ORDER BY (p_partkey % 12), (p_partkey % 100), p_partkey) AS place FROM part WHERE p_partkey <= 400")
+@query("T3", "SELECT p_partkey, row_number() OVER (ORDER BY (p_partkey % 12), (p_partkey % 100), p_partkey) AS place FROM part")
 def natural_order(spark, d):
     """Numbers like 10.9 sort by their parts, not as strings."""
     k = F.col("p_partkey")
     number = F.concat_ws(".", k % 12, k % 100)
     parts = F.transform(F.split(number, r"\."), lambda x: x.try_cast("int"))
-    w = Window.orderBy(parts, "p_partkey")
-    return table(spark, d, "part").where("p_partkey <= 400").select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    return S.numbered(table(spark, d, "part").select("p_partkey", parts.alias("parts")), ["parts", "p_partkey"], "place").select("p_partkey", "place")
 
 
 @query("T5 R13", "WITH x AS (SELECT n_regionkey, c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT n_regionkey, c_custkey FROM x WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC, c_custkey) <= 8")
@@ -122,10 +121,15 @@ def capped_per_group(spark, d):
 
 @query("T6", "WITH x AS (SELECT a.p_partkey, b.p_retailprice AS other, abs(ln(b.p_retailprice / a.p_retailprice)) AS dist FROM part a JOIN (SELECT DISTINCT p_brand, p_retailprice FROM part) b ON a.p_brand = b.p_brand AND a.p_retailprice <> b.p_retailprice) SELECT p_partkey, other FROM x QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY round(dist, 9), other) <= 3")
 def distractors(spark, d):
+    """The three nearest are among the three prices before and the three after in the order of a brand's prices."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
-    o = p.select("p_brand", F.col("p_retailprice").alias("other")).distinct()
-    x = p.join(o, "p_brand").where("other <> p_retailprice").withColumn("dist", F.round(F.abs(F.log(F.col("other") / F.col("p_retailprice"))), 9))
-    return x.withColumn("k", F.row_number().over(Window.partitionBy("p_partkey").orderBy("dist", "other"))).where("k <= 3").select("p_partkey", "other")
+    w = Window.partitionBy("p_brand").orderBy("p_retailprice")
+    beside = F.array_compact(F.array(*(f("p_retailprice", k).over(w) for f in (F.lag, F.lead) for k in (1, 2, 3))))
+    prices = p.select("p_brand", "p_retailprice").distinct().withColumn("beside", beside)
+    dist = lambda o: F.round(F.abs(F.log(o / F.col("p_retailprice"))), 9)
+    best = F.slice(F.array_sort(F.transform("beside", lambda o: F.struct(dist(o).alias("dist"), o.alias("other")))), 1, 3)
+    prices = prices.select("p_brand", "p_retailprice", F.explode(best).alias("best"))
+    return p.join(prices, ["p_brand", "p_retailprice"]).select("p_partkey", F.col("best.other").alias("other"))
 
 
 @query("T7", "SELECT c_mktsegment, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('7:' || c_custkey), c_custkey) <= 5")
@@ -142,11 +146,11 @@ def hash_split(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.when(total % 3 == 0, "test").otherwise("dev").alias("split"))
 
 
-@query("T9 T10", "SELECT p_partkey, string_agg(o, '|' ORDER BY sha256(p_partkey || ':' || o)) AS options FROM (SELECT p_partkey, unnest(['red', 'green', 'blue', p_brand]) AS o FROM part WHERE p_partkey % 30 = 0) GROUP BY p_partkey")
+@query("T9 T10", "SELECT p_partkey, string_agg(o, '|' ORDER BY sha256(p_partkey || ':' || o)) AS options FROM (SELECT p_partkey, unnest(['red', 'green', 'blue', p_brand]) AS o FROM part) GROUP BY p_partkey")
 def shuffled_options(spark, d):
     options = F.array(F.lit("red"), F.lit("green"), F.lit("blue"), F.col("p_brand"))
     keyed = F.array_sort(F.transform(options, lambda o: F.struct(F.sha2(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), o), 256).alias("h"), o.alias("o"))))
-    return table(spark, d, "part").where("p_partkey % 30 = 0").select("p_partkey", F.array_join(F.transform(keyed, lambda x: x.o), "|").alias("options"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(keyed, lambda x: x.o), "|").alias("options"))
 
 
 @query("T11 A35", "WITH s AS (SELECT user_id, count(*) AS seen, least(5, count(*) FILTER (event_type = 'purchase')) AS box FROM events GROUP BY 1) SELECT user_id, box, seen FROM s ORDER BY box, seen, sha256(user_id::VARCHAR) LIMIT 20")

@@ -32,9 +32,42 @@ def test_reach_matches_a_plain_search(spark):
 
 def test_cycles_and_forests(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
-    assert sorted(r.node for r in graph.cycles(df, 5).collect()) == [1, 2, 3]
+    assert sorted(r.node for r in graph.cycles(df).collect()) == [1, 2, 3]
     f = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "node string, parent string")
-    assert sorted(map(tuple, graph.hierarchy(spark, f).collect())) == [("a", "a", 0, "a"), ("b", "a", 1, "a/b"), ("c", "a", 2, "a/b/c")]
+    assert sorted(map(tuple, graph.hierarchy(f).collect())) == [("a", "a", 0, "a"), ("b", "a", 1, "a/b"), ("c", "a", 2, "a/b/c")]
+
+
+def test_cycles_of_any_length(spark):
+    r = random.Random(4)
+    ring = [(i, (i + 1) % 30) for i in range(30)]
+    e = ring + [(29, 40), (40, 41), (41, 42), (50, 0), (60, 60), (71, 70), (70, 71), (71, 72)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(70)]
+    reach = {n: {n for a, n in e if a == m} for m in {x for p in e for x in p} for n in [m]}
+    for _ in range(200):
+        reach = {m: s | {x for n in s for x in reach[n]} for m, s in reach.items()}
+    got = sorted(x.node for x in graph.cycles(spark.createDataFrame(e, "src long, dst long")).collect())
+    assert got == sorted(m for m, s in reach.items() if m in s)
+
+
+def test_nearest_and_near_pairs_match_plain_loops(spark):
+    r = random.Random(6)
+    left = [(i, r.randrange(4), r.randrange(20) / 2) for i in range(40)]
+    right = [(i, r.randrange(3), r.randrange(20) / 2) for i in range(12)]
+    a, b = spark.createDataFrame(left, "l long, g long, x double"), spark.createDataFrame(right, "c long, g long, y double")
+    want = {}
+    for i, g, x in left:
+        d = [(abs(x - y), c) for c, h, y in right if h == g]
+        best = [c for v, c in d if v == min(d)[0]]
+        want[i] = ("NOT_FOUND", None) if not d else ("RESOLVED", best[0]) if len(best) == 1 else ("AMBIGUOUS", None)
+    assert {t.l: (t.status, t.c) for t in joins.nearest(a, b, ["g"], "x", "y", "l", "c").collect()} == want
+    near = {(t.l_a, t.l_b) for t in joins.pairs_near(a, ["g"], "l", "x", 1.5, []).collect()}
+    assert near == {(i, j) for i, g, x in left for j, h, y in left if i < j and g == h and abs(x - y) < 1.5}
+
+
+def test_numbered_is_one_order(spark):
+    r = random.Random(9)
+    rows = [(i, r.randrange(9)) for i in range(500)]
+    got = {t.i: t.place for t in S.numbered(spark.createDataFrame(rows, "i long, v long"), ["v", "i"], "place").collect()}
+    assert got == {i: k for k, (_, i) in enumerate(sorted((v, i) for i, v in rows), 1)}
 
 
 def test_asof_without_a_match(spark):
@@ -57,10 +90,13 @@ def test_passages_lose_nothing(spark):
     assert "".join(one).replace("\n", "") == text.replace("\n", "")
     assert all(len(t) <= 1100 + 200 + 1 for t in one)
     assert [x.text for x in rows if x.doc_id == 4] == ["short"]
+    assert [(x.doc_id, x.k, x.text) for x in rows if x.doc_id in (2, 3)] == [(2, 0, ""), (3, 0, "")]
 
 
 def test_row_clusters_reads_every_order(spark):
-    from millrace.registry import QUERIES
+    from millrace.registry import QUERIES, load
+
+    load()
 
     d = "/root/testdata/sf0.001"
     got = {r[0] for r in QUERIES["row_clusters"](spark, d).select("l_orderkey").distinct().collect()}

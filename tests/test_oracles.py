@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from millrace.registry import COVERS, ORACLE_SQL, QUERIES
+from millrace.registry import COVERS, ORACLE_SQL, QUERIES, load
+
+load()
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
