@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: No candidate is shorter.
+SHORTEST = 5
 
 # Patterns of Java's engine. Repeats are possessive and starts are anchored to the beginning of a run (or the end of
 # the last match), which finds the same matches as the plain form in time linear in the text.
@@ -329,8 +331,7 @@ def find(docs: DataFrame, forests: dict[str, Forest] | None = None) -> DataFrame
     equal results.
     """
     forests = forests or train()
-    own = docs.columns
-    df = docs.withColumn("__t", F.coalesce("text", F.lit("")))
+    df = docs.select(F.struct(*docs.columns).alias("__own"), F.coalesce("text", F.lit("")).alias("__t"))
     df = _spans(df, "__t", BASE, "__b")
     df = _spans(df, "__t", GENERATORS, "__c")
 
@@ -351,14 +352,17 @@ def find(docs: DataFrame, forests: dict[str, Forest] | None = None) -> DataFrame
         return F.filter(F.transform(free, one), lambda x: x.z >= float(forests[kind].threshold))
 
     df = df.withColumn("__new", F.array_sort(F.concat(*(scored(kind, k) for k, kind in enumerate(KINDS)))))
-    reach = 8  # candidates of one kind never overlap, and one is too short to hold more than a few of another kind
 
-    def beaten(x: Column, i: Column) -> Column:
-        near = F.slice(F.col("__new"), F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1)
-        return F.exists(near, lambda y: (y.s < x.e) & (x.s < y.e) & ((y.z > x.z) | ((y.z == x.z) & ((y.s < x.s) | ((y.s == x.s) & (y.k < x.k))))))
+    def losers(x: Column, i: Column) -> Column:
+        """Of each pair of x and a later candidate that begins inside it, the one to leave out. Candidates of one kind never
+        overlap, so of each kind at most one in SHORTEST places begins there."""
+        inside = len(KINDS) * (F.floor((x.e - x.s) / SHORTEST).cast("int") + 1)
+        later = F.filter(F.slice(F.col("__new"), i + 2, inside), lambda y: y.s < x.e)
+        return F.transform(later, lambda y: F.when(y.z > x.z, F.struct(x.s, x.k)).otherwise(F.struct(y.s, y.k)))
 
-    chosen = F.transform(F.filter(F.col("__new"), lambda x, i: ~beaten(x, i)), lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e")))
-    return df.withColumn("all_spans", F.array_sort(F.concat("base_spans", chosen))).select(*own, "base_spans", "all_spans")
+    df = df.withColumn("__out", F.flatten(F.transform(F.col("__new"), losers)))
+    chosen = F.transform(F.filter(F.col("__new"), lambda x: ~F.array_contains(F.col("__out"), F.struct(x.s, x.k))), lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e")))
+    return df.withColumn("all_spans", F.array_sort(F.concat("base_spans", chosen))).select("__own.*", "base_spans", "all_spans")
 
 
 def _written(spans: Column) -> Column:
@@ -370,7 +374,7 @@ def _written(spans: Column) -> Column:
 def redact(docs: DataFrame, forests: dict[str, Forest] | None = None) -> DataFrame:
     """docs with each of its spans replaced by its kind in brackets in text (overlapping ones by that of the first),
     and n_chars, where there is one, counted anew. A null text stays null."""
-    df = find(docs, forests)
+    df = find(docs.select(F.struct(*docs.columns).alias("own"), "text"), forests)
     empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
 
     def join(acc: Column, x: Column) -> Column:
@@ -378,14 +382,16 @@ def redact(docs: DataFrame, forests: dict[str, Forest] | None = None) -> DataFra
         wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.s.alias("s"), last.k.alias("k"), F.greatest(last.e, x.e).alias("e"))))
         return F.when(F.size(acc) == 0, F.array(x)).when(x.s < last.e, wider).otherwise(F.concat(acc, F.array(x)))
 
-    df = df.withColumn("__u", F.aggregate("all_spans", empty, join))
-    names, u, t = F.array(*(F.lit(f"[{k}]") for k in KINDS)), F.col("__u"), F.col("text")
+    df = df.withColumn("joined", F.aggregate("all_spans", empty, join))
+    names, u, t = F.array(*(F.lit(f"[{k}]") for k in KINDS)), F.col("joined"), F.col("text")
     parts = F.transform(u, lambda x, i: F.concat(F.substring(t, F.when(i == 0, 0).otherwise(u[i - 1].e) + 1, x.s - F.when(i == 0, 0).otherwise(u[i - 1].e)), names[x.k]))
     rest = F.substring(t, F.element_at(u, -1).e + 1, F.length(t))
-    df = df.withColumn("text", F.when(F.size(u) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(t))
+    changed = F.size(u) > 0
+    text = F.when(changed, F.concat(F.array_join(parts, ""), rest)).otherwise(t)
+    out = {c: F.col("own")[c] for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size(u) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        out["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own")["n_chars"])
+    return df.select(*(v.alias(c) for c, v in out.items()))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
