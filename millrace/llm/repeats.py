@@ -295,7 +295,7 @@ def _answers(batches: Iterator[pa.RecordBatch], index: Callable, dtype, window:
     while s < len(anchor):
         reach = np.searchsorted(total, total[s] - size[s] + block, "right")
         e = int(edge[max(np.searchsorted(edge, s, "right"), np.searchsorted(edge, reach, "right") - 1)])
-        m = index(_gathered(text, at[s:e], size[s:e]), size[s:e], n[s:e], low[s:e])
+        m = index(_gathered(text, at[s:e], size[s:e]), size[s:e], n[s:e], low[s:e], anchor[s:e])
         owner = np.repeat(np.arange(s, e), n[s:e])
         within = np.arange(len(m)) - np.repeat(np.cumsum(n[s:e]) - n[s:e], n[s:e])
         new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (m[1:] != m[:-1])]))

@@ -1,9 +1,10 @@
 """Suffix-array deduplication of byte windows with a logarithmic family of indexes per shard.
 
 A shard's distinct segments (see repeats) come in batches, by ascending doc_id. Each batch gets a suffix array of its
-window starts, compared to the window's length; it is merge-scanned against every level that stands already, for matches
-of a whole window, and becomes a level itself. Two levels of equal size merge into one of twice the size, so a shard of n
-batches holds at most log2(n) levels and each suffix is merged that often.
+window starts, compared to the window's length, with the prefixes that neighbours share. It is scanned in order against
+every level that stands already: the longest match of a suffix is with one of its neighbours there, and a match of a whole
+window reports the level's smallest doc_id. The batch becomes a level itself. Two levels of equal size merge in one pass
+into one of twice the size, so a shard of n batches holds at most log2(n) levels and each suffix is merged that often.
 """
 
 from __future__ import annotations
@@ -27,27 +28,77 @@ BLOCK, BATCH = 1 << 20, 1 << 16
 
 @dataclass
 class Level:
-    """A sorted suffix array as its keys, one for each distinct window, the smallest doc_id of each, and the batches in it."""
+    """A suffix array: the places of a text at which windows begin, in the order of the window's bytes, each distinct window
+    once; the windows themselves in that order; how many first bytes each shares with the one before it; the smallest doc_id
+    that has each; and the batches in it."""
 
+    order: np.ndarray
     keys: np.ndarray
+    shared: np.ndarray
     low: np.ndarray
     batches: int
 
 
-def _sorted_level(keys: np.ndarray, low: np.ndarray, batches: int, kind: str = "quicksort") -> Level:
-    order = np.argsort(keys, kind=kind)
-    keys, low = keys[order], low[order]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return Level(keys[begin], np.minimum.reduceat(low, begin), batches)
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first bytes windows a and b share, pair by pair."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    width = a.dtype.itemsize
+    unlike = np.ascontiguousarray(a).view(np.uint8).reshape(-1, width) != np.ascontiguousarray(b).view(np.uint8).reshape(-1, width)
+    return np.where(unlike.any(1), unlike.argmax(1), width)
 
 
-def _lookup(level: Level, keys: np.ndarray) -> np.ndarray:
-    """The level's smallest doc_id for each of the sorted keys, or the largest integer where it has none."""
-    at = np.minimum(np.searchsorted(level.keys, keys), len(level.keys) - 1)
-    return np.where(level.keys[at] == keys, level.low[at], np.iinfo(np.int64).max)
+def _level(order: np.ndarray, keys: np.ndarray, low: np.ndarray, batches: int) -> Level:
+    """Of places in the order of their windows, one for each distinct window."""
+    shared = np.concatenate([[0], _common(keys[1:], keys[:-1])])
+    begin = np.flatnonzero(np.concatenate([[True], shared[1:] < keys.dtype.itemsize]))
+    return Level(order[begin], keys[begin], shared[begin], np.minimum.reduceat(low, begin), batches)
 
 
-def smallest_documents(text: np.ndarray, size: np.ndarray, n: np.ndarray, low: np.ndarray, window: int = WINDOW, batch: int = BATCH) -> np.ndarray:
+def _suffix_array(place: np.ndarray, keys: np.ndarray, low: np.ndarray) -> Level:
+    order = np.argsort(keys)
+    return _level(place[order], keys[order], low[order], 1)
+
+
+def _merged(a: Level, b: Level) -> Level:
+    """Two levels as one; a stable sort of two sorted runs is one pass over both."""
+    keys = np.concatenate([a.keys, b.keys])
+    order = np.argsort(keys, kind="stable")
+    return _level(np.concatenate([a.order, b.order])[order], keys[order], np.concatenate([a.low, b.low])[order], a.batches + b.batches)
+
+
+def _scanned(level: Level, new: Level) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of new, whose windows are taken in order: (the longest match with a window of the level, which is one of
+    its two neighbours there; the level's smallest doc_id where the match is whole, else the largest integer)."""
+    at = np.searchsorted(level.keys, new.keys)
+    after = np.minimum(at, len(level.keys) - 1)
+    length = _common(new.keys, level.keys[after])
+    width = new.keys.dtype.itemsize
+    part = np.flatnonzero(length < width)
+    length[part] = np.maximum(length[part], _common(new.keys[part], level.keys[np.maximum(at[part] - 1, 0)]))
+    return length, np.where(length == width, level.low[after], np.iinfo(np.int64).max)
+
+
+class Family:
+    """Levels of growing size over batches of segments, which come by ascending doc_id."""
+
+    def __init__(self):
+        self.levels: list[Level] = []
+
+    def add(self, new: Level) -> np.ndarray:
+        """The smallest doc_id of each window of a new batch, by the batch itself and all levels; the batch becomes a level."""
+        best = new.low.copy()
+        for level in self.levels:
+            _, low = _scanned(level, new)
+            np.minimum(best, low, out=best)
+        self.levels.append(new)
+        while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(_merged(a, b))
+        return best
+
+
+def smallest_documents(text: np.ndarray, size: np.ndarray, n: np.ndarray, low: np.ndarray, anchor: np.ndarray | None = None, window: int = WINDOW, batch: int = BATCH) -> np.ndarray:
     """For each window of each segment, in order: the smallest ``low`` of a segment that holds the same window.
     text: the segments' bytes end to end; size, n, low: of each segment its bytes, windows and smallest doc_id."""
     at = np.cumsum(size) - size
@@ -55,28 +106,20 @@ def smallest_documents(text: np.ndarray, size: np.ndarray, n: np.ndarray, low: n
     total = int(n.sum())
     start = np.repeat(at - place, n) + np.arange(total)
     # a window as one value of fixed width; all are equally long, so the zeros that numpy pads with change no comparison
-    padded = np.ascontiguousarray(text)
-    keys = np.lib.stride_tricks.as_strided(padded, (max(0, len(text) - window + 1), window), (1, 1))
+    windows = np.lib.stride_tricks.as_strided(np.ascontiguousarray(text), (max(0, len(text) - window + 1), window), (1, 1))
     owner = np.repeat(np.arange(len(n)), n)
-    order = np.argsort(low, kind="stable")
-    reach = np.cumsum(n[order])
+    by_document = np.argsort(low, kind="stable")
+    reach = np.cumsum(n[by_document])
     out = np.full(total, np.iinfo(np.int64).max)
-    levels: list[Level] = []
+    family = Family()
     s = 0
-    while s < len(order):
-        e = max(s + 1, int(np.searchsorted(reach, reach[s] - n[order[s]] + batch, "right")))
-        pick = order[s:e]
+    while s < len(by_document):
+        e = max(s + 1, int(np.searchsorted(reach, reach[s] - n[by_document[s]] + batch, "right")))
+        pick = by_document[s:e]
         mine = repeats._gathered(np.arange(total), place[pick], n[pick])
-        own = np.ascontiguousarray(keys[start[mine]]).view(f"S{window}").ravel()
-        new = _sorted_level(own, low[owner[mine]], 1)
-        best = new.low.copy()
-        for level in levels:
-            np.minimum(best, _lookup(level, new.keys), out=best)
-        out[mine] = best[np.searchsorted(new.keys, own)]
-        levels.append(new)
-        while len(levels) > 1 and levels[-1].batches == levels[-2].batches:
-            b, a = levels.pop(), levels.pop()
-            levels.append(_sorted_level(np.concatenate([a.keys, b.keys]), np.concatenate([a.low, b.low]), a.batches + b.batches, "stable"))
+        own = np.ascontiguousarray(windows[start[mine]]).view(f"S{window}").ravel()
+        new = _suffix_array(start[mine], own, low[owner[mine]])
+        out[mine] = family.add(new)[np.searchsorted(new.keys, own)]
         s = e
     return out
 
@@ -111,8 +154,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block:
     other; equal rows get equal results.
     """
 
-    def index(text, size, n, low):
-        return smallest_documents(text, size, n, low, window, batch)
+    def index(text, size, n, low, anchor):
+        return smallest_documents(text, size, n, low, anchor, window, batch)
 
     found = repeats.removed_ranges(docs, repeats.byte_units, np.uint8, index, window, gram, block, "bytes")
     out = found.mapInArrow(lambda it: _finished(it, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

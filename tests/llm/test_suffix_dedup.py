@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from millrace.llm.suffix_dedup import dedup_bytes, smallest_documents
+from millrace.llm.suffix_dedup import Family, _scanned, _suffix_array, dedup_bytes, smallest_documents
 
 
 def brute(rows, window=50):
@@ -59,7 +59,7 @@ def test_levels_find_the_smallest():
         size = r.integers(6, 40, 19)
         text = r.integers(0, 2, size.sum()).astype(np.uint8)
         low = r.permutation(19)
-        got = smallest_documents(text, size, size - 5, low, 6, 20)
+        got = smallest_documents(text, size, size - 5, low, None, 6, 20)
         parts = np.split(text, np.cumsum(size)[:-1])
         windows = [(p[i : i + 6].tobytes(), x) for p, x in zip(parts, low) for i in range(len(p) - 5)]
         best = {}
@@ -74,3 +74,20 @@ def test_small_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op4_suffix_dedup(spark, d).collect())) == sorted(r[:5] for r in brute(rows))
+
+
+def test_scan_gives_longest_matches_and_levels_merge():
+    r = np.random.default_rng(4)
+    rows = [np.frombuffer(r.integers(97, 99, 40, dtype=np.uint8).tobytes(), np.uint8) for _ in range(4)]
+    keys = [np.array([x[i : i + 6].tobytes() for i in range(35)], "S6") for x in rows]
+    levels = [_suffix_array(np.arange(35), k, np.full(35, d)) for d, k in enumerate(keys)]
+    length, low = _scanned(levels[0], levels[1])
+    common = lambda a, b: next((i for i in range(6) if a[i] != b[i]), 6)
+    for w, m, d in zip(levels[1].keys, length, low, strict=True):
+        assert m == max(common(w, v) for v in keys[0].tolist()) and (d == 0) == (m == 6)
+    family = Family()
+    for level in levels:
+        family.add(level)
+    one, = family.levels
+    assert one.batches == 4 and one.keys.tolist() == sorted({x for k in keys for x in k.tolist()})
+    assert one.shared[1:].tolist() == [common(a, b) for a, b in zip(one.keys[1:].tolist(), one.keys[:-1].tolist(), strict=True)]
