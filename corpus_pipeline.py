@@ -8,33 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, ngram_jaccard, packing, pii, toxicity
-from millrace.llm.scratch import Scratch
+from millrace.llm.scratch import Scratch, unused
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the threshold."""
-    model = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents whose toxicity score stays under the threshold of their language (of none: toxicity.THRESHOLD).
+
+    A null or empty text is scored as no words, a long one whole; repeated rows stay or go together; an empty table gives
+    an empty one. All columns are kept as they are, whatever their names.
+    """
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    name = unused(docs, "score")
+    scored = toxicity.score(docs, model, tuple(docs.columns), name)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return scored.where(F.col(name) < toxicity.threshold_of(model, lang)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
+    """One document, that of the smallest doc_id, of each group of near copies.
+
+    Documents without words (a null, empty or blank text) are no copies and all stay; rows of equal doc_id and text are
+    one document, of which one row stays; a null doc_id stands before all others. Texts are compared whole; an empty table
+    gives an empty one. All columns are kept as they are, whatever their names.
+    """
     return ngram_jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    A null or empty text has no windows and stays; repeated rows stay or go together; texts are read whole; an empty
+    table gives an empty one. All columns are kept as they are, whatever their names.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by its kind."""
+    """All documents, their personal data replaced by its kind, and n_chars (where docs has it) set to the new length.
+
+    A null text stays null, an empty one empty; repeated rows give equal rows; texts are searched whole; an empty table
+    gives an empty one. All other columns are kept as they are, whatever their names.
+    """
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences."""
+    """The places of all documents' pieces in sequences.
+
+    A null or empty text is one piece of one token; a text over the length of a sequence is cut into pieces; repeated
+    rows are packed as often as they occur; an empty table gives no rows. Columns but doc_id and text are ignored.
+    """
     return packing.pack(docs)
 
 
