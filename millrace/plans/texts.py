@@ -1,11 +1,15 @@
 """Queries of text scalars and extractors."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions import text as X
 from millrace.functions.stem import stem
+from millrace.operators import measures as M
+from millrace.operators.measures import measurements_sql
 from millrace.registry import query, table
 
 
@@ -68,14 +72,41 @@ def references(spark, d):
     return x.join(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", "left").select("p_partkey", "raw", "n_name")
 
 
-@query("X13 X14 X15 F15", "WITH u(spelling, unit) AS (VALUES ('mm', 'mm'), ('millimetre', 'mm'), ('kg', 'kg'), ('kgs', 'kg')), x AS (SELECT p_partkey, unnest(regexp_extract_all('length ' || p_size || ' millimetre, mass ' || (p_size * 2) || ' kgs in 1998', '[0-9]+ [a-z]+')) AS raw FROM part) SELECT p_partkey, raw, split_part(raw, ' ', 1)::DOUBLE AS value, unit FROM x JOIN u ON spelling = split_part(raw, ' ', 2)")
+#: A note on each part, in eight forms, from its key and size.
+_NOTES = (
+    "Wear of the rail shall not exceed {s} mm as in Para {k} mm.",
+    "The gap is between 2 and {t} mm. Width {s} m/s is none!",
+    "Temperature {s} to {t} °C; depth of cushion minimum of {s} cm.",
+    "Speed up to {k} km/h since 1998 days. Every 2001 mm counts.",
+    "Load at least {s} tonnes, and cant ± {s} mm.\nFig {s} kg",
+    "Inspect once every {s} months. See Annexure {s} days",
+    "Diameter {s} kg/m, slope below {k} %, within {s} hrs",
+    "Thickness minimum {s}.5 mm, length 1,{u} metres or more",
+)
+_PARTS = {"s": "p_size", "t": "p_size + 10", "u": "p_size + 100", "k": "p_partkey"}
+
+
+def _note_sql() -> str:
+    def one(form: str) -> str:
+        out = "'" + form.replace("\n", "' || chr(10) || '") + "'"
+        for name, value in _PARTS.items():
+            out = out.replace("{" + name + "}", f"' || ({value}) || '")
+        return out
+
+    return "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {one(form)}" for i, form in enumerate(_NOTES)) + " END"
+
+
+@query("X13 X14 X15 X42 F14 F15", measurements_sql(f"(SELECT p_partkey, {_note_sql()} AS note FROM part)", "p_partkey", "note"))
 def measurements(spark, d):
-    """Numbers with a unit, in one spelling of the unit; a number without a known unit (a year) is none."""
-    u = spark.createDataFrame([("mm", "mm"), ("millimetre", "mm"), ("kg", "kg"), ("kgs", "kg")], "spelling string, unit string")
-    t = F.concat(F.lit("length "), "p_size", F.lit(" millimetre, mass "), F.col("p_size") * 2, F.lit(" kgs in 1998"))
-    x = table(spark, d, "part").select("p_partkey", F.explode(F.regexp_extract_all(t, F.lit("[0-9]+ [a-z]+"), F.lit(0))).alias("raw"))
-    x = x.withColumn("spelling", F.split_part("raw", F.lit(" "), F.lit(2)))
-    return x.join(F.broadcast(u), "spelling").select("p_partkey", "raw", F.split_part("raw", F.lit(" "), F.lit(1)).cast("double").alias("value"), "unit")
+    """Measurements in the notes on all parts."""
+    values = {name: F.expr(f"CAST({value} AS STRING)") for name, value in _PARTS.items()}
+
+    def one(form: str):
+        parts = re.split(r"[{](.)[}]", form)
+        return F.concat(*(F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(parts)))
+
+    note = F.element_at(F.array(*map(one, _NOTES)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return M.measurements(table(spark, d, "part").select("p_partkey", note.alias("note")), "p_partkey", "note")
 
 
 @query("X19 X39", "SELECT p_partkey, 'A part of size _____ by ' || p_brand AS front, substr(p_name, greatest(1, strpos(p_name, ' ') - 3), 7) AS around FROM part")
