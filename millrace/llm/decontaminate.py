@@ -21,7 +21,7 @@ from millrace.llm.scratch import Scratch
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text held by one task at a time; a larger benchmark is taken in several blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,16 +33,28 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class _Windows:
-    """Sorted hashes of distinct windows of one length, the items that hold each, and a bit table before the search."""
+    """Sorted hashes of distinct windows of one length, and the numbers of the items that hold each, end to end."""
 
     hashes: np.ndarray
-    items: list[np.ndarray]
+    begin: np.ndarray
+    items: np.ndarray
     bits: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.bits = _bits(self.hashes)
 
 
+def _windows(hashes: np.ndarray, items: np.ndarray) -> _Windows:
+    """Of (hash, item) pairs, repeated or not."""
+    order = np.lexsort((items, hashes))
+    hashes, items = hashes[order], items[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])
+    hashes, items = hashes[new], items[new]
+    begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return _Windows(hashes[begin], np.append(begin, len(hashes)), items)
+
+
 def _bits(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(1 << 20, bool)
     out[(hashes >> np.uint64(44)).astype(np.int64)] = True
@@ -64,24 +76,27 @@ def _winnowed(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 
 def _index(items: list[tuple[str, str]], window: int, gram: int) -> dict:
-    """Windows by length, and the fingerprints of those of full length. items: (item_id, text)."""
-    by_length: dict[int, dict[int, set[str]]] = {}
-    prints: set[int] = set()
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        hashes, _ = _tokens(data, np.array([0, len(data)]))
-        size = min(window, len(hashes))
-        if size:
-            for h in tb.gram_hashes(hashes, size).tolist():
-                by_length.setdefault(size, {}).setdefault(h, set()).add(item)
-            if size == window:
-                prints.update(_winnowed(hashes, window, gram).tolist())
-    out = {}
-    for size, found in by_length.items():
-        keys = np.array(sorted(found), np.uint64)
-        out[size] = _Windows(keys, [np.array(sorted(found[int(k)])) for k in keys])
-    prints_ = np.array(sorted(prints), np.uint64)
-    return {"windows": out, "prints": prints_, "bits": _bits(prints_)}
+    """Windows by length, the fingerprints of those of full length, and the ids of the items. items: (item_id, text). A window
+    costs some dozens of bytes here, so an index is a few times as large as its block of text."""
+    names, which = np.unique(np.array([i for i, _ in items], object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    prints = []
+    column = pa.array([t or "" for _, t in items], pa.string())
+    for a, b, data, offsets in tb.chunks(column):
+        hashes, first = _tokens(data, offsets)
+        count, own = np.diff(first), which[a:b].astype(np.int32)
+        for size in np.unique(np.minimum(count, window)).tolist():
+            if size:
+                grams = tb.gram_hashes(hashes, size)
+                at = np.flatnonzero(tb.inside_rows(len(grams), first, size))
+                row = np.searchsorted(first, at, "right") - 1
+                at, row = (x[np.minimum(count, window)[row] == size] for x in (at, row))
+                found.setdefault(size, []).append((grams[at], own[row]))
+                if size == window:
+                    prints.append(np.unique(_winnowed(hashes, window, gram)[at]))
+    windows = {size: _windows(*(np.concatenate(x) for x in zip(*parts, strict=True))) for size, parts in found.items()}
+    known = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
+    return {"windows": windows, "prints": known, "bits": _bits(known), "names": names}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index, window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -111,7 +126,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index, window: int, gram: int) -> I
                 which = np.searchsorted(known.hashes, grams[hit])
                 row = np.searchsorted(first, at[hit], "right") - 1
                 for r, w in set(zip(row.tolist(), which.tolist(), strict=True)):
-                    rows[r].update(known.items[w].tolist())
+                    rows[r].update(index["names"][known.items[known.begin[w] : known.begin[w + 1]]].tolist())
             hits = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
             edge = np.diff(np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]]))
             s, e = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
