@@ -42,7 +42,7 @@ def price_bands(spark, d):
     return joins.in_range(table(spark, d, "part"), bands, "p_retailprice", "low", "high", 500).select("p_partkey", "band")
 
 
-@query("J8 X7 X40", "WITH t AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, o_orderdate + INTERVAL 30 DAY AS b FROM orders) SELECT t.o_orderkey, count(*) AS later FROM t JOIN orders o ON o.o_custkey = t.o_custkey AND o.o_orderdate >= t.a AND o.o_orderdate < t.b GROUP BY t.o_orderkey")
+@query("J8 X7", "WITH t AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, o_orderdate + INTERVAL 30 DAY AS b FROM orders) SELECT t.o_orderkey, count(*) AS later FROM t JOIN orders o ON o.o_custkey = t.o_custkey AND o.o_orderdate >= t.a AND o.o_orderdate < t.b GROUP BY t.o_orderkey")
 def interval_containment(spark, d):
     o = table(spark, d, "orders")
     spans = o.select("o_orderkey", F.col("o_custkey").alias("who"), F.col("o_orderdate").alias("a"), F.expr("o_orderdate + INTERVAL 30 DAY").alias("b"))

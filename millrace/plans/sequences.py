@@ -109,7 +109,7 @@ def natural_order(spark, d):
     return S.numbered(table(spark, d, "part").select("p_partkey", parts.alias("parts")), ["parts", "p_partkey"], "place").select("p_partkey", "place")
 
 
-@query("T5 R13", "WITH x AS (SELECT n_regionkey, c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT n_regionkey, c_custkey FROM x WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC, c_custkey) <= 8")
+@query("T5", "WITH x AS (SELECT n_regionkey, c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT n_regionkey, c_custkey FROM x WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC, c_custkey) <= 8")
 def capped_per_group(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     x = table(spark, d, "customer").join(n, "c_nationkey")

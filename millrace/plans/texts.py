@@ -9,10 +9,32 @@ from pyspark.sql.types import StringType
 from millrace.functions import text as X
 from millrace.functions.stem import stem
 from millrace.operators import measures as M
+from millrace.operators import references as R
 from millrace.operators.measures import measurements_sql
+from millrace.operators.references import references_sql
 from millrace.registry import query, table
 
 
+_PARTS = {"s": "p_size", "t": "p_size + 10", "u": "p_size + 100", "k": "p_partkey", "n": "p_partkey % 25"}
+
+
+def _filled(forms):
+    """A text on each part: the form that its key names, with its values."""
+    values = {name: F.expr(f"CAST({value} AS STRING)") for name, value in _PARTS.items()}
+    one = lambda form: F.concat(*(F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(re.split(r"[{](.)[}]", form))))
+    return F.element_at(F.array(*map(one, forms)), (F.col("p_partkey") % len(forms) + 1).cast("int"))
+
+
+def _filled_sql(forms) -> str:
+    def one(form: str) -> str:
+        out = "'" + form.replace("\n", "' || chr(10) || '") + "'"
+        for name, value in _PARTS.items():
+            out = out.replace("{" + name + "}", f"' || ({value}) || '")
+        return out
+
+    return f"CASE p_partkey % {len(forms)} " + " ".join(f"WHEN {i} THEN {one(form)}" for i, form in enumerate(forms)) + " END"
+
+
 @query("X2 X35 X18", "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower('Width 1 in ' || p_size || ', load ' || p_size || '  KG – at ' || p_partkey || ' km/h  “max”'), '[–—]', '-', 'g'), '[“”]', '\"', 'g'), '\\s+', ' ', 'g')) AS before, length(p_name) AS n FROM part")
 def squashed_text(spark, d):
     t = F.concat(F.lit("Width 1 in "), "p_size", F.lit(", load "), "p_size", F.lit("  KG – at "), "p_partkey", F.lit(" km/h  “max”"))
@@ -64,12 +86,60 @@ def intents(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", intent.alias("intent"), F.col("text").rlike("[0-9]").cast("int").alias("numeric"))
 
 
-@query("X12 X11 J3 F22", "WITH x AS (SELECT p_partkey, unnest(regexp_extract_all('see Para ' || p_size || ' and Para ' || (p_size + 7) || ' of Annex ' || (p_partkey % 9), '(Para|Annex) [0-9]+')) AS raw FROM part) SELECT p_partkey, raw, n_name FROM x LEFT JOIN nation ON n_nationkey = regexp_extract(raw, '[0-9]+')::INTEGER AND starts_with(raw, 'Para')")
+#: How the note on a part refers to others, in six forms.
+_CITES = (
+    "See Paras {s}, {t} and 429 for wear.",
+    "as in Annexure {n} and Table 3.4",
+    "Clause {s}(2) of the Works Manual applies; Fig. 2.1 too",
+    "IRS T-12 and Para {s}.1 or {s} of Annexure {n}",
+    "Chapter {n}, Annexure - {n}. Annexures XII, sub-para No. {t}",
+    "nothing is referred to here, no matter the table",
+)
+_TARGETS_SQL = """targets AS (SELECT 'para' AS kind, n_nationkey::VARCHAR AS number, 'N' || n_nationkey AS target, n_regionkey AS target_page FROM nation WHERE n_nationkey % 7 <> 3
+ UNION ALL SELECT 'annexure', s_nationkey::VARCHAR, 'S' || s_suppkey, s_suppkey % 40 FROM supplier), deleted AS (SELECT 'para' AS kind, n_nationkey::VARCHAR AS number FROM nation WHERE n_nationkey % 7 = 3)"""
+
+
+def _cites(spark, d):
+    return table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("page"), _filled(_CITES).alias("note"))
+
+
+@query("X12 F22", f"WITH {references_sql(f'(SELECT p_partkey, {_filled_sql(_CITES)} AS note FROM part)', 'p_partkey', 'note')} SELECT * FROM refs")
 def references(spark, d):
-    t = F.concat(F.lit("see Para "), "p_size", F.lit(" and Para "), F.col("p_size") + 7, F.lit(" of Annex "), F.col("p_partkey") % 9)
-    x = table(spark, d, "part").select("p_partkey", F.explode(F.regexp_extract_all(t, F.lit("(?:Para|Annex) [0-9]+"), F.lit(0))).alias("raw"))
-    x = x.withColumn("n_nationkey", F.when(F.col("raw").startswith("Para"), F.regexp_extract("raw", "[0-9]+", 0).cast("int")))
-    return x.join(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", "left").select("p_partkey", "raw", "n_name")
+    """References in the notes on all parts; lists of numbers are taken apart."""
+    return R.references(_cites(spark, d), "p_partkey", "note")
+
+
+@query("X11 J3 J16 C10", f"""WITH {references_sql(f'(SELECT p_partkey, {_filled_sql(_CITES)} AS note FROM part)', 'p_partkey', 'note')}, {_TARGETS_SQL},
+own AS (SELECT DISTINCT p_partkey, place, kind, number, external FROM refs), b AS (SELECT o.*, target, abs(p_partkey % 40 - target_page) AS near FROM own o LEFT JOIN targets t ON t.kind = o.kind AND t.number = o.number AND NOT external),
+c AS (SELECT *, min(near) OVER (PARTITION BY p_partkey, place, kind, number, external) AS best FROM b),
+g AS (SELECT p_partkey, place, kind, number, external, count(target) FILTER (near = best) AS n, min(target) FILTER (near = best) AS target FROM c GROUP BY ALL)
+SELECT p_partkey, place, g.kind, g.number, CASE WHEN external THEN 'EXTERNAL' WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN d.number IS NOT NULL THEN 'DELETED' ELSE 'NOT_FOUND' END AS status, CASE WHEN n = 1 THEN target END AS target FROM g LEFT JOIN deleted d ON d.kind = g.kind AND d.number = g.number""")
+def resolved_references(spark, d):
+    """What each reference points to: five states, the nearest page deciding between several targets."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    number = F.col("n_nationkey").cast("string").alias("number")
+    paras = n.where("n_nationkey % 7 <> 3").select(F.lit("para").alias("kind"), number, F.concat(F.lit("N"), "n_nationkey").alias("target"), F.col("n_regionkey").cast("long").alias("target_page"))
+    annexes = s.select(F.lit("annexure").alias("kind"), F.col("s_nationkey").cast("string").alias("number"), F.concat(F.lit("S"), "s_suppkey").alias("target"), (F.col("s_suppkey") % 40).alias("target_page"))
+    deleted = n.where("n_nationkey % 7 = 3").select(F.lit("para").alias("kind"), number)
+    cites = _cites(spark, d)
+    refs = R.references(cites, "p_partkey", "note").join(cites.select("p_partkey", "page"), "p_partkey")
+    return R.resolved(refs, paras.unionByName(annexes), deleted, ["p_partkey", "place"])
+
+
+@query("X31", "SELECT p_partkey, array_to_string(list_distinct(list_transform(regexp_extract_all('Rail (ACS - ' || p_size || '), sleeper (ACS-' || (p_size + 1) || ') and (acs – ' || p_size || '), ACS 9', '(?i)\\(ACS\\s*[-–]\\s*([0-9]+)\\)', 1), lambda n: 'ACS ' || n)).list_sort(), '|') AS marks FROM part")
+def amendment_marks(spark, d):
+    """The numbers of the correction slips that a text is marked with, each once."""
+    s = F.col("p_size")
+    t = F.concat(F.lit("Rail (ACS - "), s, F.lit("), sleeper (ACS-"), s + 1, F.lit(") and (acs – "), s, F.lit("), ACS 9"))
+    marks = F.transform(F.regexp_extract_all(t, F.lit(r"(?i)\(ACS\s*[-–]\s*([0-9]+)\)"), F.lit(1)), lambda n: F.concat(F.lit("ACS "), n))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(marks)), "|").alias("marks"))
+
+
+@query("X40 W20", "WITH x AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS ns FROM documents), y AS (SELECT doc_id, unnest(ns) AS raw, unnest(range(len(ns)))::INTEGER AS place FROM x) SELECT doc_id, place, raw, row_number() OVER (PARTITION BY doc_id, raw ORDER BY place) AS occurrence FROM y")
+def occurrence_numbers(spark, d):
+    """Of each number in a document, how many equal ones stand up to it."""
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("place", "raw"))
+    return x.withColumn("occurrence", F.row_number().over(Window.partitionBy("doc_id", "raw").orderBy("place")).cast("long"))
 
 
 #: A note on each part, in eight forms, from its key and size.
@@ -83,30 +153,10 @@ _NOTES = (
     "Diameter {s} kg/m, slope below {k} %, within {s} hrs",
     "Thickness minimum {s}.5 mm, length 1,{u} metres or more",
 )
-_PARTS = {"s": "p_size", "t": "p_size + 10", "u": "p_size + 100", "k": "p_partkey"}
-
-
-def _note_sql() -> str:
-    def one(form: str) -> str:
-        out = "'" + form.replace("\n", "' || chr(10) || '") + "'"
-        for name, value in _PARTS.items():
-            out = out.replace("{" + name + "}", f"' || ({value}) || '")
-        return out
-
-    return "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {one(form)}" for i, form in enumerate(_NOTES)) + " END"
-
-
-@query("X13 X14 X15 X42 F14 F15", measurements_sql(f"(SELECT p_partkey, {_note_sql()} AS note FROM part)", "p_partkey", "note"))
+@query("X13 X14 X15 X42 F14 F15", measurements_sql(f"(SELECT p_partkey, {_filled_sql(_NOTES)} AS note FROM part)", "p_partkey", "note"))
 def measurements(spark, d):
     """Measurements in the notes on all parts."""
-    values = {name: F.expr(f"CAST({value} AS STRING)") for name, value in _PARTS.items()}
-
-    def one(form: str):
-        parts = re.split(r"[{](.)[}]", form)
-        return F.concat(*(F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(parts)))
-
-    note = F.element_at(F.array(*map(one, _NOTES)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return M.measurements(table(spark, d, "part").select("p_partkey", note.alias("note")), "p_partkey", "note")
+    return M.measurements(table(spark, d, "part").select("p_partkey", _filled(_NOTES).alias("note")), "p_partkey", "note")
 
 
 @query("X19 X39", "SELECT p_partkey, 'A part of size _____ by ' || p_brand AS front, substr(p_name, greatest(1, strpos(p_name, ' ') - 3), 7) AS around FROM part")
@@ -147,7 +197,7 @@ def labelled_block(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.trim(F.when(a > 0, F.substring("text", F.lit(1), a)).otherwise(F.col("text"))).alias("first_block"), (a > 0).alias("found"))
 
 
-@query("X26 X31", "SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(p_name || ' ' || p_type, '[a-z]{4,}'))), ',') AS facts FROM part")
+@query("X26", "SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(p_name || ' ' || p_type, '[a-z]{4,}'))), ',') AS facts FROM part")
 def part_facts(spark, d):
     t = F.regexp_extract_all(F.concat_ws(" ", "p_name", "p_type"), F.lit("[a-z]{4,}"), F.lit(0))
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(t)), ",").alias("facts"))
