@@ -67,3 +67,43 @@ def test_small_table_and_clean_documents(spark):
         assert [tuple(x) for x in r.base_spans] == base(texts[r.doc_id])
         added += len(r.all_spans) - len(r.base_spans)
     assert added <= 5
+
+
+def planted(seed=11):
+    """(kind, spelling, words before it): personal data as people write it to be read, not matched."""
+    r = random.Random(seed)
+    name = lambda: r.choice(["maria", "john", "li", "ngozi", "sven", "priya"]) + r.choice([".", "_", ""]) + r.choice(["smith", "okafor", "berg", "rossi"])
+    host = lambda: r.choice(["mail", "uni-bonn", "example", "acme"])
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+
+    def card(sep):
+        body = r.choice("45") + d(14)
+        full = next(body + c for c in "0123456789" if pii._luhn_py(body + c))
+        return sep.join(full[i : i + 4] for i in (0, 4, 8, 12))
+
+    out = []
+    for _ in range(30):
+        at, dot = r.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" at ", " dot ")])
+        out.append(("email", f"{name()}{at}{host()}{dot}{r.choice(['org', 'com', 'de'])}", r.choice(["you can reach me under", "write to", "contact"])))
+        octets = [str(r.randint(1, 254)) for _ in range(4)]
+        out.append(("ip", r.choice(["[.]", " . ", "[dot]"]).join(octets), r.choice(["the server", "from", "host"])))
+        out.append(("card", card(r.choice([".", "  ", "-"])), r.choice(["charged to card number", "my visa", "paid with"])))
+        out.append(("phone", r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]), r.choice(["call", "phone", "my mobile is", "tel."])))
+    return out
+
+
+def test_planted_data_in_real_documents_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(120).collect()
+    r = random.Random(5)
+    rows, where = [], {}
+    for doc, (kind, said, before) in zip(docs, planted(), strict=True):
+        words = (doc.text or "").split(" ")
+        k = r.randint(0, len(words))
+        head = " ".join([*words[:k], before]) + " "
+        rows.append((doc.doc_id, head + said + ", " + " ".join(words[k:])))
+        where[doc.doc_id] = (pii.KINDS.index(kind), len(head), len(head) + len(said))
+    hits = dict.fromkeys(range(4), 0)
+    for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        k, s, e = where[x.doc_id]
+        hits[k] += any(y.k == k and y.s <= s and y.e >= e for y in x.all_spans)
+    assert all(n >= 0.9 * 30 for n in hits.values()), {pii.KINDS[k]: n / 30 for k, n in hits.items()}
