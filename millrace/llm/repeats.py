@@ -18,6 +18,7 @@ settled in the shard that its hash names:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,24 @@ SEGMENT = np.dtype([("anchor", "<u8"), ("seg", "<u8"), ("low", "<i8"), ("high",
 _SPREAD = 1_000_003
 #: Entries that a map task gathers before it sends them.
 FLUSH = 1 << 19
+#: Bytes of text for each shard and each block of documents; a task takes its shards one after another.
+SHARD_BYTES = 32 << 20
+#: Bits of an anchor's hash below those that name its shard.
+_BELOW = 24
+
+
+def each(batches: Iterator[pa.RecordBatch], key: str, run: Callable) -> Iterator:
+    """What run gives for the batches of each value of key; rows come sorted by it."""
+
+    def slices() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(key)).to_numpy()
+            edges = np.append(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])), len(values)) if len(values) else []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                yield int(values[s]), batch.slice(s, e - s)
+
+    for _, part in groupby(slices(), key=lambda x: x[0]):
+        yield from run(x for _, x in part)
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +137,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, window: int, gr
         start = start.copy()
         start[flag] = -1
         if len(rest):
-            bucket = (anchor[rest] >> np.uint64(40)).astype(np.int64) % buckets
+            bucket = (anchor[rest] >> np.uint64(_BELOW)).astype(np.int64) % buckets
             yield _packed(bucket, anchor[rest], seg[rest], doc[rest], th[rest], start[rest], count[rest])
         held.clear()
 
@@ -256,7 +275,7 @@ def _segments(batches: Iterator[pa.RecordBatch], units: Callable, window: int, b
         head = order[begin]
         one["anchor"], one["seg"], one["n"] = anchor[head], seg[head], n[head]
         one["low"], one["high"] = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
-        bucket = (one["anchor"] >> np.uint64(40)).astype(np.int64) % buckets
+        bucket = (one["anchor"] >> np.uint64(_BELOW)).astype(np.int64) % buckets
         sort = np.argsort(bucket, kind="stable")
         one, head, bucket = one[sort], head[sort], bucket[sort]
         edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
@@ -316,33 +335,40 @@ def removed_ranges(docs: DataFrame, units: Callable, dtype, index: Callable, win
     """Every row of docs with the ranges of its units under windows that also start in a document of a smaller doc_id, laid
     out for with_ranges: blocks of documents, ranges before texts."""
     scratch = Scratch(docs.sparkSession, name)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 4 * buckets
     rows = keyed(docs)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    blocks = buckets
     entries = rows.mapInArrow(lambda it: _anchors(it, units, window, gram, buckets), ANCHORS)
-    runs = scratch.save(entries.repartition("bucket").mapInArrow(lambda it: _repeated(it, blocks), BY_DOCUMENT), "runs")
+    dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
+    runs = scratch.save(dealt.mapInArrow(lambda it: each(it, "bucket", lambda x: _repeated(x, blocks)), BY_DOCUMENT), "runs")
     packed = runs.where("kind = 0")
     own = F.pmod(F.pmod("doc_id", F.lit(_SPREAD)), F.lit(blocks)).cast("int").alias("block")
     texts = rows.select(F.lit(2).alias("kind"), own, "doc_id", "th", "text")
     both = packed.unionByName(texts, allowMissingColumns=True).select("kind", "block", "doc_id", "th", "text", "docs", "ths", "runs")
-    dealt = both.repartition("block").sortWithinPartitions("kind")
-    found = scratch.save(dealt.mapInArrow(lambda it: _segments(it, units, window, buckets), SEGMENTS), "segments")
-    shards = found.where("kind = 0").select("bucket", "segments", "contents").repartition("bucket")
-    answers = scratch.save(shards.mapInArrow(lambda it: _answers(it, index, dtype, window, block), "seg long, off int, cnt int, low long"), "answers")
+    dealt = both.repartition("block").sortWithinPartitions("block", "kind")
+    found = scratch.save(dealt.mapInArrow(lambda it: each(it, "block", lambda x: _segments(x, units, window, buckets)), SEGMENTS), "segments")
+    shards = found.where("kind = 0").select("bucket", "segments", "contents").repartition("bucket").sortWithinPartitions("bucket")
+    answered = shards.mapInArrow(lambda it: each(it, "bucket", lambda x: _answers(x, index, dtype, window, block)), "seg long, off int, cnt int, low long")
+    answers = scratch.save(answered, "answers")
     uses = found.where("kind = 1").select("seg", "th", "doc_id", "start")
     hit = uses.join(answers, "seg").where("low < doc_id")
     ranges = hit.select(F.lit(0).alias("kind"), own, "doc_id", "th", (F.col("start") + F.col("off")).alias("start"), (F.col("cnt") + (window - 1)).alias("size"))
     ranges = scratch.save(ranges, "ranges")
-    scratch.drop("segments")
+    scratch.drop_others("runs", "ranges")
     settled = runs.where("kind = 1").select(F.lit(1).alias("kind"), "block", "docs", "ths", "runs")
     both = ranges.unionByName(settled, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
     both = both.select("kind", "block", "doc_id", "th", "text", "start", "size", "docs", "ths", "runs")
-    return both.repartition("block").sortWithinPartitions("kind")
+    return both.repartition("block").sortWithinPartitions("block", "kind")
 
 
 def with_ranges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.Array, pa.Array, Callable]]:
     """The rows of removed_ranges as (doc_id, text, marks) of some documents at a time, where marks(a, b, first) says which
     units of rows a to b, beginning at first, are removed."""
+    return each(batches, "block", lambda x: _with_ranges(x, window))
+
+
+def _with_ranges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.Array, pa.Array, Callable]]:
     known: list[tuple] = []
     ready = None
     for batch in batches:
