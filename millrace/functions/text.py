@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning for a search; a parameter of every function that uses them.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+# Words that carry no meaning for a search; a parameter of every function that uses them.
+STOP_WORDS = tuple(
+    "a an the of in on at for to is are was were be been being by with and or how what which who whom whose "
+    "when where why does do did can could should shall must may might will would from that this these those it its as any all "
+    "into between during after before over under than then there their they them he she his her we our you your i me my not no "
+    "if but so such out also about tell give show list explain describe please mention state per via".split()
+)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -52,7 +57,7 @@ def sentences(text: Column) -> Column:
 
 def unhtml(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags gone, white space squeezed."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " "))
 
 

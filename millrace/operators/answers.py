@@ -30,9 +30,9 @@ def preferred(candidates: DataFrame, rules: list[Column], order: list[Column], b
 
 
 def located(pairs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(item_id, doc_id, start, ratio): where a text stands in another, word by word. The first three words anchor a window of
-    the item's length; the anchor of the best ratio wins if it reaches ``least``, else only the anchor counts (ratio null).
-    pairs: item_id, doc_id, item, body."""
+    """(item_id, doc_id, start, ratio): where a text stands in another, word by word. Its first six words anchor a window of
+    the item's length; where they stand nowhere, its first three do, then its first one. The anchor of the best ratio wins;
+    under ``least`` only its place counts (ratio null); without an anchor start is -1. pairs: item_id, doc_id, item, body."""
 
     def place(item: str, body: str) -> tuple[int, float | None]:
         a = re.findall(r"\w+", (item or "").lower())

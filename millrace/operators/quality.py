@@ -16,6 +16,11 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate key").alias("rule"), F.col(key).alias("key"))
 
 
+def repeated(df: DataFrame, by: list[str], key: str, rule: str) -> DataFrame:
+    """The smallest key of each group of several rows that agree in ``by``."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(key).alias("key")).where("n > 1").select(F.lit(rule).alias("rule"), "key")
+
+
 def dangling(df: DataFrame, key: str, reference: str, target: DataFrame, target_key: str) -> DataFrame:
     """Rows whose reference is in no row of target; a null reference dangles too."""
     missing = df.join(target.select(F.col(target_key).alias(reference)), reference, "left_anti")

@@ -74,29 +74,34 @@ def longest_increasing(df: DataFrame, by: str, order: str, value: str) -> DataFr
 
 
 def passages(docs: DataFrame, soft: int = 700, hard: int = 1100, tail: int = 200) -> DataFrame:
-    """(doc_id, k, text): lines packed greedily; a passage closes at ``soft`` characters or before it would exceed ``hard``;
-    longer lines are cut at ``hard``; a last passage under ``tail`` joins the one before. An empty or null text is one empty
-    passage."""
+    """(doc_id, k, text): lines that are not blank, packed greedily. A passage closes before the next line once it has ``soft``
+    characters, or would have over ``hard``; one of over twice ``hard`` (a single long line) is cut at ``hard``; a last one
+    under ``tail`` joins the one before. A text without such lines is one passage, itself; a null text an empty one."""
 
     def pack(text: str) -> list[str]:
-        out: list[str] = []
-        now = ""
+        done: list[str] = []
+        now: list[str] = []
+        size = 0  # characters of now, joined
         for line in (text or "").split("\n"):
-            for piece in (line[i : i + hard] for i in range(0, max(1, len(line)), hard)):
-                if now and len(now) + 1 + len(piece) > hard:
-                    out.append(now)
-                    now = piece
-                else:
-                    now = f"{now}\n{piece}" if now else piece
-                if len(now) >= soft:
-                    out.append(now)
-                    now = ""
+            if not line.strip():
+                continue
+            if now and (size >= soft or size + len(line) > hard):
+                done.append("\n".join(now))
+                now, size = [], 0
+            now.append(line)
+            size += len(line) + (len(now) > 1)
+            if size > 2 * hard:
+                whole = "\n".join(now)
+                cuts = -(-(size - 2 * hard) // hard)
+                done += [whole[k * hard : (k + 1) * hard] for k in range(cuts)]
+                now, size = [whole[cuts * hard :]], size - cuts * hard
         if now:
-            if out and len(now) < tail:
-                out[-1] += "\n" + now
+            last = "\n".join(now)
+            if done and size < tail:
+                done[-1] += "\n" + last
             else:
-                out.append(now)
-        return out or [""]
+                done.append(last)
+        return done or [text or ""]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

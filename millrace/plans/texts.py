@@ -41,7 +41,7 @@ def squashed_text(spark, d):
     return table(spark, d, "part").select("p_partkey", F.trim(F.regexp_replace(F.translate(F.lower(t), "–—“”", '--""'), r"\s+", " ")).alias("before"), F.length("p_name").alias("n"))
 
 
-@query("X2")
+@query("X2", "SELECT p_partkey, '1in' || p_size || ' or 1in' || p_size || ' at 60kg and ' || p_partkey || 'kmph' AS text FROM part")
 def normalized_units(spark, d):
     """One spelling for ratios, weights and speeds: 1 in 12 and 1:12 become 1in12, 60 kg becomes 60kg, km/h becomes kmph."""
     t = F.concat(F.lit("1 in "), "p_size", F.lit(" or 1:"), "p_size", F.lit(" at 60 kg and "), "p_partkey", F.lit(" km/h"))
@@ -186,7 +186,7 @@ def menu_cells(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(cells).alias("n"), F.array_join(F.transform(cells, lambda c: F.regexp_replace(c, "<[^>]*>", "")), "|").alias("menu"))
 
 
-@query("S4 X23")
+@query("S4", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.unhtml(F.col("html")).alias("text"))
 

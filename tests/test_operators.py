@@ -2,7 +2,7 @@ import random
 from collections import deque
 
 from millrace.functions.stem import stem
-from millrace.operators import graph, joins
+from millrace.operators import answers, graph, joins
 from millrace.operators import sequences as S
 
 
@@ -81,16 +81,60 @@ def test_longest_increasing(spark):
     assert [r.v for r in S.longest_increasing(df, "k", "i", "v").orderBy("i").collect()] == [1, 2, 4, 5]
 
 
-def test_passages_lose_nothing(spark):
+def plain_passages(text, soft=700, hard=1100, tail=200):
+    out, now = [], None
+    for line in text.split("\n"):
+        if line.strip() == "":
+            continue
+        if now is not None and (len(now) >= soft or len(now) + len(line) > hard):
+            out.append(now)
+            now = None
+        now = line if now is None else now + "\n" + line
+        while len(now) > 2 * hard:
+            out.append(now[:hard])
+            now = now[hard:]
+    if now is not None and out and len(now) < tail:
+        out[-1] += "\n" + now
+    elif now is not None:
+        out.append(now)
+    return out or [text]
+
+
+def test_passages_match_a_plain_loop(spark):
     r = random.Random(2)
-    text = "\n".join("x" * r.choice([0, 3, 50, 400, 1500, 2500]) for _ in range(40))
-    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "short")], "doc_id long, text string")
-    rows = S.passages(df).collect()
-    one = [x.text for x in sorted(rows, key=lambda x: x.k) if x.doc_id == 1]
-    assert "".join(one).replace("\n", "") == text.replace("\n", "")
-    assert all(len(t) <= 1100 + 200 + 1 for t in one)
-    assert [x.text for x in rows if x.doc_id == 4] == ["short"]
-    assert [(x.doc_id, x.k, x.text) for x in rows if x.doc_id in (2, 3)] == [(2, 0, ""), (3, 0, "")]
+    texts = ["\n".join(r.choice("xyz") * r.choice([0, 3, 50, 400, 1500, 2500, 7000]) for _ in range(r.randint(0, 12))) for _ in range(60)] + ["", "short", "\n \n"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "doc_id long, text string")
+    got = {}
+    for x in sorted(S.passages(df).collect(), key=lambda x: x.k):
+        got.setdefault(x.doc_id, []).append(x.text)
+    assert got == {k: plain_passages(t) for k, t in enumerate(texts)} | {-1: [""]}
+
+
+def test_clusters_match_a_plain_loop(spark):
+    r = random.Random(3)
+    rows = [(k % 5, float(r.randrange(60))) for k in range(200)]
+    got = sorted((x.g, x.v, x.cluster) for x in answers.clusters(spark.createDataFrame(rows, "g long, v double"), "g", "v", 3.0).collect())
+    want = []
+    for g in range(5):
+        anchors = []
+        for v in sorted(v for h, v in rows if h == g):
+            if not anchors or v - anchors[-1] > 3:
+                anchors.append(v)
+            want.append((g, v, len(anchors)))
+    assert got == sorted(want)
+
+
+def test_dialogue_carries_the_focus(spark):
+    turns = [(1, 0, "user", "What is the gap limit here?"), (1, 1, "assistant", "Six."), (1, 2, "user", "and for curves then"), (1, 3, "user", "why"), (1, 4, "user", "Tell me about welds now"), (2, 0, "user", "hi"), (3, 0, "assistant", "x")]
+    got = sorted((x.conv_id, x.turn, x.query, x.joined) for x in answers.dialogue(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect())
+    assert got == [(1, 0, "What is the gap limit here?", False), (1, 2, "What is the gap limit here? and for curves then", True), (1, 3, "What is the gap limit here? why", True), (1, 4, "Tell me about welds now", False), (2, 0, "hi", False)]
+
+
+def test_located_words(spark):
+    item = "one two three four five six seven eight nine ten"
+    pairs = [(1, 1, item, "zero " + item), (1, 2, item, "one two. " + item.replace("nine", "9th")), (1, 3, item, "nothing"), (1, 4, item, "say one only"), (1, 5, "", item)]
+    got = {x.doc_id: (x.start, x.ratio) for x in answers.located(spark.createDataFrame(pairs, "item_id long, doc_id long, item string, body string")).collect()}
+    assert got == {1: (5, 1.0), 2: (9, 0.9), 3: (-1, None), 4: (4, None), 5: (-1, None)}
 
 
 def test_row_clusters_reads_every_order(spark):
