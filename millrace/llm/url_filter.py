@@ -3,6 +3,10 @@
 Trust is a personalised PageRank from the hosts that allow rules fit, along the links between hosts; distrust is the
 same from the hosts that block rules fit, against the direction of links (a host that links to bad ones is bad). A host
 is blocked when its distrust exceeds its trust by a factor. Links are gathered to host edges before anything iterates.
+
+The rank that a host without links holds is dropped, not handed back to the seeds; as trust and distrust are compared on
+the same footing, this changes no verdict's sign by itself. After ``STEPS`` steps at most DAMPING ** STEPS (a fifth) of a
+seed's rank could still move on, and only to hosts over ten links away.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import stats
-from millrace.operators import search
+from millrace.operators import joins, search
 from millrace.plans.retrieval import _NORM, INDEX_SQL, gold
 from millrace.registry import query, table
 
@@ -102,7 +102,7 @@ def layered_ranking(spark, d):
     return table(spark, d, "part").select("p_partkey", score.alias("score"), tier.alias("tier"))
 
 
-@query("R27 R28", "WITH c AS (SELECT l_orderkey, l_partkey AS item, 0 AS kind, l_linenumber AS k FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey, l_suppkey, 1, l_linenumber FROM lineitem), u AS (SELECT l_orderkey, item, min(kind * 100 + k) AS p FROM c GROUP BY ALL) SELECT l_orderkey, item FROM u QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY p, item) <= 3")
+@query("R27", "WITH c AS (SELECT l_orderkey, l_partkey AS item, 0 AS kind, l_linenumber AS k FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey, l_suppkey, 1, l_linenumber FROM lineitem), u AS (SELECT l_orderkey, item, min(kind * 100 + k) AS p FROM c GROUP BY ALL) SELECT l_orderkey, item FROM u QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY p, item) <= 3")
 def follow_ups(spark, d):
     line = table(spark, d, "lineitem")
     c = line.where("l_linenumber <= 2").select("l_orderkey", F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("p")).unionByName(line.select("l_orderkey", F.col("l_suppkey").alias("item"), (F.col("l_linenumber") + 100).alias("p")))
@@ -149,3 +149,33 @@ def curated_match(spark, d):
     t = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
     s = t.join(F.broadcast(q), "word").groupBy("item_id", "intent").agg(F.sum("w").alias("score")).where("score >= 35")
     return s.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "intent"))).where("k = 1").drop("k")
+
+
+@query("R13", """WITH own AS (SELECT p_brand, count(*) AS parts, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1),
+kind AS (SELECT p_brand, p_type FROM part GROUP BY p_brand, p_type QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) = 1),
+m AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT a.p_brand AS brand, b.p_brand AS other, count(*) AS support FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.p_brand <> b.p_brand GROUP BY ALL HAVING count(*) >= 3),
+r AS (SELECT brand, string_agg(other || ':' || support, '|' ORDER BY support DESC, other) AS related FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY brand ORDER BY support DESC, other) <= 3) GROUP BY 1)
+SELECT p_brand, p_type AS kind, parts, low, high, related FROM own JOIN kind USING (p_brand) LEFT JOIN r ON brand = p_brand""")
+def concept_replies(spark, d):
+    """What can be said of each brand as a concept: its main kind, its parts and their limits, and what is most often with it."""
+    p = table(spark, d, "part")
+    own = p.groupBy("p_brand").agg(F.count("*").alias("parts"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+    kind = p.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("n"), "p_type")).getField("p_type").alias("kind"))
+    m = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(p.select("p_partkey", "p_brand"), "p_partkey").select("l_orderkey", F.col("p_brand").alias("brand")).distinct()
+    s = joins.pairs_within(m, ["l_orderkey"], "brand", []).groupBy("brand_a", "brand_b").agg(F.count("*").alias("support")).where("support >= 3")
+    s = s.select(F.inline(F.array(F.struct(F.col("brand_a").alias("brand"), F.col("brand_b").alias("other"), "support"), F.struct(F.col("brand_b").alias("brand"), F.col("brand_a").alias("other"), "support"))))
+    k = F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("support"), "other"))
+    top = s.withColumn("k", k).where("k <= 3").groupBy(F.col("brand").alias("p_brand")).agg(F.array_sort(F.collect_list(F.struct("k", "other", "support"))).alias("x"))
+    related = top.select("p_brand", F.array_join(F.transform("x", lambda v: F.concat(v.other, F.lit(":"), v.support.cast("string"))), "|").alias("related"))
+    return own.join(kind, "p_brand").join(related, "p_brand", "left").select("p_brand", "kind", "parts", "low", "high", "related")
+
+
+@query("R28", """WITH t AS (SELECT o_custkey, o_orderkey, count(*) AS n_rows, count(*) FILTER (l_returnflag = 'R') AS hits FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT o_custkey, o_orderkey, hits, n_rows FROM t WHERE hits >= 2 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY hits DESC, n_rows, o_orderkey) = 1""")
+def owned_table(spark, d):
+    """Of the tables that an owner has (the lines of a customer's orders), the one with most matching rows, two at least."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("l_returnflag") == "R").alias("hits"))
+    best = o.join(line.where("hits >= 2"), "o_orderkey").groupBy("o_custkey").agg(F.min(F.struct((-F.col("hits")).alias("h"), "n_rows", "o_orderkey")).alias("b"))
+    return best.select("o_custkey", F.col("b.o_orderkey").alias("o_orderkey"), (-F.col("b.h")).alias("hits"), F.col("b.n_rows").alias("n_rows"))

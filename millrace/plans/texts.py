@@ -126,6 +126,31 @@ def resolved_references(spark, d):
     return R.resolved(refs, paras.unionByName(annexes), deleted, ["p_partkey", "place"])
 
 
+#: Lines of a page on each part: heads with and without a title, items, years, captions.
+_PAGES = (
+    "{s}.1 Wear of rails\nA worn rail is replaced.\n{s}.2\nGauge of track\nIt is measured.",
+    "{s}.1. Sleepers\n(a) wooden\n2019 was wet\n{s}.2 Table of loads\n{s}.3 see above",
+    "Chapter {n}\n{t}\nBallast\n{t}.1 Depth",
+    "no heads here\n{k} parts",
+)
+_LINES_SQL = f"l AS (SELECT p_partkey, str_split({_filled_sql(_PAGES)}, chr(10)) AS ls FROM part), x AS (SELECT p_partkey, unnest(ls) AS line, unnest(range(len(ls)))::INTEGER AS place FROM l), n AS (SELECT *, lead(line) OVER (PARTITION BY p_partkey ORDER BY place) AS after FROM x)"
+_HEAD, _REJECT = r"^([0-9]{1,3}(?:[.][0-9]+)*)[.]?(?:\s+([A-Z].*))?$", r"(?i)^(?:table|fig|annexure|note)"
+
+
+@query("X24 X27", f"""WITH {_LINES_SQL}, h AS (SELECT p_partkey, place, regexp_extract(line, '{_HEAD}', 1) AS number, regexp_extract(line, '{_HEAD}', 2) AS own, after FROM n WHERE regexp_matches(line, '{_HEAD}')),
+t AS (SELECT p_partkey, place, number, CASE WHEN own <> '' THEN own WHEN regexp_matches(after, '^[A-Z]') THEN after END AS title, own = '' AS repaired FROM h)
+SELECT p_partkey, place, number, title, repaired, len(str_split(number, '.'))::INTEGER AS depth FROM t WHERE title IS NOT NULL AND NOT regexp_matches(title, '{_REJECT}')""")
+def clause_heads(spark, d):
+    """Numbered heads of a text's lines; one that stands alone takes the next line as its title. Captions and years are none."""
+    x = table(spark, d, "part").select("p_partkey", F.posexplode(F.split(_filled(_PAGES), "\n")).alias("place", "line"))
+    x = x.withColumn("after", F.lead("line").over(Window.partitionBy("p_partkey").orderBy("place"))).where(F.col("line").rlike(_HEAD))
+    own = F.regexp_extract("line", _HEAD, 2)
+    title = F.when(own != "", own).when(F.col("after").rlike("^[A-Z]"), F.col("after"))
+    number = F.regexp_extract("line", _HEAD, 1)
+    x = x.select("p_partkey", "place", number.alias("number"), title.alias("title"), (own == "").alias("repaired"), F.size(F.split(number, "[.]")).alias("depth"))
+    return x.where(F.col("title").isNotNull() & ~F.col("title").rlike(_REJECT))
+
+
 @query("X31", "SELECT p_partkey, array_to_string(list_distinct(list_transform(regexp_extract_all('Rail (ACS - ' || p_size || '), sleeper (ACS-' || (p_size + 1) || ') and (acs – ' || p_size || '), ACS 9', '(?i)\\(ACS\\s*[-–]\\s*([0-9]+)\\)', 1), lambda n: 'ACS ' || n)).list_sort(), '|') AS marks FROM part")
 def amendment_marks(spark, d):
     """The numbers of the correction slips that a text is marked with, each once."""
@@ -174,7 +199,7 @@ def checked_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.try_to_date(s, "dd.MM.yyyy").alias("day"))
 
 
-@query("X23 X24 X22 S4 A22", "WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS head FROM pages) SELECT page_id, head, length(head) AS n, regexp_matches(head, '^[A-Z]') AS upper FROM x")
+@query("X23", "WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS head FROM pages) SELECT page_id, head, length(head) AS n, regexp_matches(head, '^[A-Z]') AS upper FROM x")
 def headings(spark, d):
     x = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))).alias("head"))
     return x.select("page_id", "head", F.length("head").cast("long").alias("n"), F.col("head").rlike("^[A-Z]").alias("upper"))
