@@ -57,3 +57,16 @@ def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def written(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregated stream over what there is now; each micro-batch replaces the result table at path, so that a batch that
+    is run again leaves the same."""
+    schema, spark = df.schema, df.sparkSession
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = df.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(path)
