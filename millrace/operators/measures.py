@@ -50,6 +50,17 @@ QUANTITIES = {
     "time": (r"\bduration\b|\btime\b|\bperiod\b|\bwithin\b", _TIME),
     "gradient": (r"gradient|slope", ("%", "deg")),
 }
+# What a sentence may say that a value applies to.
+CONDITIONS = {
+    "rail_section": r"\b(?:52|60|90)\s?kg\b|\b60\s?E1\b|\bUIC\s?60\b|\b(?:90|110)\s?UTS\b",
+    "sleeper": r"\b(?:PSC|wooden|steel\s+trough|concrete|CST-?9|ST)\s+sleepers?\b",
+    "geometry": r"\b(?:straight\s+track|straight|curves?|curved|turnouts?|points\s+and\s+crossings?|crossings?|switch(?:es)?|SEJ|bridges?|tunnels?|level\s+crossings?|station\s+yards?|running\s+lines?|loop\s+lines?|main\s+lines?|transition|approach(?:es)?)\b",
+    "gauge": r"\b(?-i:BG|MG|NG|broad\s+gauge|metre\s+gauge|narrow\s+gauge)\b",
+    "route_class": r"\bGroup\s+[A-E]\b|\bZone[\s-]*(?:I{1,3}|IV|V)\b|\b[A-E]\s+class\s+routes?\b|\bQ\s+routes?\b|\brunning\s+track\b",
+    "traffic": r"\b(?:passenger|goods|freight|mixed)\s+(?:traffic|trains?|lines?)\b",
+}
+#: Characters before and after a value in which its conditions are looked for.
+BEFORE, AFTER = 100, 60
 NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
 UNIT = "(" + "|".join(u.replace(" ", r"\s") for u in UNITS) + r")([A-Za-z/²]?)"
 WHOLE = rf"(?i)(?:\b{REFERENCE})?(?:\b(?:{AT_MOST}|{AT_LEAST})\s*)?(?:(?:±|\+/-)\s*)?{NUMBER}(?:\s*(?:to|and|-|–)\s*{NUMBER})?\s*{UNIT}"
@@ -67,6 +78,28 @@ def measurements(df: DataFrame, key: str, text: str) -> DataFrame:
     references, years without a decimal point, units with a letter after them and implausible values are none. A null or
     empty text has none; repeated rows give theirs again.
     """
+    return _found(df, key, text).select(key, "sentence", "raw", "comparator", "lo", "hi", "unit", _quantity().alias("quantity"))
+
+
+def conditions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, sentence, raw, type, condition): what the sentence says, near a value and outside it, that the value applies to; each
+    condition once for a value, whatever its spacing and plural. Handles texts as measurements does."""
+    x = _found(df, key, text)
+    place = F.instr("s", F.col("raw"))
+    after = place + F.length("raw")
+    near = F.concat(F.substring("s", F.greatest(place - BEFORE, F.lit(1)), F.least(place - 1, F.lit(BEFORE))), F.lit(" # "), F.substring("s", after, F.lit(AFTER)))
+    x = x.withColumn("near", F.regexp_replace(near, r"(?i)kg\s*/\s*m", "kgpm"))
+
+    def found(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("near", F.lit(f"(?i){pattern}"), F.lit(0)), lambda c: F.struct(F.lit(name).alias("type"), c.alias("c")))
+
+    every = F.concat(*(found(*family) for family in CONDITIONS.items()))
+    one = x.select(key, "sentence", "raw", F.inline(every))
+    return one.select(key, "sentence", "raw", "type", F.regexp_replace(F.regexp_replace(F.lower("c"), r"\s+", ""), r"s?\W*$", "").alias("condition")).distinct()
+
+
+def _found(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Measurements with their sentence s, without what they measure."""
     s = df.select(key, F.posexplode(sentences(F.col(text))).alias("sentence", "s"))
     x = s.select(key, "sentence", "s", F.explode(F.regexp_extract_all("s", F.lit(WHOLE), F.lit(0))).alias("raw"))
     raw = F.col("raw")
@@ -86,8 +119,7 @@ def measurements(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     year = (is_ != "range") & F.regexp_extract(raw, NUMBER, 0).rlike("^(19|20)[0-9][0-9]$")
     limit = F.create_map(*(F.lit(v) for pair in LARGEST.items() for v in pair))[F.col("unit")]
-    x = x.where(~year & (limit.isNull() | (F.greatest(F.abs("lo"), F.abs("hi")) <= limit)))
-    return x.select(key, "sentence", "raw", "comparator", "lo", "hi", "unit", _quantity().alias("quantity"))
+    return x.where(~year & (limit.isNull() | (F.greatest(F.abs("lo"), F.abs("hi")) <= limit)))
 
 
 def _quantity() -> Column:
@@ -102,6 +134,16 @@ def _quantity() -> Column:
     return F.get(F.filter(F.array(best), lambda b: b["at"] >= 0), F.lit(0))["name"]
 
 
+def conditions_sql(source: str, key: str, text: str) -> str:
+    """The rows of conditions in SQL, from a table or subquery."""
+    base = measurements_sql(source, key, text)
+    base = base[: base.rindex("SELECT")]
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    every = " UNION ALL ".join(f"SELECT {key}, sentence, raw, '{name}' AS type, unnest(regexp_extract_all(near, {q('(?i)' + p)})) AS c FROM w" for name, p in CONDITIONS.items())
+    return f"""{base.rstrip()}, w AS (SELECT *, regexp_replace(right(p, {BEFORE}) || ' # ' || substr(s, length(p) + length(raw) + 1, {AFTER}), '(?i)kg\\s*/\\s*m', 'kgpm', 'g') AS near FROM c), f AS ({every})
+SELECT DISTINCT {key}, sentence, raw, type, regexp_replace(regexp_replace(lower(c), '\\s+', '', 'g'), 's?\\W*$', '') AS condition FROM f"""
+
+
 def measurements_sql(source: str, key: str, text: str) -> str:
     """The same rows in SQL, from a table or subquery."""
     q = lambda p: "'" + p.replace("'", "''") + "'"

@@ -59,7 +59,7 @@ def row_clusters(spark, d):
     return answers.clusters(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", 3.0)
 
 
-@query("W16 X16", """WITH t AS (SELECT p_partkey, 'from ' || p_size || ' to ' || (p_size + 5) || ' mm and ' || (p_size * 2) || ' mm when wet, at ' || p_partkey || ' kg' AS t FROM part),
+@query("W16", """WITH t AS (SELECT p_partkey, 'from ' || p_size || ' to ' || (p_size + 5) || ' mm and ' || (p_size * 2) || ' mm when wet, at ' || p_partkey || ' kg' AS t FROM part),
 r AS (SELECT p_partkey, 'range' AS kind, unnest(regexp_extract_all(t, '[0-9]+ to [0-9]+ [a-z]+')) AS raw FROM t), s AS (SELECT p_partkey, 'single' AS kind, unnest(regexp_extract_all(regexp_replace(t, '[0-9]+ to [0-9]+ [a-z]+', '#', 'g'), '[0-9]+ [a-z]+')) AS raw FROM t)
 SELECT p_partkey, kind, raw, contains(t, raw || ' when wet') AS conditional FROM (SELECT * FROM r UNION ALL SELECT * FROM s) JOIN t USING (p_partkey)""")
 def prioritized_values(spark, d):

@@ -10,7 +10,7 @@ from millrace.functions import text as X
 from millrace.functions.stem import stem
 from millrace.operators import measures as M
 from millrace.operators import references as R
-from millrace.operators.measures import measurements_sql
+from millrace.operators.measures import conditions_sql, measurements_sql
 from millrace.operators.references import references_sql
 from millrace.registry import query, table
 
@@ -169,12 +169,12 @@ def occurrence_numbers(spark, d):
 
 #: A note on each part, in eight forms, from its key and size.
 _NOTES = (
-    "Wear of the rail shall not exceed {s} mm as in Para {k} mm.",
+    "Wear of the rail on curves of BG shall not exceed {s} mm as in Para {k} mm.",
     "The gap is between 2 and {t} mm. Width {s} m/s is none!",
     "Temperature {s} to {t} °C; depth of cushion minimum of {s} cm.",
     "Speed up to {k} km/h since 1998 days. Every 2001 mm counts.",
-    "Load at least {s} tonnes, and cant ± {s} mm.\nFig {s} kg",
-    "Inspect once every {s} months. See Annexure {s} days",
+    "Load at least {s} tonnes for 60 kg rails on PSC  sleepers and curve, cant ± {s} mm in Group A.\nFig {s} kg",
+    "Goods trains and goods  train: inspect once every {s} months. See Annexure {s} days",
     "Diameter {s} kg/m, slope below {k} %, within {s} hrs",
     "Thickness minimum {s}.5 mm, length 1,{u} metres or more",
 )
@@ -184,6 +184,12 @@ def measurements(spark, d):
     return M.measurements(table(spark, d, "part").select("p_partkey", _filled(_NOTES).alias("note")), "p_partkey", "note")
 
 
+@query("X16", conditions_sql(f"(SELECT p_partkey, {_filled_sql(_NOTES)} AS note FROM part)", "p_partkey", "note"))
+def value_conditions(spark, d):
+    """What the values in the notes on all parts apply to."""
+    return M.conditions(table(spark, d, "part").select("p_partkey", _filled(_NOTES).alias("note")), "p_partkey", "note")
+
+
 @query("X19 X39", "SELECT p_partkey, 'A part of size _____ by ' || p_brand AS front, substr(p_name, greatest(1, strpos(p_name, ' ') - 3), 7) AS around FROM part")
 def cloze(spark, d):
     sentence = F.concat(F.lit("A part of size "), "p_size", F.lit(" by "), "p_brand")

@@ -1,4 +1,4 @@
-from millrace.operators.measures import UNITS, measurements
+from millrace.operators.measures import UNITS, conditions, measurements
 
 GOLDEN = {
     "The gap shall not exceed 6 mm.": [("max", None, 6.0, "mm", "gap")],
@@ -25,3 +25,12 @@ def test_golden_texts(spark):
         got.setdefault(r.k, []).append((r.comparator, r.lo, r.hi, r.unit, r.quantity))
     assert {t: got.get(k, []) for k, t in enumerate(GOLDEN)} == GOLDEN and 99 not in got
     assert len(UNITS) >= 50
+
+
+def test_conditions_near_a_value(spark):
+    text = "On curves and curve of BG track with 52 kg rails the wear is 6 mm for goods  trains, and 60 kg/m is none."
+    got = {}
+    for r in conditions(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").collect():
+        got.setdefault(r.raw, set()).add((r.type, r.condition))
+    assert got["6 mm"] == {("geometry", "curve"), ("gauge", "bg"), ("rail_section", "52kg"), ("traffic", "goodstrain")}
+    assert ("rail_section", "52kg") not in got["52 kg"]
