@@ -22,12 +22,14 @@ def test_every_stage_against_a_plain_version(spark):
     one = C.without_toxic(spark, docs, SF)
     assert one.columns == docs.columns
     model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    bad = {r.doc_id for r in toxicity.score(docs, model).collect() if r.score >= toxicity.THRESHOLD}
+    limit = lambda d: model.thresholds.get(before[d].lang or "", toxicity.THRESHOLD)
+    bad = {r.doc_id for r in toxicity.score(docs, model).collect() if r.score >= limit(r.doc_id)}
     after = rows(one)
     assert set(after) == set(before) - bad and all(after[d] == before[d] for d in after)
     # 1
     two = C.without_near_copies(spark, one, SF)
-    want = {c for _, n, c in near([(r.doc_id, r.text) for r in after.values()]) if n} | {d for d, n, _ in near([(r.doc_id, r.text) for r in after.values()]) if not n}
+    found = near([(r.doc_id, r.text) for r in after.values()])
+    want = {c for _, n, c, _ in found if n} | {d for d, n, *_ in found if not n}
     kept = rows(two)
     assert set(kept) == want and two.columns == docs.columns
     # 2
@@ -57,3 +59,25 @@ def test_run_gives_the_last_stage(spark):
 def test_copies_and_empty_texts(spark):
     df = spark.createDataFrame([(2, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (3, None, "z"), (4, "", "z"), (None, "q r s t u", "z")], "doc_id long, text string, first string")
     assert sorted(C.without_near_copies(spark, df, SF).select("doc_id", "text").collect(), key=str) == sorted([(1, "a b c d e f"), (3, None), (4, ""), (None, "q r s t u")], key=str)
+
+
+CLASH = "doc_id long, text string, lang string, score double, sig long, row_key long, base_spans string, all_spans string, __t string, __row string, threshold double, n_chars long"
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark):
+    """Each stage keeps every column as it is, whatever its name, and takes nulls, empty texts, repeats and empty tables."""
+    row = lambda d, t, lang="en": (d, t, lang, 1.0, 2, 3, "b", "a", "t", "r", 0.1, None if t is None else len(t))
+    rows = [row(1, "a b c d e f"), row(1, "a b c d e f"), row(2, None), row(3, "", None), row(None, "mail me at x.y@z.org"), row(4, "so it goes " * 3000)]
+    df = spark.createDataFrame(rows, CLASH)
+    for stage in (C.without_toxic, C.without_benchmark, C.without_personal_data):
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        got = sorted(map(str, out.drop("text", "n_chars").collect()))
+        assert got == sorted(map(str, df.drop("text", "n_chars").collect())), stage.__name__
+    red = {r.doc_id: r for r in C.without_personal_data(spark, df, SF).collect()}
+    assert red[None].text == "mail me at [email]" and red[None].n_chars == 18 and red[2].text is None and red[3].text == ""
+    one = C.without_near_copies(spark, df, SF)
+    assert one.columns == df.columns and one.count() == 5
+    assert C.packed(spark, df, SF).count() >= 6
+    for _, stage in C.STAGES:
+        assert stage(spark, df.where("false"), SF).collect() == []
