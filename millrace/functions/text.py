@@ -21,8 +21,7 @@ def raw_tokens(text: Column) -> Column:
 
 def terms(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Tokens of two characters or more that are not stop words."""
-    words = F.array(*map(F.lit, stop))
-    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 1) & ~F.array_contains(words, t))
+    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*stop))
 
 
 def compound_tokens(text: Column) -> Column:
