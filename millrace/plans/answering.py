@@ -24,7 +24,7 @@ def identifier_promotion(spark, d):
 SELECT item_id, doc_id, rule FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rule, score DESC, doc_id) = 1""")
 def preferred_answer(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = search.top(search.score(items, search.index_for(items, docs)), 10).join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
+    top = search.best(items, search.index_for(items, docs), 10).join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
     rules = [(F.col("n_chars") > 500) & (F.col("lang") == "en"), F.col("n_chars") > 200]
     return answers.preferred(top, rules, [F.desc("score"), F.col("doc_id")], ["item_id"]).select("item_id", "doc_id", "rule")
 

@@ -17,7 +17,7 @@ SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category
 FROM q GROUP BY GROUPING SETS ((category), ())""")
 def recall_and_mrr(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = search.top(search.score(items, search.index_for(items, docs)), 10)
+    top = search.best(items, search.index_for(items, docs), 10)
     right = gold(items, docs)
     hit = top.join(right, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
     q = items.join(right.select("item_id").distinct(), "item_id", "left_semi").join(hit, "item_id", "left")

@@ -20,16 +20,15 @@ scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
 
 
-def _scored(spark, d):
+def _best(spark, d, k):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     index = search.index_for(items, docs)
-    return docs, items, index, search.score(items, index)
+    return docs, items, index, search.best(items, index, k)
 
 
 @query("X3 X4 A6 A7 A8 J18 R1 R2 T1 T2", f"WITH {INDEX_SQL} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
 def bm25_topk(spark, d):
-    *_, scored = _scored(spark, d)
-    return search.top(scored, 10).select("item_id", "doc_id", "score", "rank")
+    return _best(spark, d, 10)[-1].select("item_id", "doc_id", "score", "rank")
 
 
 @query("A6", f"WITH {INDEX_SQL} SELECT term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stat")
@@ -44,8 +43,8 @@ def document_frequency(spark, d):
 best AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS k FROM named)
 SELECT item_id, doc_id, source, score FROM best WHERE k = 1""")
 def rerank_best_per_source(spark, d):
-    docs, _, _, scored = _scored(spark, d)
-    top = search.top(scored, 200).join(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    docs, _, _, top = _best(spark, d, 200)
+    top = top.join(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id")
     factor = F.when(F.col("lang") == "en", 1.0).otherwise(0.55) * F.when(F.col("n_chars") < 200, 0.9).otherwise(1.0)
     top = top.withColumn("score", F.round(F.col("score") * factor, 6))
     k = F.row_number().over(Window.partitionBy("item_id", "source").orderBy(F.desc("score"), "doc_id"))
@@ -54,9 +53,9 @@ def rerank_best_per_source(spark, d):
 
 @query("F3", f"WITH {INDEX_SQL}, own AS (SELECT item_id, doc_id, score FROM scored JOIN documents USING (doc_id) WHERE lang = 'en' AND source = 'src0') SELECT item_id, doc_id, score FROM own QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5")
 def strict_scope_topk(spark, d):
-    docs, items, index, _ = _scored(spark, d)
-    scoped = search.score(items, index, docs.where("lang = 'en' AND source = 'src0'"))
-    return search.top(scoped, 5).select("item_id", "doc_id", "score")
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    scope = docs.where("lang = 'en' AND source = 'src0'")
+    return search.best(items, search.index_for(items, docs), 5, scope).select("item_id", "doc_id", "score")
 
 
 @query("A9 R5 Q6", f"""WITH {INDEX_SQL}, best AS (SELECT * FROM ranked WHERE rank = 1),
@@ -68,8 +67,7 @@ SELECT item_id, round(coverage, 6) AS coverage, CASE WHEN coverage >= 0.66 OR (c
  CASE WHEN coverage >= 0.85 AND score >= 1.15 * coalesce(runner, 0) THEN 'high' WHEN coverage >= 0.75 THEN 'medium' ELSE 'low' END AS confidence
 FROM c LEFT JOIN best USING (item_id) LEFT JOIN second USING (item_id)""")
 def answer_gate(spark, d):
-    _, items, index, scored = _scored(spark, d)
-    top = search.top(scored, 2)
+    _, items, index, top = _best(spark, d, 2)
     best = top.where("rank = 1").select("item_id", "doc_id", "score")
     c = search.coverage(items, index, best)
     runner = top.where("rank = 2").select("item_id", F.col("score").alias("runner"))
@@ -86,9 +84,8 @@ def answer_gate(spark, d):
 
 @query("W5 W21", f"WITH {INDEX_SQL} SELECT item_id, doc_id, round(score / max(score) OVER (PARTITION BY item_id), 4) AS share, round(score - lead(score) OVER (PARTITION BY item_id ORDER BY rank), 6) AS margin FROM ranked WHERE rank <= 20")
 def share_of_best(spark, d):
-    *_, scored = _scored(spark, d)
+    top = _best(spark, d, 20)[-1]
     own = Window.partitionBy("item_id")
-    top = search.top(scored, 20)
     return top.select("item_id", "doc_id", F.round(F.col("score") / F.max("score").over(own), 4).alias("share"), F.round(F.col("score") - F.lead("score").over(own.orderBy("rank")), 6).alias("margin"))
 
 

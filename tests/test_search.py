@@ -1,0 +1,17 @@
+import random
+
+from millrace.operators import search
+
+
+def test_both_ways_of_ranking_agree(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 40)))) for i in range(300)] + [(900, None), (901, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(r.choices(words + ["none"], k=5))) for i in range(20)] + [(99, None), (98, "unseen")], "item_id long, text string")
+    index = search.index_for(items, docs)
+    scope = docs.where("doc_id % 3 = 0")
+    one = [sorted(map(tuple, search.best(items, index, k, w).select("item_id", "doc_id", "score", "rank").collect())) for k, w in ((3, None), (500, None), (4, scope))]
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
+    two = [sorted(map(tuple, search.best(items, index, k, w).select("item_id", "doc_id", "score", "rank").collect())) for k, w in ((3, None), (500, None), (4, scope))]
+    assert one == two and len(one[0]) == 60
+    assert search.best(items.where("false"), search.index_for(items.where("false"), docs), 3).collect() == []
