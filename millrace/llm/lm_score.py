@@ -253,7 +253,8 @@ def score_documents(
     scratch.drop("blocks")
     scratch.drop("words")
     asked = limited.select("block", "data").mapInArrow(lambda it: _pair_questions(it, bits), ROW)
-    totals = asked.groupBy("at").applyInArrow(lambda t: _answers(t, 1), ROW + ", entries long").select(*columns)
+    # written, so that the questions' shuffle is gone when the answers' begins
+    totals = scratch.save(asked.groupBy("at").applyInArrow(lambda t: _answers(t, 1), ROW + ", entries long").select(*columns), "totals")
     both = limited.select(*columns).unionByName(totals)
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     return both.groupBy("block").applyInArrow(lambda t: _losses(t, sums, vocabulary, mixture), schema)
