@@ -39,4 +39,38 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM word ANTI
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(xs), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op5_substring_dedup": OP5}
+#: crc32 of an ASCII text, by its table of 256 remainders (column t of crc).
+_CRC = """crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda k: ascii({0}[k])::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (SELECT *, {_CRC32.format("key")} % 20 AS f FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+r AS (SELECT *, left(role, 1) AS kind, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM o),
+e AS (SELECT conv_id, i, role, text, kind, blank, again AND NOT blank AS duplicate, cut AND NOT blank AND NOT again AS truncated,
+  i > 1 AND lag(kind) OVER (PARTITION BY conv_id ORDER BY i) || kind NOT IN ('su', 'ua', 'au') AS illegal FROM r),
+told AS (SELECT conv_id, count(*) AS n, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, sum(illegal::INT) AS illegal FROM e GROUP BY conv_id),
+gap AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM d GROUP BY conv_id),
+moves(state, ins, pos, new) AS (VALUES (0, '', 0, ''), (0, 'I', 2, 'user:'), (0, 'II', 3, E'user:\nassistant:'), (1, '', 1, ''), (1, 'I', 2, 'user:'), (1, 'II', 3, E'user:\nassistant:'), (2, '', 2, ''), (2, 'I', 3, 'assistant:'), (3, '', 3, ''), (3, 'I', 2, 'user:')),
+edits(edit, fee) AS (VALUES ('D', 3), ('R', 2), ('K', 0)),
+ways(conv_id, i, state, way) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': '', 'out': ''}} FROM d
+  UNION ALL
+  SELECT conv_id, i, after, min(way) FROM (
+    SELECT e.conv_id, e.i, CASE WHEN edit = 'D' THEN pos WHEN edit = 'K' AND kind = 's' THEN 1 WHEN pos = 2 THEN 3 ELSE 2 END AS after,
+      {{'cost': way.cost + 2 * length(ins) + fee + CASE WHEN truncated AND edit <> 'D' THEN 1 ELSE 0 END, 'audit': way.audit || ins || edit,
+        'out': array_to_string(list_filter([way.out, new, CASE edit WHEN 'K' THEN role || ':' || text WHEN 'R' THEN CASE WHEN pos = 2 THEN 'assistant:' ELSE 'user:' END || text ELSE '' END], lambda x: x <> ''), chr(10))}} AS way
+    FROM ways JOIN e ON e.conv_id IS NOT DISTINCT FROM ways.conv_id AND e.i = ways.i + 1 JOIN moves USING (state), edits
+    WHERE edit = 'D' OR NOT blank AND NOT duplicate AND (edit = 'R' OR kind = 's' AND pos = 0 OR kind = 'u' AND pos <> 2 OR kind = 'a' AND pos = 2)) GROUP BY conv_id, i, after),
+done AS (SELECT ways.conv_id, min({{'cost': way.cost + 2 * length(ins), 'audit': way.audit || ins, 'out': array_to_string(list_filter([way.out, new], lambda x: x <> ''), chr(10))}}) AS way
+  FROM ways JOIN told ON told.conv_id IS NOT DISTINCT FROM ways.conv_id AND told.n = ways.i JOIN moves USING (state) WHERE state IN (0, 3) AND ins = '' OR state IN (1, 2) AND pos = 3 GROUP BY ways.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(way.out, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN gap ON gap.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op5_substring_dedup": OP5, "op13_conversations": OP13}

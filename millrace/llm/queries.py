@@ -1,5 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
+from millrace.llm.conversations import op13_conversations
 from millrace.llm.decontaminate import op2_decontaminate
 from millrace.llm.fingerprint import op3_fingerprints
 from millrace.llm.lm_score import op6_lm_score
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op13_conversations": op13_conversations,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
