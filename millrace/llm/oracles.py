@@ -73,4 +73,23 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
   coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(way.out, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN gap ON gap.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op5_substring_dedup": OP5, "op13_conversations": OP13}
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+
+OP11 = f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, source, {_LEAF.format(_FIELD.format("text"))} AS leaf, CASE WHEN {_CRC32.format("(doc_id::VARCHAR)")} % 2 = 0 THEN {_LEAF.format(_FIELD.format("replace(text, chr(10), '')"))} END AS changed FROM documents, crc),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+node(tree, lev, i, n, h) AS (SELECT tree, 0, i, n, leaf FROM l UNION ALL SELECT tree, lev + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY tree, lev, i // 3, n),
+top(lev, i, n, h) AS (SELECT 0, tree - 1, (SELECT count(DISTINCT tree) FROM l), h FROM node WHERE n = 1 UNION ALL SELECT lev + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lev, i // 3, n),
+step AS (SELECT tree, lev, i, coalesce(string_agg(h, '' ORDER BY i) OVER before, '') || '|' || coalesce(string_agg(h, '' ORDER BY i) OVER after, '') AS s FROM node WHERE n > 1
+  WINDOW before AS (PARTITION BY tree, lev, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY tree, lev, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+tstep AS (SELECT lev, i, coalesce(string_agg(h, '' ORDER BY i) OVER before, '') || '|' || coalesce(string_agg(h, '' ORDER BY i) OVER after, '') AS s FROM top WHERE n > 1
+  WINDOW before AS (PARTITION BY lev, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY lev, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+up AS (SELECT l.tree, l.i, list(s ORDER BY lev) AS steps FROM l JOIN step ON step.tree = l.tree AND step.i = l.i // (3 ** lev)::BIGINT GROUP BY ALL),
+tup AS (SELECT t.i + 1 AS tree, list(s ORDER BY tstep.lev) AS steps FROM (SELECT i FROM top WHERE lev = 0) t JOIN tstep ON tstep.i = t.i // (3 ** tstep.lev)::BIGINT GROUP BY ALL),
+way AS (SELECT l.*, coalesce(up.steps, []) AS a, coalesce(tup.steps, []) AS b FROM l LEFT JOIN up USING (tree, i) LEFT JOIN tup USING (tree)),
+f AS (SELECT *, list_reduce(list_prepend(coalesce(changed, leaf), a || b), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS fold, (SELECT h FROM top WHERE n = 1) AS root FROM way)
+SELECT doc_id, leaf, (SELECT h FROM node WHERE node.n = 1 AND node.tree = f.tree) AS subroot, root, sha256(replace(array_to_string(a || b, ''), '|', '')) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM f"""
+
+ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op5_substring_dedup": OP5, "op11_manifest": OP11, "op13_conversations": OP13}

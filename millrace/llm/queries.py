@@ -4,6 +4,7 @@ from millrace.llm.conversations import op13_conversations
 from millrace.llm.decontaminate import op2_decontaminate
 from millrace.llm.fingerprint import op3_fingerprints
 from millrace.llm.lm_score import op6_lm_score
+from millrace.llm.manifest import op11_manifest
 from millrace.llm.ngram_jaccard import op1_ngram_jaccard
 from millrace.llm.oracles import ORACLE_SQL
 from millrace.llm.packing import op8_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_manifest": op11_manifest,
     "op13_conversations": op13_conversations,
 }
 
