@@ -12,9 +12,10 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
 e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+k AS (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a),
 reach(start, node) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.start, e.b FROM reach r JOIN e ON e.a = r.node)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.node), d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.start = d.doc_id GROUP BY d.doc_id, n.n"""
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.node), d.doc_id)) AS component_id, coalesce(k.links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN reach r ON r.start = d.doc_id GROUP BY d.doc_id, n.n, k.links"""
 
 OP2 = f"""
 WITH i AS (SELECT item_id::VARCHAR AS item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),

@@ -9,6 +9,7 @@ from millrace.llm.ngram_jaccard import op1_ngram_jaccard
 from millrace.llm.oracles import ORACLE_SQL
 from millrace.llm.packing import op8_packing
 from millrace.llm.pii import op9_pii
+from millrace.llm.quality_rules import op12_quality_rules
 from millrace.llm.substring_dedup import op5_substring_dedup
 from millrace.llm.suffix_dedup import op4_suffix_dedup
 from millrace.llm.toxicity import op10_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
     "op11_manifest": op11_manifest,
+    "op12_quality_rules": op12_quality_rules,
     "op13_conversations": op13_conversations,
 }
 
