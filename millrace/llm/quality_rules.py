@@ -171,8 +171,10 @@ def leaning(groups: DataFrame, shapes: DataFrame) -> DataFrame:
     """groups (lang, source) with m0.. and c00..: their own estimate, their language's and that of all, mixed: a wider one counts
     as much as LEAN documents. A mixture's scatter holds the distance between its parts, too."""
     lang, source = F.col("lang"), F.col("source")
-    df = groups.select("lang", "source", group_key(0, lang, source).alias("key0"), group_key(1, lang, None).alias("key1"), group_key(2, None, None).alias("key2"))
-    for level in range(3):
+    df = groups.select("lang", "source", group_key(0, lang, source).alias("key0"), group_key(1, lang, None).alias("key1"))
+    whole = shapes.where(F.col("key") == group_key(2, None, None)).first()  # one row
+    df = df.select("*", *(F.lit(whole and whole[c]).alias(f"{c}_2") for c in SHAPE))
+    for level in range(2):
         named = {f"{c}_{level}": F.col(c) for c in SHAPE}
         of = shapes.select(*(v.alias(k) for k, v in named.items()))
         df = df.join(of, F.col(f"key{level}") == F.col(f"key_{level}"), "left")
