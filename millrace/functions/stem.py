@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # fixed values of the published algorithm: suffix -> replacement, longest first within a step
-STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
@@ -75,3 +81,22 @@ def stem(word: str) -> str:
         if _measure(root) > 1 or (_measure(root) == 1 and not _cvc(root)):
             word = root
     return word[:-1] if _measure(word) > 1 and _double(word) and word[-1] == "l" else word
+
+
+@lru_cache(1 << 16)
+def _cached(word: str) -> str:
+    return stem(word)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _stemmed(words: pa.Array) -> pa.Array:
+    """Each distinct word of a batch is stemmed once."""
+    flat = words.flatten().dictionary_encode()
+    new = pa.array([_cached(w) if len(w) > 3 and not w[0].isdigit() else w for w in flat.dictionary.to_pylist()], pa.string())
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), new.take(flat.indices))
+
+
+def stems(words: Column) -> Column:
+    """An array of words without nulls, those over three letters that begin with no digit stemmed."""
+    return _stemmed(F.coalesce(words, F.array().cast("array<string>")))

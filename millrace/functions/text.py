@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.stem import stems
+
 # Words that carry no meaning for a search; a parameter of every function that uses them.
 STOP_WORDS = tuple(
     "a an the of in on at for to is are was were be been being by with and or how what which who whom whose "
@@ -39,6 +41,25 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+#: Units that are joined to the number before them.
+SEARCH_UNITS = "kg|mm|cm|km|kmph|kn|mhz|hz|kv|amps?|volts?|litres?|liters?|tonnes?|gmt|hp|rpm|mpa|db"
+
+
+def search_text(text: Column) -> Column:
+    """The spelling in which texts are searched: lower case, plain dashes and quotes, ratios and quantities in one piece."""
+    t = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2018\u2019", "-------''"), "\u00b0", " deg ")
+    t = F.regexp_replace(t, r"\b1\s*(?:in|:)\s*([0-9]+(?:\.[0-9]+)?)", "1in$1")
+    t = F.regexp_replace(t, rf"\b([0-9]+(?:\.[0-9]+)?)\s*({SEARCH_UNITS})\b", "$1$2")
+    return F.regexp_replace(t, r"\b(?:kmph|km/h|kmh)\b", "kmph")
+
+
+def search_terms(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Stemmed tokens in order, without stop words: a token with dots or slashes that is no number is followed by its parts."""
+    whole = F.regexp_extract_all(search_text(text), F.lit(r"[a-z0-9]+(?:[./][a-z0-9]+)*"), F.lit(0))
+    parted = lambda t: F.when(t.rlike("[./]") & ~t.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), F.concat(F.array(t), F.split(t, "[./]"))).otherwise(F.array(t))
+    return stems(F.filter(F.flatten(F.transform(whole, parted)), lambda t: ~t.isin(*stop)))
+
+
 def squash(text: Column) -> Column:
     """Lower case, one space between words."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))

@@ -1,12 +1,9 @@
-"""Inverted index, ranking, coverage and gating over a batch of questions."""
+"""Term counts, corpus statistics and scores of every pair, for a batch of questions (see blocks for the best of each)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +27,6 @@ def statistics(index: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int, f
     return index.groupBy("term").agg(F.count("*").cast("double").alias("df")), lengths["n"], lengths["average"] or 1.0
 
 
-#: Rows (question, term) up to which a batch of questions is broadcast, some dozens of megabytes.
-BROADCAST_ROWS = 500_000
-
-
 @dataclass(frozen=True)
 class Index:
     """(key, term, tf, length) of the terms that questions ask for, the number of documents and their average length."""
@@ -76,79 +69,7 @@ def _weighted(questions: DataFrame, index: Index, question: str, text: str) -> D
     return wanted.join(index.frequencies(), "term").withColumn("idf", idf(F.lit(float(index.documents)), F.col("df"))).select(question, "term", "idf")
 
 
-def best(questions: DataFrame, index: Index, k: int, within: DataFrame | None = None, question: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows of top(score(...), k), (question, key, score, rank), without a row for every pair that shares a term: where the
-    questions' terms are few enough to be broadcast, each partition of documents sums its scores in arrays and gives its k
-    best for each question. More terms take the way by joins. Keys of questions and documents are integers."""
-    weights = stored(_weighted(questions, index, question, text), "weights")
-    if weights.count() > BROADCAST_ROWS:
-        return top(score(questions, index, within, question, text), k, question, index.key).drop("hits")
-    table = weights.toPandas().sort_values("term", kind="stable", ignore_index=True)
-    names = np.unique(table[question].to_numpy(np.int64))
-    words, first = np.unique(table["term"].to_numpy(object).astype(str), return_index=True)
-    shared = index.rows.sparkSession.sparkContext.broadcast((words, np.append(first, len(table)), np.searchsorted(names, table[question].to_numpy(np.int64)), table["idf"].to_numpy(), names))
-    average = index.average
-    rows = index.rows if within is None else index.rows.join(within.select(index.key), index.key, "left_semi")
-    rows = rows.select(F.col(index.key).cast("long").alias("key"), "term", "tf", "length").repartition("key").sortWithinPartitions("key")
-    found = rows.mapInArrow(lambda it: _best(it, shared.value, average, k), "question long, key long, score double")
-    return top(found.select(F.col("question").alias(question), F.col("key").alias(index.key), F.round("score", 6).alias("score")), k, question, index.key)
-
-
-def _best(batches: Iterator[pa.RecordBatch], weights: tuple, average: float, k: int) -> Iterator[pa.RecordBatch]:
-    """(key, term, tf, length), sorted by key -> the k best keys of each question in this partition."""
-    words, first, items, idfs, names = weights
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-    def added(held, frame):
-        key, term, tf, length = frame
-        docs, doc = np.unique(key, return_inverse=True)
-        at = np.minimum(np.searchsorted(words, term), len(words) - 1)
-        known = words[at] == term if len(words) else np.zeros(len(term), bool)
-        doc, at, tf, length = doc[known], at[known], tf[known], length[known]
-        count = first[at + 1] - first[at]
-        place = np.repeat(first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        part = idfs[place] * np.repeat(tf * 2 / (tf + (1 - 0.75 + 0.75 * length / average)), count)
-        cell = items[place] * len(docs) + np.repeat(doc, count)
-        hit, total = np.bincount(cell, minlength=len(names) * len(docs)) > 0, np.bincount(cell, part, len(names) * len(docs))
-        cell = np.flatnonzero(hit)
-        new = cell // len(docs), docs[cell % len(docs)], total[cell]
-        item, key, sums = (np.concatenate(x) for x in zip(held, new, strict=True))
-        order = np.lexsort((key, -np.round(sums, 6), item))
-        item = item[order]
-        begin = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.zeros(0, np.int64)
-        rank = np.arange(len(item)) - np.repeat(begin, np.diff(np.append(begin, len(item))))
-        keep = order[rank < k]
-        return item[rank < k], key[keep], sums[keep]
-
-    tail = None
-    for batch in batches:
-        frame = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(str), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
-        if tail is not None:
-            frame = [np.concatenate(x) for x in zip(tail, frame, strict=True)]
-        if not len(frame[0]):
-            continue
-        whole = int(np.searchsorted(frame[0], frame[0][-1]))  # the last document may go on
-        tail = [c[whole:] for c in frame]
-        if whole:
-            held = added(held, [c[:whole] for c in frame])
-    if tail is not None and len(tail[0]):
-        held = added(held, tail)
-    if len(held[0]):
-        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]]), pa.array(held[1]), pa.array(held[2])], ["question", "key", "score"])
-
-
 def top(scored: DataFrame, k: int, question: str = "item_id", key: str = "doc_id") -> DataFrame:
     """The k best of each question, ties by key, numbered from 1."""
     rank = F.row_number().over(Window.partitionBy(question).orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def coverage(questions: DataFrame, index: Index, best: DataFrame, question: str = "item_id", text: str = "text") -> DataFrame:
-    """(question, coverage, mass): the share, by idf, of each question's terms that its best document has, and their idf.
-    A term that no document has counts with the idf of a df of 1."""
-    wanted = questions.select(question, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    w = wanted.join(index.frequencies(), "term", "left").withColumn("idf", idf(F.lit(float(index.documents)), F.coalesce("df", F.lit(1.0))))
-    have = best.select(question, index.key).join(index.rows.select(index.key, "term"), index.key).withColumn("has", F.lit(1.0))
-    both = w.join(have, [question, "term"], "left")
-    mass = F.sum(F.col("idf") * F.coalesce("has", F.lit(0.0)))
-    return both.groupBy(question).agg((mass / F.sum("idf")).alias("coverage"), mass.alias("mass"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import answers, search
 from millrace.plans.graphs import _EDGES, _edges
-from millrace.plans.retrieval import INDEX_SQL, gold
+from millrace.plans.retrieval import INDEX_SQL, best_documents, gold
 from millrace.registry import query, table
 
 
@@ -23,8 +23,8 @@ def identifier_promotion(spark, d):
 @query("R10", f"""WITH {INDEX_SQL}, c AS (SELECT item_id, doc_id, score, CASE WHEN n_chars > 500 AND lang = 'en' THEN 0 WHEN n_chars > 200 THEN 1 ELSE 2 END AS rule FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10)
 SELECT item_id, doc_id, rule FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rule, score DESC, doc_id) = 1""")
 def preferred_answer(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = search.best(items, search.index_for(items, docs), 10).join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
+    docs = table(spark, d, "documents")
+    top = best_documents(spark, d, 10)[-1].join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
     rules = [(F.col("n_chars") > 500) & (F.col("lang") == "en"), F.col("n_chars") > 200]
     return answers.preferred(top, rules, [F.desc("score"), F.col("doc_id")], ["item_id"]).select("item_id", "doc_id", "rule")
 

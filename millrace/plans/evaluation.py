@@ -4,8 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import stats
-from millrace.operators import joins, search
-from millrace.plans.retrieval import _NORM, INDEX_SQL, gold
+from millrace.operators import joins
+from millrace.plans.retrieval import _NORM, INDEX_SQL, best_documents, gold
 from millrace.registry import query, table
 
 _GOLD = f"gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_NORM.format('d.text')}, {_NORM.format('b.text')}))"
@@ -17,7 +17,7 @@ SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category
 FROM q GROUP BY GROUPING SETS ((category), ())""")
 def recall_and_mrr(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = search.best(items, search.index_for(items, docs), 10)
+    top = best_documents(spark, d, 10)[-1]
     right = gold(items, docs)
     hit = top.join(right, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
     q = items.join(right.select("item_id").distinct(), "item_id", "left_semi").join(hit, "item_id", "left")

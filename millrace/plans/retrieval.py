@@ -1,10 +1,12 @@
 """Queries of ranked retrieval: benchmark items are the questions, documents the passages."""
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import STOP_WORDS, squash, terms
-from millrace.operators import search
+from millrace.operators import blocks, search
 from millrace.registry import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -20,15 +22,31 @@ scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
 
 
+def plain_terms(text):
+    """Terms without stems, of a null text none."""
+    return F.coalesce(terms(text), F.array().cast("array<string>"))
+
+
+def plain_index(spark, d):
+    """The index of documents by plain terms, kept for the table as it is."""
+    rows = blocks.kept(spark, f"{d}/documents.parquet", "plain", lambda docs: blocks.build(docs, analyse=plain_terms))
+    return blocks.opened(rows, analyse=plain_terms)
+
+
+def best_documents(spark, d, k):
+    """(index, weighed items, the k best documents of each item)."""
+    index = plain_index(spark, d)
+    told = blocks.weighed(table(spark, d, "benchmark"), index)
+    return index, told, blocks.best(told, index, k).withColumnsRenamed({"question": "item_id", "key": "doc_id"})
+
+
 def _best(spark, d, k):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    index = search.index_for(items, docs)
-    return docs, items, index, search.best(items, index, k)
+    return best_documents(spark, d, k)[-1]
 
 
 @query("X3 X4 A6 A7 A8 J18 R1 R2 T1 T2", f"WITH {INDEX_SQL} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return _best(spark, d, 10)[-1].select("item_id", "doc_id", "score", "rank")
+    return _best(spark, d, 10).select("item_id", "doc_id", "score", "rank")
 
 
 @query("A6", f"WITH {INDEX_SQL} SELECT term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stat")
@@ -43,8 +61,8 @@ def document_frequency(spark, d):
 best AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS k FROM named)
 SELECT item_id, doc_id, source, score FROM best WHERE k = 1""")
 def rerank_best_per_source(spark, d):
-    docs, _, _, top = _best(spark, d, 200)
-    top = top.join(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    docs = table(spark, d, "documents")
+    top = _best(spark, d, 200).join(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id")
     factor = F.when(F.col("lang") == "en", 1.0).otherwise(0.55) * F.when(F.col("n_chars") < 200, 0.9).otherwise(1.0)
     top = top.withColumn("score", F.round(F.col("score") * factor, 6))
     k = F.row_number().over(Window.partitionBy("item_id", "source").orderBy(F.desc("score"), "doc_id"))
@@ -53,9 +71,12 @@ def rerank_best_per_source(spark, d):
 
 @query("F3", f"WITH {INDEX_SQL}, own AS (SELECT item_id, doc_id, score FROM scored JOIN documents USING (doc_id) WHERE lang = 'en' AND source = 'src0') SELECT item_id, doc_id, score FROM own QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5")
 def strict_scope_topk(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    scope = docs.where("lang = 'en' AND source = 'src0'")
-    return search.best(items, search.index_for(items, docs), 5, scope).select("item_id", "doc_id", "score")
+    """The best within a scope: only its documents are ranked, by the frequencies and lengths of all."""
+    index = plain_index(spark, d)
+    told = blocks.weighed(table(spark, d, "benchmark"), index)
+    scope = blocks.build(table(spark, d, "documents").where("lang = 'en' AND source = 'src0'"), analyse=plain_terms)
+    found = blocks.best(told, replace(index, rows=scope), 5)
+    return found.select(F.col("question").alias("item_id"), F.col("key").alias("doc_id"), "score")
 
 
 @query("A9 R5 Q6", f"""WITH {INDEX_SQL}, best AS (SELECT * FROM ranked WHERE rank = 1),
@@ -67,11 +88,13 @@ SELECT item_id, round(coverage, 6) AS coverage, CASE WHEN coverage >= 0.66 OR (c
  CASE WHEN coverage >= 0.85 AND score >= 1.15 * coalesce(runner, 0) THEN 'high' WHEN coverage >= 0.75 THEN 'medium' ELSE 'low' END AS confidence
 FROM c LEFT JOIN best USING (item_id) LEFT JOIN second USING (item_id)""")
 def answer_gate(spark, d):
-    _, items, index, top = _best(spark, d, 2)
-    best = top.where("rank = 1").select("item_id", "doc_id", "score")
-    c = search.coverage(items, index, best)
-    runner = top.where("rank = 2").select("item_id", F.col("score").alias("runner"))
-    c = c.join(best.drop("doc_id"), "item_id", "left").join(runner, "item_id", "left")
+    index, told, top = best_documents(spark, d, 2)
+    first = blocks.evidence(top.where("rank = 1"), told, index).select("number", "score", "matched")
+    words = told.where("weights IS NOT NULL").join(first, "number", "left")
+    mass = F.aggregate("weights", F.lit(0.0), lambda a, w: a + F.when(F.array_contains("matched", w["term"]), w["idf"]).otherwise(0.0))
+    whole = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["idf"])
+    c = words.select("number", F.col("question").alias("item_id"), "score", mass.alias("mass"), (mass / whole).alias("coverage"))
+    c = c.join(top.where("rank = 2").select("number", F.col("score").alias("runner")), "number", "left")
     enough = (F.col("coverage") >= 0.66) | ((F.col("coverage") >= 0.4) & (F.col("mass") >= 18))
     sure = (F.col("coverage") >= 0.85) & (F.col("score") >= 1.15 * F.coalesce("runner", F.lit(0.0)))
     return c.select(
@@ -84,7 +107,7 @@ def answer_gate(spark, d):
 
 @query("W5 W21", f"WITH {INDEX_SQL} SELECT item_id, doc_id, round(score / max(score) OVER (PARTITION BY item_id), 4) AS share, round(score - lead(score) OVER (PARTITION BY item_id ORDER BY rank), 6) AS margin FROM ranked WHERE rank <= 20")
 def share_of_best(spark, d):
-    top = _best(spark, d, 20)[-1]
+    top = _best(spark, d, 20)
     own = Window.partitionBy("item_id")
     return top.select("item_id", "doc_id", F.round(F.col("score") / F.max("score").over(own), 4).alias("share"), F.round(F.col("score") - F.lead("score").over(own.orderBy("rank")), 6).alias("margin"))
 
