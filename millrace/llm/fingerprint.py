@@ -19,8 +19,9 @@ from millrace.llm.scratch import Scratch
 SAMPLES = 64
 #: A word of a larger weight counts as several words of at most this weight, so that it does not sit in one slot alone.
 LAYER = 8
-#: Hexadecimal digits of a slot's mark and of the weight of its words (255 at most); a slot without words is all dashes.
-MARK, WEIGHT = 4, 2
+#: Hexadecimal digits of a slot's mark and of the weight of its words, in full (a text has fewer than 2^31 bytes); a slot without
+#: words is all dashes.
+MARK, WEIGHT = 4, 8
 SLOT = MARK + WEIGHT
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,7 +46,7 @@ def _sampled(counts: DataFrame, keys: list[str], weights: list[str]) -> DataFram
     for w in weights:
         a = F.log("c") - F.col("r") * (F.col(f"t_{w}") - F.col("b")) - F.col("r")
         marks.append(F.min_by(F.when(a.isNotNull(), F.xxhash64(h, f"t_{w}")), a).alias(f"mark_{w}"))
-        marks.append(F.least(F.sum(w), F.lit(255)).alias(f"weight_{w}"))
+        marks.append(F.sum(w).alias(f"weight_{w}"))
     return df.groupBy(*keys, "slot").agg(*marks)
 
 
@@ -64,12 +65,13 @@ def _written(slots: Column, w: str) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal marks, each slot counting by the larger of its two weights; 1 if neither fills any. Slots hold
     different weights, and where two texts are alike the larger weight is nearly that of both texts' words together, so
-    this share is the similarity without the bias that a plain share has (0.03 too low)."""
+    this share is the similarity without the bias that a plain share has (0.03 too low), at any length (tested at 3,000 and 60,000
+    words)."""
     at = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
     mark = lambda x, i: F.substring(x, i * SLOT + 1, F.lit(MARK))
-    weight = lambda x, i: F.coalesce(F.conv(F.regexp_replace(F.substring(x, i * SLOT + MARK + 1, F.lit(WEIGHT)), "-", "0"), 16, 10).cast("int"), F.lit(0))
+    weight = lambda x, i: F.coalesce(F.conv(F.regexp_replace(F.substring(x, i * SLOT + MARK + 1, F.lit(WEIGHT)), "-", "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
     slots = F.transform(at, lambda i: F.struct(F.greatest(weight(a, i), weight(b, i)).alias("w"), (mark(a, i) == mark(b, i)).alias("same")))
-    sums = F.aggregate(slots, F.struct(F.lit(0).alias("all"), F.lit(0).alias("same")), lambda acc, x: F.struct((acc["all"] + x["w"]).alias("all"), (acc["same"] + F.when(x["same"], x["w"]).otherwise(0)).alias("same")))
+    sums = F.aggregate(slots, F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("same")), lambda acc, x: F.struct((acc["all"] + x["w"]).alias("all"), (acc["same"] + F.when(x["same"], x["w"]).otherwise(0)).alias("same")))
     return F.transform(F.array(sums), lambda t: F.when(t["all"] > 0, t["same"] / t["all"]).otherwise(1.0))[0]
 
 
