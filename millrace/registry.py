@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("answering", "evaluation", "exchange", "graphs", "quality", "ranking", "relational", "retrieval", "sequences", "texts")
+PLANS = ("answering", "evaluation", "exchange", "graphs", "language", "quality", "ranking", "relational", "retrieval", "sequences", "texts")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Inventory rows that each query covers.
