@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, joins
+from millrace.operators import forest, graph, joins
+from millrace.operators.stored import stored
 from millrace.registry import query, table
 
 _FOLLOWS = "SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem"
@@ -100,3 +101,42 @@ def cypher_lines(spark, d):
     n = table(spark, d, "nation")
     nodes = n.select(F.format_string("MERGE (n:Nation {id: %d, name: '%s'})", "n_nationkey", "n_name").alias("line"))
     return nodes.union(n.select(F.format_string("MATCH (a:Nation {id: %d}), (b:Region {id: %d}) MERGE (a)-[:IN]->(b)", "n_nationkey", "n_regionkey")))
+
+
+_FOREST = """f(node, parent) AS (SELECT 'R' || r_regionkey, NULL FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer
+  UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders),
+t(node, parent, root, level, path) AS (SELECT node, parent, node, 0, [node] FROM f WHERE parent IS NULL UNION ALL SELECT f.node, f.parent, t.root, t.level + 1, list_append(t.path, f.node) FROM f JOIN t ON f.parent = t.node)"""
+
+
+def _forest(spark, d):
+    """Regions, their nations, customers and orders."""
+    named = lambda t, kind, key, above, parent: table(spark, d, t).select(F.concat(F.lit(kind), key).alias("node"), F.concat(F.lit(above), parent).alias("parent"))
+    roots = table(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    rows = roots.unionByName(named("nation", "N", "n_nationkey", "R", "n_regionkey")).unionByName(named("customer", "C", "c_custkey", "N", "c_nationkey"))
+    return forest.labelled(rows.unionByName(named("orders", "O", "o_orderkey", "C", "o_custkey")))
+
+
+@query("G7 G8 G20", f"""WITH RECURSIVE {_FOREST}, n AS (SELECT anc, count(*) AS size FROM (SELECT unnest(path) AS anc FROM t) GROUP BY anc), k AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS enter FROM t)
+SELECT node, parent, root, level, enter, enter + size - 1 AS leave FROM k JOIN n ON anc = node""")
+def forest_intervals(spark, d):
+    return _forest(spark, d)
+
+
+_CLOSED = "node LIKE 'N%' AND substr(node, 2)::INTEGER % 3 = 0 OR node = 'R1' OR node LIKE 'C%' AND substr(node, 2)::INTEGER % 7 = 0"
+
+
+@query("G8 G9", f"WITH RECURSIVE {_FOREST}, c AS (SELECT list(node) AS closed FROM f WHERE {_CLOSED}) SELECT node, level, len(list_intersect(list_slice(path, 1, -2), closed)) = 0 AS visible FROM t, c")
+def visible_nodes(spark, d):
+    """What a tree shows when some nations, customers and a region are collapsed."""
+    rows = stored(_forest(spark, d), "forest")
+    key = F.substring("node", 2, 20).cast("long")
+    closed = (F.col("node").startswith("N") & (key % 3 == 0)) | (F.col("node") == "R1") | (F.col("node").startswith("C") & (key % 7 == 0))
+    return forest.visible(rows, rows.where(closed)).select("node", "level", "visible")
+
+
+@query("G9 G20", f"WITH RECURSIVE {_FOREST}, p AS (SELECT node, level, unnest(path) AS top, generate_subscripts(path, 1) - 1 AS k FROM t) SELECT top, node, (level - k)::INTEGER AS below FROM p WHERE (top LIKE 'R%' OR top LIKE 'C%' AND substr(top, 2)::INTEGER % 100 = 0) AND level - k <= 2")
+def expanded_subtrees(spark, d):
+    """Two levels under each region, and under customers whose key 100 divides."""
+    rows = stored(_forest(spark, d), "forest")
+    asked = rows.where(F.col("node").startswith("R") | (F.col("node").startswith("C") & (F.substring("node", 2, 20).cast("long") % 100 == 0)))
+    return forest.subtrees(rows, asked, 2)
