@@ -7,6 +7,7 @@ from millrace.operators import answers, search
 from millrace.plans.graphs import _EDGES, _edges
 from millrace.plans.retrieval import INDEX_SQL, best_documents, gold
 from millrace.registry import query, table
+from millrace.streaming import talk
 
 
 @query("R4", f"""WITH {INDEX_SQL}, named AS (SELECT item_id, item_id * 3 AS doc_id, item_id % 2 = 0 AS exact FROM benchmark),
@@ -127,3 +128,28 @@ def tiers(spark, d):
 @query("K8 S11", "SELECT p_partkey, printf('%-6s %5d %10.2f', p_brand, p_size, p_retailprice) AS line FROM part")
 def report_lines(spark, d):
     return table(spark, d, "part").select("p_partkey", F.format_string("%-6s %5d %10.2f", "p_brand", "p_size", "p_retailprice").alias("line"))
+
+
+_SAID = "CASE (conv_id + turn) % 9 WHEN 0 THEN 'more' WHEN 2 THEN 'Source please' WHEN 4 THEN 'reset' WHEN 6 THEN concat('and ', text) WHEN 8 THEN concat('What of src', conv_id % 20, ' ', text) WHEN 7 THEN 'why so' ELSE text END"
+
+
+def _starts(kind: str) -> str:
+    return f"regexp_matches(said, '(?i)^(?:{talk.COMMANDS[kind]})\\b')"
+
+
+@query("R11 W22 R27", f"""WITH RECURSIVE u AS (SELECT conv_id, turn, trim({_SAID}) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'user'),
+m AS (SELECT *, CASE WHEN {_starts("reset")} THEN 'reset' WHEN {_starts("more")} THEN 'more' WHEN {_starts("source")} THEN 'source' WHEN {_starts("related")} THEN 'related' ELSE '' END AS command,
+  regexp_extract(said, '{talk.SCOPE}', 1) AS named, regexp_matches(said, '(?i)^(?:{talk.FOLLOWS})\\b') OR len(regexp_extract_all(said, '\\S+')) < {talk.LEAST_WORDS} AS follows FROM u),
+w(conv_id, i, turn, focus, in_scope, answered, kind, query, scope) AS (SELECT DISTINCT conv_id, 0::BIGINT, NULL::BIGINT, '', '', false, '', '', '' FROM u
+  UNION ALL SELECT m.conv_id, m.i, m.turn,
+    CASE WHEN command = 'reset' THEN '' WHEN command <> '' OR follows AND focus <> '' THEN focus ELSE said END,
+    CASE WHEN command = 'reset' THEN '' WHEN command <> '' THEN in_scope WHEN follows AND focus <> '' AND named = '' THEN in_scope ELSE named END,
+    CASE WHEN command = 'reset' THEN false WHEN command <> '' THEN answered ELSE true END,
+    CASE WHEN command = 'reset' THEN command WHEN command <> '' THEN CASE WHEN answered THEN command ELSE 'no_context' END WHEN follows AND focus <> '' THEN 'follow_up' ELSE 'answer' END,
+    CASE WHEN command = 'reset' THEN '' WHEN command <> '' THEN CASE WHEN answered THEN focus ELSE '' END WHEN follows AND focus <> '' THEN focus || ' ' || said ELSE said END,
+    CASE WHEN command = 'reset' THEN '' WHEN command <> '' THEN CASE WHEN answered THEN in_scope ELSE '' END WHEN follows AND focus <> '' AND named = '' THEN in_scope ELSE named END
+  FROM w JOIN m ON m.conv_id = w.conv_id AND m.i = w.i + 1)
+SELECT conv_id, turn, kind, query, scope FROM w WHERE i > 0""")
+def talk_replies(spark, d):
+    """What each user turn asks for: commands, resets, follow-ups that inherit topic and scope, and fresh questions."""
+    return talk.replies(table(spark, d, "conversations").withColumn("text", F.expr(_SAID)))
