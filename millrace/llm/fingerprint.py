@@ -50,16 +50,25 @@ def _sampled(counts: DataFrame, keys: list[str], weights: list[str]) -> DataFram
     return df.groupBy(*keys, "slot").agg(*marks)
 
 
-def _written(slots: Column, w: str) -> Column:
-    """The fingerprint: the marks and weights of all slots in order, in hexadecimal digits."""
-    by = F.map_from_entries(F.transform(slots, lambda x: F.struct(x.slot, F.struct(x[f"mark_{w}"].alias("mark"), x[f"weight_{w}"].alias("weight")))))
-    digits = lambda c, n: F.lower(F.lpad(F.hex(c), n, "0"))
+def _dense(slots: Column, w: str) -> Column:
+    """array<struct<mark, weight>> of all slots in order, null where a slot has no word. slots: those of one text, in order, some
+    missing; each fills the gap before it, so that the whole takes one pass."""
+    kind = "array<struct<mark:int,weight:bigint>>"
+    own = F.filter(slots, lambda x: x[f"mark_{w}"].isNotNull())
+
+    def filled(x: Column, i: Column, slots: Column) -> Column:
+        gap = x["slot"] - F.coalesce(F.get(slots, i - 1)["slot"] + 1, F.lit(0))
+        one = F.array(F.struct(x[f"mark_{w}"].alias("mark"), x[f"weight_{w}"].alias("weight")))
+        return F.concat(F.array_repeat(F.lit(None).cast("struct<mark:int,weight:bigint>"), gap).cast(kind), one)
 
-    def one(i: Column) -> Column:
-        x = F.try_element_at(by, i)
-        return F.coalesce(F.concat(digits(F.pmod(x["mark"], F.lit(16**MARK)), MARK), digits(x["weight"], WEIGHT)), F.lit("-" * SLOT))
+    all_ = F.transform(F.array(own), lambda s: F.concat(F.flatten(F.transform(s, lambda x, i: filled(x, i, s))), F.array_repeat(F.lit(None).cast("struct<mark:int,weight:bigint>"), SAMPLES - 1 - F.coalesce(F.get(s, F.size(s) - 1)["slot"], F.lit(-1)))))
+    return F.get(all_, 0).cast(kind)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), one), "")
+
+def printed(slots: Column) -> Column:
+    """The fingerprint: the marks and weights of all slots in order, in hexadecimal digits."""
+    digits = lambda c, n: F.lower(F.lpad(F.hex(c), n, "0"))
+    return F.array_join(F.transform(slots, lambda x: F.coalesce(F.concat(digits(x["mark"], MARK), digits(x["weight"], WEIGHT)), F.lit("-" * SLOT))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,24 +76,28 @@ def likeness(a: Column, b: Column) -> Column:
     different weights, and where two texts are alike the larger weight is nearly that of both texts' words together, so
     this share is the similarity without the bias that a plain share has (0.03 too low), at any length (tested at 3,000 and 60,000
     words)."""
-    at = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
-    mark = lambda x, i: F.substring(x, i * SLOT + 1, F.lit(MARK))
-    weight = lambda x, i: F.coalesce(F.conv(F.regexp_replace(F.substring(x, i * SLOT + MARK + 1, F.lit(WEIGHT)), "-", "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
-    slots = F.transform(at, lambda i: F.struct(F.greatest(weight(a, i), weight(b, i)).alias("w"), (mark(a, i) == mark(b, i)).alias("same")))
-    sums = F.aggregate(slots, F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("same")), lambda acc, x: F.struct((acc["all"] + x["w"]).alias("all"), (acc["same"] + F.when(x["same"], x["w"]).otherwise(0)).alias("same")))
-    return F.transform(F.array(sums), lambda t: F.when(t["all"] > 0, t["same"] / t["all"]).otherwise(1.0))[0]
-
-
-def fingerprints(docs: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """The keys and, for each text column t, t_print. The keys must tell rows apart; equal texts get equal
-    fingerprints; rows in which no text has a word are left out. docs that are dealt by a key stay where they are."""
-    rows = docs.select(*keys, F.posexplode(F.array(*(F.coalesce(t, F.lit("")) for t in texts))).alias("which", "body"))
-    terms = rows.select(*keys, "which", F.explode(F.split(F.lower("body"), _SPLIT)).alias("term")).where("term != ''")
-    hashed = terms.select(*keys, F.xxhash64("term").alias("word"), *((F.col("which") == i).cast("long").alias(f"w{i}") for i in range(len(texts))))
+    none = F.lit(0).cast("long")
+    both = F.zip_with(a, b, lambda x, y: F.struct(F.greatest(F.coalesce(x["weight"], none), F.coalesce(y["weight"], none)).alias("w"), F.coalesce(x["mark"] == y["mark"], F.lit(False)).alias("same")))
+    sums = F.aggregate(both, F.struct(none.alias("all"), none.alias("same")), lambda acc, x: F.struct((acc["all"] + x["w"]).alias("all"), (acc["same"] + F.when(x["same"], x["w"]).otherwise(none)).alias("same")), lambda t: F.when(t["all"] > 0, t["same"] / t["all"]).otherwise(1.0))
+    return sums
+
+
+def fingerprints(docs: DataFrame, keys: list[str], texts: list[str], parts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The keys and, for each text t, t_slots (see printed, likeness). The keys must tell rows apart; equal texts get equal
+    slots; rows in which no text has a word are left out. docs that are dealt by a key stay where they are. parts: columns of
+    docs, each a run of whole words, and the texts that it is part of (else each text is a column of its own)."""
+    parts = parts or {t: (t,) for t in texts}
+    weights = [f"w{i}" for i in range(len(texts))]
+    pieces = [F.struct(F.coalesce(c, F.lit("")).alias("body"), *(F.lit(int(t in of)).cast("long").alias(w) for t, w in zip(texts, weights, strict=True))) for c, of in parts.items()]
+    rows = docs.select(*keys, F.explode(F.array(*pieces)).alias("x")).select(*keys, "x.*")
+    terms = rows.select(*keys, *weights, F.explode(F.split(F.lower("body"), _SPLIT)).alias("term")).where("term != ''")
+    hashed = terms.select(*keys, F.xxhash64("term").alias("word"), *weights)
     counts = hashed.groupBy(*keys, "word").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(texts))))
     slots = _sampled(counts, keys, [f"w{i}" for i in range(len(texts))])
-    found = slots.groupBy(*keys).agg(F.collect_list(F.struct("slot", *(f"{c}_w{i}" for i in range(len(texts)) for c in ("mark", "weight")))).alias("slots"))
-    return found.select(*keys, *(_written(F.col("slots"), f"w{i}").alias(f"{t}_print") for i, t in enumerate(texts)))
+    short = [F.pmod(f"mark_w{i}", F.lit(16**MARK)).cast("int").alias(f"mark_w{i}") for i in range(len(texts))]
+    slots = slots.select(*keys, "slot", *short, *(f"weight_w{i}" for i in range(len(texts))))
+    found = slots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", *(f"{c}_w{i}" for i in range(len(texts)) for c in ("mark", "weight"))))).alias("slots"))
+    return found.select(*keys, *(_dense(F.col("slots"), f"w{i}").alias(f"{t}_slots") for i, t in enumerate(texts)))
 
 
 def _successors(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -118,21 +131,25 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     heads = heads.select("to", "th", F.left("text", (F.col("n") / 4).cast("int")).alias("head")).groupBy("to").agg(F.min_by("head", "th").alias("head"))
     cut = (F.length("text") / 4).cast("int")
     edited = single.join(heads.withColumnRenamed("to", "id"), "id").select("id", "th", "copies", "text", F.concat(F.left("text", F.length("text") - cut), F.left("head", cut)).alias("edited"))
-    prints = fingerprints(edited, ["id", "th"], ["text", "edited"])
-    none = F.lit("-" * SLOT * SAMPLES)
+    # both texts begin with the same words, up to the last separator of what is left of the text
+    both = F.regexp_extract(F.left("text", F.length("text") - cut), f"(?s)^.*{_SPLIT[:-1]}", 0)
+    rest = lambda t: F.substring(F.col(t), F.length("both") + 1, F.length(t))
+    parted = edited.withColumn("both", both).select("id", "th", "both", rest("text").alias("own"), rest("edited").alias("new"))
+    prints = fingerprints(parted, ["id", "th"], ["text", "edited"], {"both": ("text", "edited"), "own": ("text",), "new": ("edited",)})
+    none = F.array_repeat(F.lit(None).cast("struct<mark:int,weight:bigint>"), SAMPLES)
     about = edited.select("id", "th", "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    result = about.join(prints, ["id", "th"], "left").withColumns({c: F.coalesce(c, none) for c in ("text_print", "edited_print")})
+    result = about.join(prints, ["id", "th"], "left").withColumns({c: F.coalesce(c, none) for c in ("text_slots", "edited_slots")})
     result = scratch.save(result, "prints")
-    follows = result.groupBy("id").agg(F.min_by("text_print", "th").alias("next_print")).withColumnRenamed("id", "next_id")
+    follows = result.groupBy("id").agg(F.min_by("text_slots", "th").alias("next_slots")).withColumnRenamed("id", "next_id")
     full = result.join(after.select("id", "next_id"), "id").join(follows, "next_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return full.select(
         F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        F.col("text_print").alias("fingerprint"),
-        F.col("edited_print").alias("edited_fingerprint"),
-        likeness(F.col("text_print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("text_print"), F.col("next_print")).alias("near_next"),
+        printed(F.col("text_slots")).alias("fingerprint"),
+        printed(F.col("edited_slots")).alias("edited_fingerprint"),
+        likeness(F.col("text_slots"), F.col("edited_slots")).alias("near_edited"),
+        likeness(F.col("text_slots"), F.col("next_slots")).alias("near_next"),
     )
 
 

@@ -62,7 +62,7 @@ def test_collision_rate_is_weighted_jaccard(spark):
             other[i] = f"v{rng.integers(10**6)}"
         pairs.append((k, " ".join(base), " ".join(other)))
     df = fingerprints(spark.createDataFrame(pairs, "k long, a string, b string"), ["k"], ["a", "b"])
-    near = {r.k: r.x for r in df.select("k", likeness(df.a_print, df.b_print).alias("x")).collect()}
+    near = {r.k: r.x for r in df.select("k", likeness(df.a_slots, df.b_slots).alias("x")).collect()}
     off = np.array([near[k] - jaccard(a, b) for k, a, b in pairs])
     assert abs(off.mean()) < 0.03 and np.sqrt((off**2).mean()) < 0.08 and abs(off).max() < 0.25
     assert near[0] == 1
@@ -81,7 +81,7 @@ def test_long_and_skewed_texts_have_no_bias(spark, n, pairs, kind):
             other[i] = f"v{rng.integers(5000)}"
         rows.append((k, " ".join(base), " ".join(other)))
     df = fingerprints(spark.createDataFrame(rows, "k long, a string, b string").repartition(8), ["k"], ["a", "b"])
-    near = {r.k: r.x for r in df.select("k", likeness(df.a_print, df.b_print).alias("x")).collect()}
+    near = {r.k: r.x for r in df.select("k", likeness(df.a_slots, df.b_slots).alias("x")).collect()}
     off = np.array([near[k] - jaccard(a, b) for k, a, b in rows])
     assert abs(off.mean()) < 0.01 + 2 * off.std() / np.sqrt(pairs) and abs(off).max() < 0.25
 
