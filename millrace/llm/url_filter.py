@@ -4,8 +4,8 @@ Trust is a personalised PageRank from the hosts that allow rules fit, along the
 same from the hosts that block rules fit, against the direction of links (a host that links to bad ones is bad). A host
 is blocked when its distrust exceeds its trust by a factor. Links are gathered to host edges before anything iterates.
 
-The rank that a host without links holds is dropped, not handed back to the seeds; as trust and distrust are compared on
-the same footing, this changes no verdict's sign by itself. After ``STEPS`` steps at most DAMPING ** STEPS (a fifth) of a
+The rank that a host without links holds is dropped on the way, more of it in one direction than in the other; so trust and
+distrust are each scaled to sum 1 before they are compared. After ``STEPS`` steps at most DAMPING ** STEPS (a fifth) of a
 seed's rank could still move on, and only to hosts over ten links away.
 """
 
@@ -82,7 +82,7 @@ def _seeds(hosts: DataFrame, column: str) -> DataFrame:
 
 
 def host_scores(pages: DataFrame, rules=RULES, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) of every host that propagation reaches. pages has url and html; nulls make no links.
+    """(host, trust, distrust) of every host that propagation reaches, each of sum 1. pages has url and html; nulls make no links.
 
     Rules may fit some pages of a host only: it is a blocked seed when they block over half of its pages, and a trusted
     seed when they allow more of them than they block.
@@ -103,7 +103,9 @@ def host_scores(pages: DataFrame, rules=RULES, steps: int = STEPS, damping: floa
     ranks = []
     for name, ends, seed in (("trust", ("src", "dst"), "trusted"), ("distrust", ("dst", "src"), "blocked")):
         links = scratch.save(shares(*ends), f"links-{name}")
-        ranks.append(_rank(scratch, name, links, _seeds(hosts, seed), steps, damping).withColumnRenamed("rank", name))
+        rank = _rank(scratch, name, links, _seeds(hosts, seed), steps, damping)
+        whole = rank.agg(F.sum("rank")).first()[0] or 1.0
+        ranks.append(rank.select("host", (F.col("rank") / F.lit(whole)).alias(name)))
     zero = F.lit(0.0)
     return ranks[0].join(ranks[1], "host", "full").select("host", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
 

@@ -36,7 +36,8 @@ def ranks(links, seeds, steps=U.STEPS):
             if a in rank:
                 new[b] = new.get(b, 0) + U.DAMPING * rank[a] * n / out[a]
         rank = new
-    return rank
+    whole = sum(rank.values()) or 1
+    return {h: r / whole for h, r in rank.items()}
 
 
 def brute(pages):
@@ -100,6 +101,16 @@ def test_matches_brute_force(spark):
     same(run(spark, PAGES), brute(PAGES))
 
 
+def test_rank_that_gets_lost_does_not_decide(spark):
+    """Trust flows to hosts without links and is lost there, distrust has no such way; both are compared as shares."""
+    ends = "".join(f'<a href="http://end{i}.info/">' for i in range(9))
+    pages = [(1, "http://a.org/fr/", f'<a href="http://mid.info/">{ends}'), (2, "http://mid.info/", '<a href="http://evil.net/">'), (3, "http://evil.net/", ""), (4, "http://end1.info/", None)]
+    scores = U.host_scores(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    sums = scores.selectExpr("sum(trust)", "sum(distrust)").first()
+    assert sums[0] == pytest.approx(1) and sums[1] == pytest.approx(1)
+    same(run(spark, pages), brute(pages))
+
+
 def test_without_links_and_empty(spark):
     bare = [(i, u, None) for i, u, _ in PAGES]
     same(run(spark, bare), brute(bare))
