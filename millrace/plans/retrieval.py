@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import STOP_WORDS, squash, terms
 from millrace.operators import blocks, search
+from millrace.operators.stored import stored
 from millrace.registry import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -129,19 +130,23 @@ _NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 
 @query("J12 R20", f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_NORM.format('d.text')}, {_NORM.format('b.text')})")
 def containment_gold(spark, d):
-    """Items found word for word in documents, blocked on their longest inner word."""
+    """Items found word for word in documents, blocked on their rarest inner word."""
     return gold(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
 def gold(items, docs):
-    """(item_id, doc_id) where the document holds the item's squashed text. A document's distinct words find the items whose longest
-    inner word it has; only then its text is fetched and searched. An item without an inner word may begin and end inside
-    other words, so it is found by its first letters instead, among those of every place in a text."""
+    """(item_id, doc_id) where the document holds the item's squashed text. Documents are counted for each inner word of an item;
+    those with its rarest one are fetched and searched. An item without an inner word may begin and end inside other words,
+    so it is found by its first letters instead, among those of every place in a text."""
     inner = F.slice(F.split(squash(F.col("text")), " "), 2, 1 << 30)  # the first and last word may be part of longer ones
-    inner = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))
-    longest = F.reduce(inner, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    small = items.select("item_id", squash(F.col("text")).alias("item"), longest.alias("word")).where("item IS NOT NULL")
+    inner = F.array_distinct(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))))
+    asked = items.select("item_id", squash(F.col("text")).alias("item"), inner.alias("inner")).where("item IS NOT NULL")
     bodies = docs.select("doc_id", squash(F.col("text")).alias("body"))
+    words = asked.select("item", F.explode("inner").alias("word")).distinct()
+    held = bodies.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    counts = words.join(held.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    rarest = counts.groupBy("item").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
+    small = stored(asked.drop("inner").join(rarest, "item", "left").withColumn("word", F.coalesce("word", F.lit(""))), "asked")
 
     def found(keyed, keys):
         met = keys.join(keyed.select("word").distinct(), "word", "left_semi").join(keyed.select("word", "item_id", "item"), "word")
