@@ -1,11 +1,14 @@
 """Constraint queries: each gives the rows that break a rule, named by the rule and the row's key."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from millrace.functions.text import squash
 from millrace.operators import quality as Q
+from millrace.operators import ratchet
+from millrace.operators.stored import shared_folder, stored
 from millrace.registry import query, table
 
 
@@ -103,3 +106,29 @@ def gate_report(spark, d):
     gates = {"segment": table(spark, d, "customer").where("c_mktsegment IS NULL"), "price": table(spark, d, "part").where("p_retailprice <= 0"), "long": table(spark, d, "documents").where("n_chars > 5000")}
     rows = [df.agg(F.lit(name).alias("gate"), F.count("*").alias("n")) for name, df in gates.items()]
     return reduce(lambda a, b: a.unionByName(b), rows).withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise("FAIL"))
+
+
+@query("C7 C16 C18 K9", """WITH m AS (SELECT median(event_id) AS mid FROM events), c AS (SELECT rule, count(*) FILTER (event_id < mid) AS a, count(*) FILTER (event_id >= mid) AS b FROM (SELECT event_id, event_type || CASE WHEN value > 80 THEN ' over 80' ELSE ' in bounds' END AS rule FROM events), m GROUP BY rule)
+SELECT rule, CASE WHEN a > 0 THEN a END AS before, b AS now, CASE WHEN a = 0 THEN 'new' WHEN b > a THEN 'worse' WHEN b < a THEN 'better' ELSE 'same' END AS status FROM c""")
+def event_ratchet(spark, d):
+    """Counts of the later half of events against the baseline that the earlier half has left."""
+    e = table(spark, d, "events")
+    mid = e.agg(F.median("event_id")).first()[0]
+    rule = F.concat("event_type", F.when(F.col("value") > 80, " over 80").otherwise(" in bounds"))
+    counted = lambda half: half.groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+    path = f"{shared_folder(spark)}/ratchet-{uuid.uuid4().hex}"
+    ratchet.advance(ratchet.compared(ratchet.baseline(spark, path), counted(e.where(F.col("event_id") < mid))), path)
+    return ratchet.compared(ratchet.baseline(spark, path), counted(e.where(F.col("event_id") >= mid)))
+
+
+@query("C10 C7 C4", """WITH RECURSIVE x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS raw, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) - 1 AS place FROM documents)
+SELECT CASE WHEN place % 5 = 3 THEN 'missing' ELSE 'differs' END AS rule, doc_id, place::INTEGER AS place FROM x WHERE place % 5 = 3 OR place % 7 = 6
+UNION ALL SELECT 'stale', doc_id, max(place)::INTEGER + 1 FROM x GROUP BY doc_id HAVING max(place) % 2 = 0""")
+def fresh_extraction(spark, d):
+    """What the gate of a fresh extraction says of kept numbers of documents, of which some were lost, changed and added."""
+    docs = table(spark, d, "documents")
+    numbers = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("place", "raw"))
+    lost = numbers.where("place % 5 != 3").withColumn("raw", F.when(F.col("place") % 7 == 6, F.concat("raw", F.lit("0"))).otherwise(F.col("raw")))
+    more = numbers.groupBy("doc_id").agg(F.max("place").alias("place")).where("place % 2 = 0").select("doc_id", (F.col("place") + 1).alias("place"), F.lit("1").alias("raw"))
+    kept = stored(lost.unionByName(more), "kept")
+    return ratchet.reextracted(kept, numbers, ["doc_id", "place"], "raw")

@@ -12,6 +12,7 @@ from millrace.operators import measures as M
 from millrace.operators import references as R
 from millrace.operators.measures import conditions_sql, measurements_sql
 from millrace.operators.references import references_sql
+from millrace.operators import outline
 from millrace.registry import query, table
 
 
@@ -284,3 +285,20 @@ def running_lines(spark, d):
 def context_quality(spark, d):
     w = F.split("text", " ")
     return table(spark, d, "documents").select("doc_id", F.when(F.size(F.filter(w, lambda t: t.rlike(r"^[a-zA-Z,.]+$"))) * 2 >= F.size(w), "prose").otherwise("fragment").alias("quality"))
+
+
+@query("X23 X24 S4")
+def page_outline(spark, d):
+    """Every run of text of a page with the elements open around it."""
+    return outline.outline(table(spark, d, "pages"))
+
+
+@query("X23 X22 F12", r"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)', 1)) AS head, generate_subscripts(regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)', 1), 1) AS k FROM pages),
+l AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<li[^>]*>')) AS items FROM pages)
+SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(head, '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS head, items::BIGINT AS items FROM x JOIN l USING (page_id) WHERE k = 1 AND trim(head) <> ''""")
+def page_heads(spark, d):
+    """The first heading of each page, and how many list items it has, from the outline."""
+    o = outline.outline(table(spark, d, "pages"))
+    heads = o.where(F.col("path").rlike("(^|/)h[1-6]$")).groupBy("page_id").agg(F.min_by("text", "place").alias("head"))
+    items = o.where(F.col("path").rlike("(^|/)li(/|$)")).groupBy("page_id").agg(F.count("*").alias("items"))
+    return heads.join(items, "page_id", "left").select("page_id", "head", F.coalesce("items", F.lit(0).cast("long")).alias("items"))
