@@ -11,6 +11,8 @@ from millrace.registry import query, table
 
 #: Words that stand in for others: a run of terms, and the terms it adds at SYNONYM of their weight.
 RULES = ((("der",), ("die", "das")), (("los",), ("las",)), (("de", "la"), ("del",)), (("ti",), ("tion",)), (("les",), ("des",)))
+#: Added before rounding: products of few digits often end in a 5, which two engines may round apart.
+TIE = 1e-9
 SYNONYM, PAIR, OUT_OF_SCOPE, DEFAULT_SOURCE = 0.35, 0.5, 0.55, 1.15
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -79,7 +81,7 @@ n_pairs AS (SELECT item_id, count(*) AS pairs FROM qp GROUP BY item_id),
 hits AS (SELECT item_id, doc_id, count(*) AS n FROM cand JOIN qp USING (item_id) JOIN dp USING (doc_id, x, y) GROUP BY item_id, doc_id),
 final AS (SELECT item_id, doc_id, source, coalesce(h.n, 0) AS bigrams, round(score * ((1 + {PAIR} * coalesce(h.n, 0) / coalesce(pairs, 1))
     * CASE WHEN item_id % 2 = 0 THEN CASE WHEN source = 'src' || item_id % 20 THEN 1.0 ELSE {OUT_OF_SCOPE} END WHEN source = 'src0' THEN {DEFAULT_SOURCE} ELSE 1.0 END
-    * CASE WHEN n_chars < 200 THEN 0.6 ELSE 1.0 END * CASE WHEN contains(text, ' | ') THEN 0.9 ELSE 1.0 END), 6) AS score
+    * CASE WHEN n_chars < 200 THEN 0.6 ELSE 1.0 END * CASE WHEN contains(text, ' | ') THEN 0.9 ELSE 1.0 END) + {TIE}, 6) AS score
   FROM cand JOIN documents USING (doc_id) LEFT JOIN n_pairs USING (item_id) LEFT JOIN hits h USING (item_id, doc_id)),
 lead AS (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) = 1),
 placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lead)"""
@@ -108,7 +110,7 @@ def _ranked(spark, d):
     named = F.concat(F.lit("src"), F.col("question") % 20)
     scope = F.when(F.col("question") % 2 == 0, F.when(F.col("source") == named, 1.0).otherwise(OUT_OF_SCOPE)).when(F.col("source") == "src0", DEFAULT_SOURCE).otherwise(1.0)
     factor = (1 + PAIR * F.col("bigrams") / F.greatest("pairs", F.lit(1))) * scope * F.col("short") * F.col("table")
-    final = seen.join(about, "key").withColumn("score", F.round(F.col("score") * factor, 6))
+    final = seen.join(about, "key").withColumn("score", F.round(F.col("score") * factor + TIE, 6))
     best = Window.partitionBy("question", "source").orderBy(F.desc("score"), "key")
     lead = final.withColumn("k", F.row_number().over(best)).where("k = 1")
     return index, told, lead.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "key")))
