@@ -222,7 +222,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item's window occurs."""
+    """The rows of docs, with all their columns, in which no item's window occurs.
+
+    A null or empty text has no words and stays, as do all rows where benchmark is empty; items of null or without words are
+    ignored. Repeated rows stay or go together; a text of any length is read whole, in one row of a batch; an empty table
+    gives an empty one.
+    """
     spark = docs.sparkSession
 
     def passed(index):
@@ -241,7 +246,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of documents."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of documents; whole texts of any length, each a row
+    of a batch; contract of decontaminate()."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontaminate(docs.select("doc_id", "text"), bench.select("item_id", "text"))
     return found.select(

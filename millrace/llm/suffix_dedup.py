@@ -151,7 +151,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block:
     A byte of the UTF-8 text is removed if a string of ``window`` bytes over it also starts in a document with a smaller
     doc_id; strings are judged on the input, and overlaps count. docs has doc_id and text; other columns are ignored. A
     null text counts as empty. A null doc_id is smaller than all others. Rows that share a doc_id do not remove from each
-    other; equal rows get equal results.
+    other; equal rows get equal results. A text of any length is read whole: its runs go to shards by blocks, and what is left
+    of it is cut in one task, a batch of texts at a time; an empty table gives no rows.
     """
 
     def index(text, size, n, low, anchor):
