@@ -85,7 +85,7 @@ def grids(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     rows, two columns that are filled in half of the rows (and two), four filled cells and cells under 90 characters on average; a
     form is one of whose cells after the first row under 0.35 have a digit."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("row", "line")).where(F.contains("line", F.lit(mark)))
-    cells = lines.select(key, "row", F.posexplode(F.transform(F.split("line", f"[{mark}]"), F.trim)).alias("column", "cell"))
+    cells = lines.select(key, "row", F.posexplode(F.transform(F.split("line", f"[{mark}]"), lambda c: F.trim(c))).alias("column", "cell"))
     first = cells.groupBy(key).agg(F.min("row").alias("head"), F.count_distinct("row").alias("rows"))
     filled = cells.where("cell != ''").join(first, key)
     by_column = filled.groupBy(key, "column", "rows").agg(F.count("*").alias("n"), F.sum(F.length("cell")).alias("chars"), F.count_if(F.col("row") > F.col("head")).alias("body"), F.count_if((F.col("row") > F.col("head")) & F.col("cell").rlike("[0-9]")).alias("digits"))
