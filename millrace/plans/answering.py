@@ -30,7 +30,11 @@ def preferred_answer(spark, d):
     return answers.preferred(top, rules, [F.desc("score"), F.col("doc_id")], ["item_id"]).select("item_id", "doc_id", "rule")
 
 
-@query("R11 W22")
+@query("R11 W22", r"""WITH RECURSIVE u AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations WHERE role = 'user'),
+m AS (SELECT *, regexp_matches(said, '(?i)^(and|what about|it|that|this)\b') OR len(regexp_extract_all(said, '\S+')) < 3 AS follows FROM u),
+w(conv_id, i, turn, focus, query, joined) AS (SELECT DISTINCT conv_id, 0::BIGINT, NULL::BIGINT, '', '', false FROM u UNION ALL
+  SELECT m.conv_id, m.i, m.turn, CASE WHEN follows AND focus <> '' THEN focus ELSE said END, CASE WHEN follows AND focus <> '' THEN focus || ' ' || said ELSE said END, follows AND focus <> '' FROM w JOIN m ON m.conv_id = w.conv_id AND m.i = w.i + 1)
+SELECT conv_id, turn, query, joined FROM w WHERE i > 0""")
 def dialogue_queries(spark, d):
     return answers.dialogue(table(spark, d, "conversations"))
 

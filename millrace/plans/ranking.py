@@ -17,8 +17,9 @@ SYNONYM, PAIR, OUT_OF_SCOPE, DEFAULT_SOURCE = 0.35, 0.5, 0.55, 1.15
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-def _porter_sql(words: str) -> str:
-    """CTEs that stem the column t of words: the result is stemmed(t, s). Y marks a y that is a consonant."""
+def porter_sql(words: str, least: int = 4) -> str:
+    """CTEs that stem the column t of words, of at least so many letters: the result is stemmed(t, s). Y marks a y that is a
+    consonant."""
     m0, m1, vowel, cvc = "[aeiouy][^aeiouy]", "[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]", "[aeiouy]", "[^aeiouy][aeiouy][^aeiouywxY]$"
     has = lambda x, p: f"regexp_matches({x}, '{p}')"
     cut = lambda n: f"left(s, length(s) - {n})"
@@ -39,7 +40,7 @@ def _porter_sql(words: str) -> str:
         f"CASE WHEN suffix(s, 'e') AND ({has(cut(1), m1)} OR {has(cut(1), m0)} AND NOT {has(cut(1), cvc)}) THEN {cut(1)} ELSE s END",
         f"CASE WHEN {has('s', m1)} AND suffix(s, 'll') THEN {cut(1)} ELSE s END",
     ]
-    ctes = [f"p0 AS (SELECT DISTINCT t, regexp_replace(regexp_replace(t, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g') AS s FROM {words} WHERE length(t) > 3 AND regexp_matches(t, '^[a-z]+$'))"]
+    ctes = [f"p0 AS (SELECT DISTINCT t, regexp_replace(regexp_replace(t, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g') AS s FROM {words} WHERE length(t) >= {least} AND regexp_matches(t, '^[a-z]+$'))"]
     for i, step in enumerate(steps):
         ctes.append(f"p{i + 1} AS (SELECT t, {step if ' AS ' in step else step + ' AS s'} FROM p{i})")
     return ",\n".join([*ctes, f"stemmed AS (SELECT t, lower(s) AS s FROM p{len(steps)})"])
@@ -62,7 +63,7 @@ dt AS (SELECT doc_id, {_tokens_sql(_TITLE)} AS a, {_tokens_sql("text")} AS b FRO
 dw AS (SELECT doc_id, unnest(a || b) AS t, unnest(range(len(a) + len(b))) AS p, len(a) AS n_title, len(a) + len(b) AS length FROM dt),
 iw AS (SELECT item_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM (SELECT item_id, {_tokens_sql("text")} AS w FROM benchmark)),
 words AS (SELECT t FROM dw UNION SELECT t FROM iw),
-{_porter_sql("words")},
+{porter_sql("words")},
 d AS (SELECT doc_id, p, coalesce(s, t) AS term, CASE WHEN p < n_title THEN 3 ELSE 1 END AS w, length FROM dw LEFT JOIN stemmed USING (t)),
 q AS (SELECT item_id, p, coalesce(s, t) AS term FROM iw LEFT JOIN stemmed USING (t)),
 idx AS (SELECT doc_id, term, sum(w)::DOUBLE AS tf, any_value(length)::DOUBLE AS length FROM d GROUP BY ALL),

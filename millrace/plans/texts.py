@@ -13,6 +13,8 @@ from millrace.operators import references as R
 from millrace.operators.measures import conditions_sql, measurements_sql
 from millrace.operators.references import references_sql
 from millrace.operators import outline
+from millrace.plans.ranking import porter_sql
+from millrace.plans.retrieval import _TERMS
 from millrace.registry import query, table
 
 
@@ -61,7 +63,7 @@ def compound_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(X.compound_tokens(t), " ").alias("tokens"))
 
 
-@query("X1")
+@query("X1", f"WITH words AS (SELECT DISTINCT unnest({_TERMS.format('text')}) AS t FROM documents), {porter_sql('words', 3)} SELECT t AS term, coalesce(s, t) AS stem FROM words LEFT JOIN stemmed USING (t)")
 def stemmed_terms(spark, d):
     """Distinct terms of the documents and their stems: each term is stemmed once, however often it occurs."""
     t = table(spark, d, "documents").select(F.explode(X.terms(F.col("text"))).alias("term")).distinct()
