@@ -14,7 +14,9 @@ def shared_folder(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local["):
-        return "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        return found
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
 
 

@@ -59,7 +59,10 @@ def located_items(spark, d):
     return answers.located(pairs)
 
 
-@query("W18 X21")
+@query("W18 X21", """WITH RECURSIVE r AS (SELECT l_orderkey, l_quantity::DOUBLE AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS i FROM lineitem),
+w(l_orderkey, i, v, anchor, cluster) AS (SELECT l_orderkey, i, v, v, 1 FROM r WHERE i = 1 UNION ALL
+  SELECT r.l_orderkey, r.i, r.v, CASE WHEN r.v - anchor > 3 THEN r.v ELSE anchor END, cluster + CASE WHEN r.v - anchor > 3 THEN 1 ELSE 0 END FROM w JOIN r ON r.l_orderkey = w.l_orderkey AND r.i = w.i + 1)
+SELECT l_orderkey, v AS l_quantity, cluster FROM w""")
 def row_clusters(spark, d):
     return answers.clusters(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", 3.0)
 
