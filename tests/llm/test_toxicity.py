@@ -119,3 +119,59 @@ def test_a_null_doc_id_is_scored_and_not_held_out(spark, tmp_path):
     spark.createDataFrame([(2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = T.op10_toxicity(spark, str(tmp_path)).collect()
     assert len(got) == 3 and [r.held_out for r in got if r.doc_id is None] == [False] and all(0 <= r.score <= 1 for r in got)
+
+
+def learnt(n):
+    """The first n ids that labels may be learnt from."""
+    return [i for i in range(2 * n) if zlib.crc32(str(i).encode()) % 4 != 2][:n]
+
+
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    """A word that stands only in toxic rows after the first 1,500 by crc32 counts as much as one in those before; several
+    shards give the same model however rows are dealt over tasks."""
+    monkeypatch.setattr(T, "SHARD_ROWS", 700, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    ids = sorted(learnt(3400), key=lambda i: (zlib.crc32(f"fit{i}".encode()), i))
+    bad, good = ids[::2], ids[1::2]
+    rows = [(i, f"words number {i} {'rotten' if k < 1500 else 'grubby'}", 1) for k, i in enumerate(bad)] + [(i, f"words number {i} w{i % 400}", 0) for i in good]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([(1, "words number rotten"), (2, "words number grubby"), (3, "words number other")], "doc_id long, text string")
+    found = []
+    for parts in (3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        model = T.train(df.repartition(parts).select("doc_id", "text"), df.select("doc_id", "toxic"))
+        found.append({r.doc_id: r.score for r in T.score(asked, model).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0][1] >= T.THRESHOLD and found[0][2] >= T.THRESHOLD > found[0][3]
+    assert found[0] == found[1]
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    ids = learnt(500)
+    rows = [(i, f"so it goes {i} {'rotten' if k % 3 == 0 else f'w{i % 100}'} ", int(k % 3 == 0)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.train(df.select("doc_id", F.concat("text", F.expr("repeat('x', 100000)")).alias("text")), df.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, "so it goes 5 rotten " + "x" * 100_000), (2, "so it goes 5 other " + "x" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in T.score(asked, model).collect()}
+    assert got[1] >= T.THRESHOLD > got[2]
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 26])
+def test_the_filter_before_the_join_loses_no_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(T, "FILTER_BITS", bits)
+    ids = learnt(3000)
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(ids[0], "again"), (ids[1], None), (None, "x")], "doc_id int, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in ids[::3]] + [(10**12, 1)], "doc_id long, toxic int")
+    got = sorted((r.doc_id, r.text, r.toxic) for r in T._labelled(docs, known, 1001).collect())
+    assert got == sorted([(i, f"t{i}", i % 2) for i in ids[::3]] + [(ids[0], "again", ids[0] % 2)])
+
+
+def test_gradients_of_cut_texts(monkeypatch):
+    texts, y, w = ["one two three four five six", "", "five", "two two one six seven " * 9], np.array([1, 0, 0, 1]), np.array([0.3, 0.2, 0.1, 0.4])
+    model = T.fit(["x"], np.array([1]), T.Config(bits=5, epochs=0, spread=0.3))
+    docs = [T.features(d := np.frombuffer(t.encode(), np.uint8), np.array([0, len(d)]), 5)[0] for t in texts]
+    whole = T._gradients(model, docs, y, w)
+    for block in (1, 4, 7):
+        monkeypatch.setattr(T, "BLOCK_WORDS", block)
+        cut = T._gradients(model, docs, y, w)
+        assert all(np.allclose(cut[0][k], v) for k, v in whole[0].items()) and (cut[1] == whole[1]).all() and np.allclose(cut[2], whole[2])
