@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textbuf as tb
 from millrace.llm.scratch import Scratch
+from millrace.llm.workers import gives_back
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text held by one task at a time; a larger benchmark is taken in several blocks.
@@ -231,6 +232,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     spark = docs.sparkSession
 
     def passed(index):
+        @gives_back
         def run(batches):
             for batch in batches:
                 own = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")], ["doc_id", "text"])

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from millrace.llm import textbuf as tb
 from millrace.llm.components import components
 from millrace.llm.counting import COUNTS, SLICE, Counter, sliced, summed
-from millrace.llm.scratch import Scratch, unused
+from millrace.llm.scratch import BATCH_BYTES, Scratch, unused
+from millrace.llm.workers import gives_back
 
 SHINGLE, PERCENT = 5, 80
 #: log2 of the cells in which shingles are counted for their order.
@@ -92,6 +93,7 @@ def _signatures(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+@gives_back
 def _count_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     counts = Counter(1 << CELL_BITS)
     for batch in batches:
@@ -100,6 +102,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
     yield from sliced([counts.done()])
 
 
+@gives_back
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of counts -> their cells above the usual count, by how far in powers of two, and all that was counted.
     Shingles are ordered by level, then hash: any order gives the same links, this one keeps common ones out of prefixes."""
@@ -121,6 +124,7 @@ def _sketches(token: np.ndarray, begin: np.ndarray) -> list[bytes]:
     return [raw[k * SLOTS : (k + 1) * SLOTS] for k in range(rows)]
 
 
+@gives_back
 def _about(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, rk, text) -> doc_id, rk, size of the set, its signature, its sketch."""
     for batch in batches:
@@ -134,6 +138,7 @@ def _about(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n)), pa.array(np.concatenate(sig)), pa.array(sketch, pa.binary())], ["doc_id", "rk", "n", "sig", "sketch"])
 
 
+@gives_back
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, hub, rank) of those whose sketches agree in ALIKE of the slots that either fills. A pair left out here is found
     in the lists, so this only saves reading the sets of unlike pairs."""
@@ -157,6 +162,7 @@ def _dealt(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
 
 
+@gives_back
 def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Prefix tokens of each distinct set of a task, by shard."""
     levels = shared.value
@@ -188,6 +194,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int, b
         yield _dealt(np.concatenate(held), buckets)
 
 
+@gives_back
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's lists of two sets or more, as one row per entry (token, sig, n, at)."""
     held = [np.frombuffer(x.as_buffer(), ENTRY) for batch in batches for x in batch.column(1)]
@@ -255,6 +262,7 @@ def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.diff(np.append(begin, len(rows))))], ["a", "b", "need", "meets"])
 
 
+@gives_back
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each set of a list with the list's leader, the set of the smallest mixed signature, where sizes allow a hub."""
     found: list[np.ndarray] = []
@@ -275,6 +283,7 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(found)
 
 
+@gives_back
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, hub, rank, tokens of the set, tokens of the hub) -> sig, hub, rank, size of the hub, places of the hub's tokens
     that the set lacks, tokens that it has beyond; only where they share enough."""
@@ -350,6 +359,7 @@ def _linked(size: int, lacks: list[bytes], more: list[bytes], percent: int) -> n
     return link | (open_ & (whole * exact >= part * total))
 
 
+@gives_back
 def _solved(batches: Iterator[pa.RecordBatch], percent: int, pairs: bool) -> Iterator[pa.RecordBatch]:
     """Members of hubs by block, as (hub, lo, hi, block, sig, copies, hub_n, lacks, more), sorted by the first three. Gives
     (a, b, links): with ``pairs`` each link of two members; else each member, one that it is connected with here, and how many
@@ -396,6 +406,7 @@ def _solved(batches: Iterator[pa.RecordBatch], percent: int, pairs: bool) -> Ite
         yield flushed()
 
 
+@gives_back
 def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of a list that have different hubs and may reach the overlap they need. A list is cut into blocks of one size
     (and one hub, where many have it), sorted by place. Each set goes through the blocks from its own on, up to those too
@@ -461,6 +472,7 @@ def _portions(many: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         s = e
 
 
+@gives_back
 def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(sig, text) -> sig and the packed tokens of the set."""
     for batch in batches:
@@ -470,6 +482,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed], ["sig", "tokens"])
 
 
+@gives_back
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -491,7 +504,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, shingle: int, percent: int, hubs: bool):
         self.spark, self.shingle, self.percent = docs.sparkSession, shingle, percent
-        self.scratch = Scratch(self.spark, "jaccard")
+        self.scratch = Scratch(self.spark, "jaccard", BATCH_BYTES)
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
         self.about = self.scratch.save(self.rows.mapInArrow(lambda it: _about(it, shingle), "doc_id long, rk long, n long, sig long, sketch binary"), "about")
         named = self.about.where("n > 0").groupBy("sig")
@@ -504,7 +517,8 @@ class _Join:
         k, percent = self.shingle, self.percent
         levels, total = np.zeros(1 << CELL_BITS, np.uint8), 0
         counted = self.rows.select("text").mapInArrow(lambda it: _count_cells(it, k), COUNTS).repartition("slice")
-        for r in counted.mapInArrow(_levels, "slice int, cells binary, levels binary, total long").toLocalIterator():
+        found = self.scratch.save(counted.mapInArrow(_levels, "slice int, cells binary, levels binary, total long"), "levels")
+        for r in found.toLocalIterator():
             levels[r["slice"] * SLICE + np.frombuffer(r["cells"], np.uint16).astype(np.int64)] = np.frombuffer(r["levels"], np.uint8)
             total += r["total"]
         shared = self.spark.sparkContext.broadcast(levels)

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import Scratch
+from millrace.llm.scratch import BATCH_BYTES, Scratch
+from millrace.llm.workers import gives_back
 
 #: Tokens of a sequence, sequences open at a time, and pieces that arrive together.
 LENGTH, OPEN_BINS, BATCH = 2048, 64, 256
@@ -92,6 +93,7 @@ class _WordTokenizer:
 _loaded: dict[str, _WordTokenizer] = {}
 
 
+@gives_back
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
     if path not in _loaded:
         _loaded[path] = _WordTokenizer(path)
@@ -107,6 +109,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterat
                 for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    _loaded[path].known.clear()  # the vocabulary stays with the worker, the words of the task go
 
 
 def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int], list[int]]:
@@ -163,7 +166,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
     so a recomputed task gives the same places.
     """
     path = tokenizer_path or default_tokenizer()
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = Scratch(docs.sparkSession, "packing", BATCH_BYTES)
     pieces = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _pieces(it, path, length), SCHEMA), "pieces")
     buckets = max(1, -(-pieces.count() // pieces_per_bucket))
     order = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())  # repeated rows too are spread

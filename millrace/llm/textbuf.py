@@ -59,6 +59,11 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return _powers(max(16, int(n - 1).bit_length() if n > 1 else 0), base)[:n]
 
 
+def forget() -> None:
+    """Drops the powers that are kept between chunks."""
+    _powers.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values, in place."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.llm import textbuf as tb
-from millrace.llm.scratch import Scratch, unused
+from millrace.llm.scratch import BATCH_BYTES, Scratch, unused
+from millrace.llm.workers import give_back, gives_back
 
 WIDTHS = (1, 2, 3)
 #: Rows and bytes of text of a shard of the fit, about; their number grows with the labelled rows, and none is left out.
@@ -284,6 +285,7 @@ def _labelled(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
 
 def _packed(key: tuple, table: pa.Table, bits: int) -> pa.Table:
     """A shard's rows as one: bucket numbers of its words, words and label of each row."""
+    give_back()  # of the shard before
     order = pa.table({"id": table["doc_id"].cast(pa.string()), "text": table["text"], "toxic": table["toxic"]})
     table = table.take(pc.sort_indices(order, [(c, "ascending") for c in order.column_names]))
     ids, sizes = [], []
@@ -301,6 +303,7 @@ def _small(bits: int) -> type:
     return np.uint16 if bits <= 16 else np.uint32
 
 
+@gives_back
 def _steps(batches: Iterator[pa.RecordBatch], shared, count: int, turn: int, bad: int, good: int) -> Iterator[pa.RecordBatch]:
     """What each shard adds to the model, as rows (part, weight, steps of dim numbers times weight), in units. Parts are the
     embeddings by bucket, then the dense numbers, dim at a time; an embedding that a shard did not push is not there."""
@@ -358,7 +361,7 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Mode
     if not counts:
         calibrate(model, None, share)
         return model
-    scratch = Scratch(spark, "toxicity")
+    scratch = Scratch(spark, "toxicity", BATCH_BYTES)
     apart = F.pmod(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))), F.lit(5)) == 0
     rows = scratch.save(_labelled(docs, known, sum(counts.values())).withColumn("apart", apart), "labelled")
     fitted = rows.where("NOT apart")
@@ -384,6 +387,7 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Mode
     return model
 
 
+@gives_back
 def _raw(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     tables = shared.value.tables()
     for batch in batches:
@@ -395,27 +399,30 @@ def _probability(model: Model, z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.scale * z.astype(np.float64) + model.shift, -30, 30)))
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+@gives_back
+def _score(batches: Iterator[pa.RecordBatch], shared, text: int, kept: int) -> Iterator[pa.RecordBatch]:
+    """The first kept columns and the score of the one numbered text."""
     model = shared.value
     tables = model.tables()
     for batch in batches:
-        scores = [logits(model, tables, data, offsets) for _, _, data, offsets in tb.chunks(batch.column(batch.num_columns - 1), 1 << 18)]
+        scores = [logits(model, tables, data, offsets) for _, _, data, offsets in tb.chunks(batch.column(text), 1 << 18)]
         z = np.concatenate(scores) if scores else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_probability(model, z))], [*batch.schema.names[:-1], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(_probability(model, z))], [*batch.schema.names[:kept], "score"])
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The carried columns of every row and its score from 0 to 1 as ``name``, from the whole text alone. A null or empty
     text gets the score of no words; repeated rows get a row each; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*carry, F.col("text").alias(unused(docs, "scored_text")))
-    schema = StructType([*kept.schema.fields[:-1], StructField(name, DoubleType())])
+    text = carry.index("text") if "text" in carry else len(carry)  # a text that is carried is sent once
+    sent = docs.select(*carry, *([F.col("text").alias(unused(docs, "scored_text"))] if text == len(carry) else []))
+    schema = StructType([*sent.schema.fields[: len(carry)], StructField(name, DoubleType())])
 
     def scored(batches):
-        for batch in _score(batches, shared):
+        for batch in _score(batches, shared, text, len(carry)):
             yield batch.rename_columns(schema.names)
 
-    return kept.mapInArrow(scored, schema)
+    return sent.mapInArrow(scored, schema)
 
 
 def threshold_of(model: Model, lang: Column) -> Column:
