@@ -5,7 +5,10 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,25 +55,59 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def longest_increasing(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, order, value) of one longest strictly increasing subsequence of each group (the one that patience sorting with
-    back-pointers finds). A group is one document's lines, so it fits a task."""
-    schema = df.select(by, order, value).schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        tails: list = []
+    back-pointers finds); rows of equal order stand by value. A group is one document's lines, so it fits a task; groups are
+    sorted beside each other and folded in one pass, however many there are."""
+    rows = df.select(by, order, value).dropna()
+    return rows.repartition(by).sortWithinPartitions(by, order, value).mapInArrow(_increasing, rows.schema)
+
+
+def _increasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept rows of sorted groups; a group that the end of a batch cuts goes on with the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = bool(held) and held[-1].column(0)[-1] != batch.column(0)[0]
+        begins = np.flatnonzero(_changes(batch.column(0))) + 1
+        cut = int(begins[-1]) if len(begins) else 0
+        if cut or first:
+            yield from _longest([*held, batch.slice(0, cut)]).to_batches()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from _longest(held).to_batches()
+
+
+def _changes(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """For each key but the first, whether it is another than the one before."""
+    return pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False) if len(keys) > 1 else np.zeros(0, bool)
+
+
+def _longest(batches: list[pa.RecordBatch]) -> pa.Table:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    if not rows.num_rows:
+        return rows
+    ends = [*(np.flatnonzero(_changes(rows.column(0).chunk(0))) + 1).tolist(), rows.num_rows]
+    values = pc.rank(rows.column(2), tiebreaker="dense").to_pylist()
+    keep, back, start = [], [-1] * rows.num_rows, 0
+    for end in ends:
+        tails: list[int] = []
         at: list[int] = []
-        back: list[int] = []
-        for i, v in enumerate(pdf[value]):
-            k = bisect.bisect_left(tails, v)
-            back.append(at[k - 1] if k else -1)
-            tails[k:k + 1], at[k:k + 1] = [v], [i]
-        keep, i = [], at[-1] if at else -1
+        for i in range(start, end):
+            k = bisect.bisect_left(tails, values[i])
+            if k:
+                back[i] = at[k - 1]
+            if k == len(tails):
+                tails.append(values[i])
+                at.append(i)
+            else:
+                tails[k], at[k] = values[i], i
+        i = at[-1]
         while i >= 0:
             keep.append(i)
             i = back[i]
-        return pdf.iloc[keep[::-1]]
-
-    return df.select(by, order, value).dropna().groupBy(by).applyInPandas(pick, schema)
+        start = end
+    return rows.take(pa.array(sorted(keep)))
 
 
 def passages(docs: DataFrame, soft: int = 700, hard: int = 1100, tail: int = 200) -> DataFrame:

@@ -81,6 +81,41 @@ def test_longest_increasing(spark):
     assert [r.v for r in S.longest_increasing(df, "k", "i", "v").orderBy("i").collect()] == [1, 2, 4, 5]
 
 
+def plain_longest(values):
+    best = [1] * len(values)
+    for i, v in enumerate(values):
+        best[i] = max([best[j] + 1 for j in range(i) if values[j] < v], default=1)
+    return max(best, default=0)
+
+
+def test_longest_increasing_of_very_many_groups(spark):
+    """One fold over sorted rows, not a call for each group; batches cut groups at any place."""
+    r = random.Random(4)
+    groups = {f"g{k}": [(i, r.choice([None, *range(9)])) for i in range(r.randint(1, 12))] for k in range(300)}
+    groups["long"] = [(i, r.randrange(1000)) for i in range(400)]
+    rows = [(g, i, v) for g, x in groups.items() for i, v in x]
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {}
+        for t in sorted(S.longest_increasing(spark.createDataFrame(rows, "g string, i long, v long"), "g", "i", "v").collect(), key=lambda t: t.i):
+            got.setdefault(t.g, []).append((t.i, t.v))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g, x in groups.items():
+        kept = got.get(g, [])
+        assert len(kept) == plain_longest([v for _, v in x if v is not None]) and set(kept) <= set(x)
+        assert all(a[1] < b[1] for a, b in zip(kept, kept[1:]))
+    plan = S.longest_increasing(spark.createDataFrame(rows, "g string, i long, v long"), "g", "i", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapGroups" not in plan
+
+
+def test_longest_increasing_takes_equal_places_by_value(spark):
+    df = spark.createDataFrame([(1, 1, 5.0), (1, 1, 3.0), (1, 2, 4.0), (1, 2, 6.0), (2, 1, 8.0), (2, 1, 7.0)], "k long, i long, v double")
+    assert sorted((r.i, r.v) for r in S.longest_increasing(df, "k", "i", "v").where("k = 1").collect()) == [(1, 3.0), (2, 4.0), (2, 6.0)]
+    assert sorted(r.v for r in S.longest_increasing(df, "k", "i", "v").where("k = 2").collect()) == [7.0, 8.0]
+
+
 def plain_passages(text, soft=700, hard=1100, tail=200):
     out, now = [], None
     for line in text.split("\n"):
