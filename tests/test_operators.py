@@ -1,6 +1,8 @@
 import random
 from collections import deque
 
+from pyspark.sql import functions as F
+
 from millrace.functions.stem import stem
 from millrace.operators import answers, graph, joins
 from millrace.operators import sequences as S
@@ -63,6 +65,19 @@ def test_nearest_and_near_pairs_match_plain_loops(spark):
     assert near == {(i, j) for i, g, x in left for j, h, y in left if i < j and g == h and abs(x - y) < 1.5}
 
 
+def test_nearest_of_a_large_group_is_linear(spark):
+    """No frame of the plan ends with its group: such a frame is gone through anew for every row."""
+    a = spark.range(60_000).select(F.col("id").alias("l"), F.lit(1).alias("g"), (F.col("id") * 2.0).alias("x"))
+    b = spark.range(40).select(F.col("id").alias("c"), F.lit(1).alias("g"), (F.col("id") * 3000.0 + 1).alias("y"))
+    found = joins.nearest(a, b, ["g"], "x", "y", "l", "c")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {"RESOLVED": 0, "AMBIGUOUS": 0}
+    for i in range(60_000):
+        d = sorted(abs(2 * i - (3000 * c + 1)) for c in range(40))
+        want["RESOLVED" if d[0] < d[1] else "AMBIGUOUS"] += 1
+    assert {r.status: r["count"] for r in found.groupBy("status").count().collect()} == {k: v for k, v in want.items() if v}
+
+
 def test_numbered_is_one_order(spark):
     r = random.Random(9)
     rows = [(i, r.randrange(9)) for i in range(500)]
